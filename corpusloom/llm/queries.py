@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, line_dedup
+from corpusloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, places and a digest of the secrets in every document."""
+    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    n = [F.expr(f"CAST(size(filter(spans, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in secrets.BASE]
+    joined = "array_join(transform({}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
+    base = F.sha2(F.expr(joined.format("filter(spans, x -> x.kind <> 'random')")), 256).alias("base_sha256")
+    return out.select("doc_id", *n, base, F.expr(joined.format("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and dropped lines of every document, and the digest of what stays."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -40,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_secrets": op4_secrets,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
