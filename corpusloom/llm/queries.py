@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets
+from corpusloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,21 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n, base, F.expr(joined.format("spans")).alias("spans"))
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and dropped lines of every document, and the digest of what stays."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -50,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_secrets": op4_secrets,
+    "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
