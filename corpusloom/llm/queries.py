@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets, url_filter
+from corpusloom.llm import bpe, decontaminate, exact_dedup, line_dedup, minhash, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, places and a digest of the secrets in every document."""
     out = secrets.scan(_table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_minhash": op3_minhash,
     "op4_secrets": op4_secrets,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
