@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, minhash, quality, secrets, url_filter
+from corpusloom.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, lm, minhash, quality, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a word model and under the n-gram trie."""
+    return lm.train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_minhash": op3_minhash,
     "op4_secrets": op4_secrets,
     "op5_url_filter": op5_url_filter,
