@@ -143,11 +143,14 @@ def _ids_row(codec: Codec, text: str) -> tuple:
     return (codec.encode(text),)
 
 
-def _digest_row(codec: Codec, text: str) -> tuple:
-    ids = codec.encode(text)
+def _digests(codec: Codec, ids: list[int]) -> tuple:
     return len(ids), hashlib.sha256(" ".join(map(codec.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
+def _digest_row(codec: Codec, text: str) -> tuple:
+    return _digests(codec, codec.encode(text))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every row's whole text. path: a rank file that each machine has."""
     tune(docs.sparkSession)
@@ -166,8 +169,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, ids stay in the worker."""
+def _whole_row(codec: Codec, text: str) -> tuple:
+    ids = codec.encode(text)
+    return *_digests(codec, ids), ids
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256, and on request ids: encode and decode in one pass of the worker."""
     tune(docs.sparkSession)
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    return docs.select("doc_id", "text").mapInArrow(_each(path, pattern, _digest_row, fields), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        fields, schema = [*fields, pa.field("ids", pa.list_(pa.int32()))], f"{schema}, ids array<int>"
+    return docs.select("doc_id", "text").mapInArrow(_each(path, pattern, _whole_row if with_ids else _digest_row, fields), schema)

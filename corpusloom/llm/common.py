@@ -40,6 +40,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The most ids that are broadcast to leave out rows: 8 MB of them.
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids (doc_id). Few ids travel to the rows; many meet them in a join.
+
+    Rows without doc_id stay.
+    """
+    ids = materialise(ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else. Pure ASCII text takes the quick path of lower()."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -188,6 +188,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def select(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score the threshold or more."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            yield b.filter(pa.array(model.score(*passages(raw_texts(b.column("text")))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from the threshold on) of every row of docs (doc_id, text)."""
     tune(docs.sparkSession)
