@@ -26,7 +26,7 @@ from corpusloom.plans.session import table
 )
 def agg_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("y"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     works = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(part, lines.l_partkey == part.p_partkey)
     return describe.concentration(works, "y", "p_brand")
