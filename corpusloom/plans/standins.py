@@ -42,3 +42,22 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CAST(embedding AS array<double>) AS v", "CAST(label AS bigint) AS label", "1995 + vec_id % 7 AS year")
+
+
+#: records: works that several sources report, with repeated identifiers and gaps.
+RECORDS = """records AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN concat('10.1000/', doc_id % 350) END AS doi,
+         CASE WHEN doc_id % 19 <> 0 THEN substr(string_split(text, chr(10))[1], 1, 9) ELSE '' END AS title,
+         CASE WHEN doc_id % 11 <> 0 THEN CAST(1995 + doc_id % 3 AS BIGINT) END AS year,
+         CASE WHEN doc_id % 3 <> 0 THEN concat('Author ', doc_id % 60) END AS author, doc_id % 90 AS cited,
+         doc_id % 4 AS rank, doc_id % 2 AS from_a, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS from_b FROM documents)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS id", "CASE WHEN doc_id % 5 <> 0 THEN concat('10.1000/', doc_id % 350) END AS doi",
+        "CASE WHEN doc_id % 19 <> 0 THEN substr(split(text, '\\n')[0], 1, 9) ELSE '' END AS title",
+        "CASE WHEN doc_id % 11 <> 0 THEN 1995 + doc_id % 3 END AS year",
+        "CASE WHEN doc_id % 3 <> 0 THEN concat('Author ', doc_id % 60) END AS author", "doc_id % 90 AS cited",
+        "doc_id % 4 AS rank", "doc_id % 2 AS from_a", "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS from_b",
+    )
