@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import batches, tune
+from corpusloom.llm.common import batches, release, tune
 
 #: Distinct pre-tokens in each of a worker's two generations; a full one becomes the old one.
 CACHE = 1 << 18
@@ -119,6 +119,12 @@ class _Known(dict):
         self[token] = ids
         return ids
 
+    def forget(self) -> None:
+        """Workers are used again by other stages; what a task remembered goes with it."""
+        self.clear()
+        self.old = {}
+        release()
+
 
 _LATIN = {b: c for b, c in enumerate(ALPHABET)}
 
@@ -135,6 +141,7 @@ def _each(path: str, pattern: str, row: Callable[[Codec, str], tuple], fields: l
             rows = [row(codec, x or "") for x in b.column("text").to_pylist()]
             out = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out], ["doc_id", *(f.name for f in fields)])
+        codec.known.forget()
 
     return run
 

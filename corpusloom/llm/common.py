@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. A batch holds whole texts, so this bounds a Python worker's memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +65,16 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, and others run beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows."""
-    return (b for b in it if b.num_rows)
+    """The batches that have rows; freed memory is released after the last."""
+    yield from (b for b in it if b.num_rows)
+    release()
