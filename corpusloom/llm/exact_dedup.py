@@ -112,4 +112,6 @@ def exact_dedup(docs: DataFrame, digest_size: int = 16) -> DataFrame:
         if digest_size >= 64:
             raise RuntimeError("two chunks share a digest of full length")
         digest_size *= 2
-    return each.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # joined on a key of its own, so that both sides are dealt anew and Spark may split a recipe that very many share
+    key = F.xxhash64("recipe").alias("recipe_key")
+    return each.select("*", key).join(groups.select("*", key), ["recipe_key", "recipe"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
