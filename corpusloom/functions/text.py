@@ -89,7 +89,7 @@ def clean_abstract(c: Column, least: int = 20, stubs: Sequence[str] = ("no abstr
 
 def first_paragraph(c: Column, least: int = 50) -> Column:
     """The first paragraph of more than so many characters; null if none."""
-    return F.try_element_at(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda p: F.length(p) > least), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.split(c, "\n"), lambda p: F.trim(p)), lambda p: F.length(p) > least), F.lit(1))
 
 
 def token_count(c: Column) -> Column:

@@ -44,7 +44,7 @@ def corpus(works: DataFrame, first: int, last: int, cited: int | None = None) ->
 def parse_ris(record: Column) -> Column:
     """One RIS record as a struct: the first title, year, DOI and abstract, and all authors joined."""
     tag = lambda t: X.blank_to_null(F.trim(F.regexp_extract(record, rf"(?m)^(?:{t})  - *(.*)$", 1)))
-    authors = F.transform(F.regexp_extract_all(record, F.lit(r"(?m)^(?:AU|A1)  - *(.*)$"), F.lit(1)), F.trim)
+    authors = F.transform(F.regexp_extract_all(record, F.lit(r"(?m)^(?:AU|A1)  - *(.*)$"), F.lit(1)), lambda a: F.trim(a))
     return F.struct(tag("TI|T1").alias("title"), F.array_join(authors, " ; ").alias("authors"), F.substring(tag("PY|Y1"), 1, 4).alias("year"), X.norm_doi(tag("DO")).alias("doi"), tag("AB|N2").alias("abstract"), tag("JO|T2|JF").alias("journal"))
 
 
