@@ -221,7 +221,7 @@ def betweenness(a: np.ndarray, pivots: int = 500) -> float:
                     share[i] += paths[i] / paths[j] * (1 + share[j])
         share[s] = 0
         total += share
-    return float(total.mean() / (len(sources) * (n - 2)) * 1)
+    return float(total.mean() * n / len(sources) / ((n - 1) * (n - 2)))
 
 
 def graph_shift(pairs: DataFrame, metric: Callable[[np.ndarray], float]) -> DataFrame:
