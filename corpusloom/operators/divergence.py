@@ -171,3 +171,24 @@ def crossing_share(edges: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     """Per group of edges (a, b, by): the share whose ends differ in label."""
     e = edges.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
     return e.groupBy(by).agg(F.avg(F.expr("CASE WHEN la <> lb THEN 1.0D ELSE 0.0D END")).alias("value"))
+
+
+def distinctive_terms(works: DataFrame, weights: DataFrame, key: str, cluster: str, k: int) -> DataFrame:
+    """cluster, term, score and place: the k terms of most mean weight in a cluster beyond that in the whole corpus."""
+    total = works.agg(F.count("*").alias("all"))
+    size = works.groupBy(cluster).agg(F.count("*").alias("n"))
+    w = works.join(weights, key).groupBy(cluster, "term").agg(F.sum("w").alias("s"))
+    whole = w.groupBy("term").agg(F.sum("s").alias("t"))
+    score = F.round(F.col("s") / F.col("n") - F.col("t") / F.col("all"), 6)
+    each = w.join(F.broadcast(size), cluster).join(whole, "term").crossJoin(F.broadcast(total)).select(cluster, "term", score.alias("score"))
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("score"), "term"))
+    return each.withColumn("place", place).where(F.col("place") <= k)
+
+
+def term_vectors(works: DataFrame, weights: DataFrame, key: str, top: int) -> DataFrame:
+    """works with v: the weights of the terms with most weight in all, in alphabetical order."""
+    best = weights.groupBy("term").agg(F.round(F.sum("w"), 6).alias("s")).orderBy(F.desc("s"), "term").limit(top).select("term")
+    names = best.agg(F.array_sort(F.collect_list("term")).alias("names"))
+    m = weights.join(F.broadcast(best), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
+    v = F.transform("names", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)))
+    return works.join(m, key).crossJoin(F.broadcast(names)).withColumn("v", v).drop("m", "names")

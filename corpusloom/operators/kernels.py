@@ -437,3 +437,79 @@ def quota_selection(rows: pd.DataFrame, n: int, quotas: dict[str, int], score: s
         chosen += [i for i in rows.index if rows.loc[i, c] and i not in chosen][: max(0, least - have)]
     chosen += [i for i in rows.index if i not in chosen][: max(0, n - len(chosen))]
     return rows.loc[sorted(chosen[:n], key=list(rows.index).index)]
+
+
+def mean_js(x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None, epsilon: float = 1e-10) -> float:
+    """Jensen-Shannon distance of the sides' mean weights, smoothed."""
+    p, q = (v.mean(axis=0) + epsilon for v in (x, y))
+    p, q = p / p.sum(), q / q.sum()
+    m = (p + q) / 2
+    return float(np.sqrt(max(0.0, ((p * np.log(p / m)).sum() + (q * np.log(q / m)).sum()) / 2)))
+
+
+_NULL = "anchor long, window int, observed double, null_mean double, null_std double, z_score double, p_value double"
+
+
+def _against(key: tuple, observed: float, null: np.ndarray) -> pd.DataFrame:
+    null = null[~np.isnan(null)]
+    columns = ["anchor", "window", "observed", "null_mean", "null_std", "z_score", "p_value"]
+    if np.isnan(observed) or not len(null):
+        return pd.DataFrame([(*key, *[None] * 5)], columns=columns)
+    mean, sd = float(null.mean()), float(null.std())
+    return pd.DataFrame([(*key, observed, mean, sd, (observed - mean) / sd if sd > 0 else 0.0, float((null >= observed).mean()))], columns=columns)
+
+
+def permutation(pairs: DataFrame, vector: str, kernel: Callable, rounds: int = 500, seed: int = 42) -> DataFrame:
+    """Any kernel of the sides' vectors against works that change sides; energy has a quicker form of its own."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _split(rows, vector)
+        rng, both = _rng(seed, *key), np.vstack([x, y])
+        null = [kernel(both[o[: len(x)]], both[o[len(x) :]], rng) for o in (rng.permutation(len(both)) for _ in range(rounds))]
+        return _against(key, float(kernel(x, y, rng)), np.array(null))
+
+    return pairs.groupBy(*PAIR).applyInPandas(run, _NULL)
+
+
+def graph_permutation(pairs: DataFrame, metric: Callable[[np.ndarray], float], rounds: int = 100, seed: int = 42) -> DataFrame:
+    """The change of a graph metric against citing works that change sides and take their edges along."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "src", "ref"])
+        works = rows[["side", "src"]].drop_duplicates()
+        of = rows.merge(works.assign(w=range(len(works))), on=["side", "src"])["w"].to_numpy()
+        side = works["side"].to_numpy() == "before"
+
+        def shift(side: np.ndarray) -> float:
+            v = [metric(_adjacency(part)) if len(part := rows[side[of] == s]) else np.nan for s in (True, False)]
+            return abs(v[1] - v[0])
+
+        rng = _rng(seed, *key)
+        return _against(key, shift(side), np.array([shift(rng.permutation(side)) for _ in range(rounds)]))
+
+    return pairs.groupBy(*PAIR).applyInPandas(run, _NULL)
+
+
+def degree_entropy(a: np.ndarray) -> float:
+    """Of the distribution of positive in-degrees; needs three of them."""
+    d = a.sum(axis=0)
+    d = d[d > 0]
+    if len(d) < 3:
+        return np.nan
+    p = np.unique(d, return_counts=True)[1] / len(d)
+    return float(-(p * np.log(p)).sum())
+
+
+def shift_limits(works: DataFrame, vector: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: the 95th and 99th percentile of the largest mean difference of any term when works change sides. works: side and a
+    vector of weights of chosen terms, drawn to a bounded sample beforehand."""
+    from pyspark.sql import functions as F
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _split(rows, vector)
+        rng, both = _rng(seed, "shift"), np.vstack([x, y])
+        c = np.r_[np.full(len(x), -1 / len(x)), np.full(len(y), 1 / len(y))]
+        top = [np.abs(rng.permutation(c) @ both).max() for _ in range(rounds)]
+        return pd.DataFrame([tuple(np.quantile(top, (0.95, 0.99)))], columns=["p95", "p99"])
+
+    return works.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "p95 double, p99 double")

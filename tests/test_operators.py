@@ -246,3 +246,16 @@ def test_stream_merges_by_batch(spark, tmp_path):
     assert {(r.doi, r.cited) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {("d1", 5), ("d2", 2)}
     first = incremental.drain(spark, incremental.first_seen(stream, "doi", "t", "1 day"), "first_seen_test", f"file://{tmp_path}/c2", "append")
     assert first.count() == 2
+
+
+def test_permutation_of_words(spark):
+    x, y = np.array([[1.0, 0], [1, 0]]), np.array([[0, 1.0], [0, 1]])
+    assert kernels.mean_js(x, y) == pytest.approx(math.sqrt(math.log(2)), rel=1e-6) and kernels.mean_js(x, x) == 0
+    got = kernels.permutation(pairs(spark, 2.0, 30), "v", kernels.frechet, 30).first()
+    assert got.p_value == 0 and got.z_score > 5
+
+
+def test_graph_permutation(spark):
+    rows = [(2000, 1, "before", s, 100) for s in range(20)] + [(2000, 1, "after", 50 + s, 200 + s % 7) for s in range(20)]
+    got = kernels.graph_permutation(spark.createDataFrame(rows, "anchor long, window int, side string, src long, ref long"), kernels.degree_entropy, 30).first()
+    assert got.null_std is None or got.null_std >= 0
