@@ -259,3 +259,12 @@ def test_graph_permutation(spark):
     rows = [(2000, 1, "before", s, 100) for s in range(20)] + [(2000, 1, "after", 50 + s, 200 + s % 7) for s in range(20)]
     got = kernels.graph_permutation(spark.createDataFrame(rows, "anchor long, window int, side string, src long, ref long"), kernels.degree_entropy, 30).first()
     assert got.null_std is None or got.null_std >= 0
+
+
+def test_density_clusters(spark):
+    from corpusloom.operators import clusters
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(scale=0.05, size=3) + (0 if i < 20 else 5)).tolist()) for i in range(40)] + [(99, [50.0, 50.0, 50.0])]
+    got = {r.id: r.cluster for r in clusters.density(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.5, 4).collect()}
+    assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[30] and got[99] is None
