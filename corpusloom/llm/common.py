@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,7 +66,6 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def release() -> None:
     """Give freed memory back to the system: a Python worker outlives its tasks, and others run beside it."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
     if trim is not None:
