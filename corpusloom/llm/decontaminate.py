@@ -56,7 +56,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """windows with term, the rarest of each (the first of equals), and at, its place from 0; only those whose terms all occur."""
-    each = windows.select("window", "items", F.posexplode("window").alias("at", "term")).join(counts, "term")
+    each = windows.select("window", "items", F.posexplode("window").alias("at", "term")).join(_small(counts, counts.count()), "term")
     rarest = each.groupBy("window", "items").agg(F.count("*").alias("there"), F.min(F.struct("n", "at", "term")).alias("r"))
     return rarest.where("there = size(window)").select("window", "items", "r.term", "r.at")
 
@@ -95,7 +95,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, span: int
     matches; sorted), n_near (items with near matches) and contaminated."""
     docs = docs.select("doc_id", "text")
     windows = materialise(item_windows(items, length))
-    counts = term_counts(docs, windows.select(F.explode("window").alias("term")).distinct())
+    counts = materialise(term_counts(docs, windows.select(F.explode("window").alias("term")).distinct()))
     anchors = materialise(anchored(windows, counts))
     index = materialise(postings(docs, anchors))
     covered = F.expr(
