@@ -14,8 +14,8 @@ from corpusloom.functions import vector as V
 def settle(df: DataFrame) -> DataFrame:
     """The rows, written to the folder in spark.checkpoint.dir; where that is unset, as in one process, to a temporary one."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corpusloom-')}")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}")
     return df.checkpoint()
 
 
