@@ -127,6 +127,7 @@ def _features(df: DataFrame) -> DataFrame:
 
 def fit(labels: DataFrame) -> LogisticRegressionModel:
     """The model of labels (url, label: 1 is block)."""
+    labels = labels.coalesce(1)  # a small table, read again at each step
     model = LogisticRegression(maxIter=50, regParam=0.02, featuresCol="features", labelCol="label")
     return model.fit(_features(with_parts(labels.select("url", F.col("label").cast("double").alias("label")))))
 
