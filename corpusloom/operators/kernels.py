@@ -1,7 +1,7 @@
 """Statistics without a relational form: NumPy kernels over the groups of a window pair, a series or a replicate.
 
-Each group is bounded before it reaches a kernel: pairs are drawn to equal samples (windows.equal_n), graphs are those of one window
-between chosen works, series have a row a year. Groups are independent, so they spread over the cluster, and a lost executor costs its
+Each group is bounded before it reaches a kernel: pairs are drawn to equal samples (windows.equal_n), graphs are those of one window,
+held as edges, series have a row a year. Groups are independent, so they spread over the cluster, and a lost executor costs its
 groups alone. Randomness comes from a seed and the group's key.
 """
 
@@ -135,54 +135,91 @@ def bootstrap(pairs: DataFrame, vector: str, kernel: Callable, rounds: int = 200
     return pairs.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, replicate int, value double")
 
 
-def _adjacency(edges: pd.DataFrame) -> np.ndarray:
+class Graph:
+    """A directed graph of n nodes: distinct edges without loops, by number of source and target."""
+
+    def __init__(self, n: int, src: np.ndarray, ref: np.ndarray) -> None:
+        self.n, self.src, self.ref = n, src, ref
+
+
+def _adjacency(edges: pd.DataFrame) -> Graph:
     nodes, index = np.unique(edges[["src", "ref"]].to_numpy().ravel(), return_inverse=True)
-    index = index.reshape(-1, 2)
-    a = np.zeros((len(nodes), len(nodes)))
-    a[index[:, 0], index[:, 1]] = 1
-    np.fill_diagonal(a, 0)
-    return a
-
-
-def _largest(a: np.ndarray) -> np.ndarray:
-    """The undirected adjacency of the largest connected part."""
-    u = np.maximum(a, a.T)
-    left, best = set(range(len(u))), []
-    while left:
-        part, front = set(), {left.pop()}
-        while front:
-            part |= front
-            front = {int(j) for i in front for j in np.flatnonzero(u[i])} - part
-        left -= part
-        best = max(best, sorted(part), key=len)
-    return u[np.ix_(best, best)]
-
-
-def rank_histogram(a: np.ndarray) -> np.ndarray:
+    index = np.unique(index.reshape(-1, 2), axis=0)
+    index = index[index[:, 0] != index[:, 1]]
+    return Graph(len(nodes), index[:, 0], index[:, 1])
+
+
+def _graph(a: Graph | np.ndarray) -> Graph:
+    return a if isinstance(a, Graph) else Graph(len(a), *np.nonzero(a))
+
+
+def _largest(a: Graph | np.ndarray) -> Graph:
+    """The largest connected part, each edge in both directions."""
+    g = _graph(a)
+    e = np.unique(np.r_[np.c_[g.src, g.ref], np.c_[g.ref, g.src]], axis=0)
+    label = np.arange(g.n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, e[:, 0], label[e[:, 1]])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    inside = label == np.bincount(label, minlength=1).argmax()
+    number = np.cumsum(inside) - 1
+    e = number[e[inside[e[:, 0]]]]
+    return Graph(int(inside.sum()), e[:, 0], e[:, 1])
+
+
+def rank_histogram(a: Graph | np.ndarray) -> np.ndarray:
     """PageRank of each node."""
-    n, out = len(a), a.sum(axis=1)
+    g = _graph(a)
+    n, out = g.n, np.bincount(g.src, minlength=g.n)
     r = np.full(n, 1 / n)
     for _ in range(200):
-        new = 0.15 / n + 0.85 * ((r / np.where(out > 0, out, 1)) @ a + r[out == 0].sum() / n)
+        new = 0.15 / n + 0.85 * (np.bincount(g.ref, (r / np.where(out > 0, out, 1))[g.src], n) + r[out == 0].sum() / n)
         if np.abs(new - r).sum() < 1e-10:
             break
         r = new
     return r
 
 
-def spectral_gap(a: np.ndarray) -> float:
-    """The second smallest eigenvalue of the normalised Laplacian of the largest part."""
+def spectral_gap(a: Graph | np.ndarray, dense: int = 2000) -> float:
+    """The second smallest eigenvalue of the normalised Laplacian of the largest part; of more than so many nodes by Lanczos steps."""
     u = _largest(a)
-    d = u.sum(axis=1)
-    if len(u) < 3:
+    if u.n < 3:
         return np.nan
-    w = np.linalg.eigvalsh(np.eye(len(u)) - u / np.sqrt(np.outer(d, d)))
-    return float(w[1])
-
-
-def power_law(a: np.ndarray) -> float:
+    d = np.bincount(u.src, minlength=u.n)
+    weight = 1 / np.sqrt(d[u.src] * d[u.ref])
+    if u.n <= dense:
+        m = np.eye(u.n)
+        m[u.src, u.ref] -= weight
+        return float(np.linalg.eigvalsh(m)[1])
+    top = np.sqrt(d / d.sum())  # belongs to the smallest eigenvalue, 0
+    q = np.random.default_rng(42).normal(size=u.n)
+    q -= top * (top @ q)
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    while True:
+        w = np.bincount(u.ref, weight * basis[-1][u.src], u.n)
+        alpha.append(w @ basis[-1])
+        known = np.array(basis)
+        for _ in range(2):
+            w -= top * (top @ w)
+            w -= known.T @ (known @ w)
+        beta.append(np.linalg.norm(w))
+        k = len(alpha)
+        last = beta[-1] < 1e-12 or k >= u.n - 1
+        if k % 20 == 0 or last:
+            values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))
+            if last or beta[-1] * abs(vectors[-1, -1]) < 1e-8:
+                return float(1 - values[-1])
+        basis.append(w / beta[-1])
+
+
+def power_law(a: Graph | np.ndarray) -> float:
     """The slope of the logarithm of the share of in-degrees of at least k against that of k; needs ten positive degrees."""
-    d = a.sum(axis=0)
+    g = _graph(a)
+    d = np.bincount(g.ref, minlength=g.n)
     d = np.sort(d[d > 0])
     k = np.unique(d)
     if len(d) < 10 or len(k) < 2:
@@ -191,40 +228,34 @@ def power_law(a: np.ndarray) -> float:
     return float(-np.polyfit(np.log(k), np.log(tail), 1)[0])
 
 
-def betweenness(a: np.ndarray, pivots: int = 500) -> float:
+def betweenness(a: Graph | np.ndarray, pivots: int = 500) -> float:
     """Mean betweenness in the largest part, from at most so many sources."""
     u = _largest(a)
-    n = len(u)
+    n = u.n
     if n < 3:
         return np.nan
-    near = [np.flatnonzero(x) for x in u]
     total = np.zeros(n)
     sources = range(n) if n <= pivots else np.linspace(0, n - 1, pivots).astype(int)
     for s in sources:
-        depth, paths, order, front = np.full(n, -1), np.zeros(n), [], [s]
+        depth, paths, levels = np.full(n, -1), np.zeros(n), []
         depth[s], paths[s] = 0, 1
-        while front:
-            order += front
-            ahead: list[int] = []
-            for i in front:
-                for j in near[i]:
-                    if depth[j] < 0:
-                        depth[j] = depth[i] + 1
-                        ahead.append(int(j))
-                    if depth[j] == depth[i] + 1:
-                        paths[j] += paths[i]
-            front = ahead
+        while True:
+            e = np.flatnonzero((depth[u.src] == len(levels)) & (depth[u.ref] < 0))
+            if not len(e):
+                break
+            x, y = u.src[e], u.ref[e]
+            depth[y] = len(levels) + 1
+            paths += np.bincount(y, paths[x], n)
+            levels.append((x, y))
         share = np.zeros(n)
-        for j in reversed(order):
-            for i in near[j]:
-                if depth[i] == depth[j] - 1:
-                    share[i] += paths[i] / paths[j] * (1 + share[j])
+        for x, y in reversed(levels):
+            share += np.bincount(x, paths[x] / paths[y] * (1 + share[y]), n)
         share[s] = 0
         total += share
     return float(total.mean() * n / len(sources) / ((n - 1) * (n - 2)))
 
 
-def graph_shift(pairs: DataFrame, metric: Callable[[np.ndarray], float]) -> DataFrame:
+def graph_shift(pairs: DataFrame, metric: Callable[[Graph], float]) -> DataFrame:
     """anchor, window and value: the change of a metric of the graphs of the two sides. pairs: anchor, window, side, src, ref."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -343,7 +374,7 @@ def louvain(edges: pd.DataFrame, resolution: float = 1.0) -> dict[int, int]:
 
 
 def communities(edges: DataFrame, by: Sequence[str], resolutions: Sequence[float] = (1.0,)) -> DataFrame:
-    """by, resolution, node and community of each group of edges (by, a, b, n): one graph of bounded size a group."""
+    """by, resolution, node and community of each group of edges (by, a, b, n): one graph a group."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = [(*key, r, v, c) for r in resolutions for v, c in louvain(rows[["a", "b", "n"]], r).items()]
@@ -471,7 +502,7 @@ def permutation(pairs: DataFrame, vector: str, kernel: Callable, rounds: int = 5
     return pairs.groupBy(*PAIR).applyInPandas(run, _NULL)
 
 
-def graph_permutation(pairs: DataFrame, metric: Callable[[np.ndarray], float], rounds: int = 100, seed: int = 42) -> DataFrame:
+def graph_permutation(pairs: DataFrame, metric: Callable[[Graph], float], rounds: int = 100, seed: int = 42) -> DataFrame:
     """The change of a graph metric against citing works that change sides and take their edges along."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -490,9 +521,10 @@ def graph_permutation(pairs: DataFrame, metric: Callable[[np.ndarray], float], r
     return pairs.groupBy(*PAIR).applyInPandas(run, _NULL)
 
 
-def degree_entropy(a: np.ndarray) -> float:
+def degree_entropy(a: Graph | np.ndarray) -> float:
     """Of the distribution of positive in-degrees; needs three of them."""
-    d = a.sum(axis=0)
+    g = _graph(a)
+    d = np.bincount(g.ref, minlength=g.n)
     d = d[d > 0]
     if len(d) < 3:
         return np.nan

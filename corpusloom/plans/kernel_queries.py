@@ -22,11 +22,16 @@ def drawn(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
 
 
 def edge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between works of neighbouring numbers by window and side: graphs of at most 120 nodes."""
-    e = edges(spark, sf_dir).where("src % 8 = 0").selectExpr("src % 120 AS src", "ref % 120 AS ref", "year").where("src <> ref").distinct()
+    """All edges by window and side."""
+    e = edges(spark, sf_dir).where("src <> ref")
     return W.sliding_pairs(e, "year", (1, 2)).select("anchor", C("window").cast("int").alias("window"), "side", "src", "ref").distinct()
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The undirected graph of all edges."""
+    return graph.undirected(edges(spark, sf_dir), "src", "ref")
+
+
 @query("div_s4")
 def div_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.by_pair(drawn(spark, sf_dir), "v", kernels.frechet)
@@ -126,13 +131,13 @@ def rs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rs_null_sep")
 def rs_null_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.rewiring_null(near(spark, sf_dir), brands(spark, sf_dir), 20)
+    return kernels.rewiring_null(whole(spark, sf_dir), brands(spark, sf_dir), 20)
 
 
 @query("gr_louvain")
 def gr_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of a co-citation graph of at most 300 works, at several resolutions."""
-    e = near(spark, sf_dir).select(F.lit("all").alias("graph"), "a", "b", F.lit(1).alias("n"))
+    """Communities of the whole graph at several resolutions; one task holds it."""
+    e = whole(spark, sf_dir).select(F.lit("all").alias("graph"), "a", "b", F.lit(1).alias("n"))
     return kernels.communities(e, ["graph"], (0.5, 1.0, 1.5, 2.0))
 
 
@@ -148,7 +153,7 @@ def gr_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gr_rewire")
 def gr_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees before and after rewiring."""
-    e = near(spark, sf_dir).withColumn("g", F.lit(0))
+    e = whole(spark, sf_dir).withColumn("g", F.lit(0))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         e = rows.sort_values(["a", "b"])[["a", "b"]].to_numpy()
