@@ -3,8 +3,9 @@
 One page of each host is its reference. Every page of the host is aligned with it by simple tree matching: two nodes
 match if tag and class agree, and the children of matching nodes are matched in order so that as many nodes as
 possible match. Over all pages of the host this tells, for each node of the reference, how often its text is the
-same and how much text varies. The node that gathers most of the varying text is the host's content slot; nodes that say the
-same on nearly every page are template. A page's text is what its own tree holds in the slot, less template and less what
+same and how much text varies. The node that gathers most of the varying text is the host's content slot, but never one of several
+siblings of one tag and class; nodes that say the same on nearly every page are template. A page's text is what its own tree holds in the slot and in
+the slot's siblings of its tag and class that match nothing, less template and less what
 tag, class or id mark as menu, header, footer, sidebar, notice, advert, form or comments.
 
 Pages are read where they lie: the references travel, and they are broadcast only if their counted size is below
@@ -49,13 +50,14 @@ HEADER_PARENTS = frozenset(("article", "main", "section"))
 class Node:
     """An element: tag, mark (tag and class), children, own text parts by place among the children, dropped or not."""
 
-    __slots__ = ("tag", "mark", "children", "items", "dropped", "number", "parent")
+    __slots__ = ("tag", "mark", "children", "items", "dropped", "number", "parent", "sign", "size")
 
     def __init__(self, tag: str, mark: str, dropped: bool, parent: Node | None) -> None:
         self.tag, self.mark, self.dropped, self.parent = tag, mark, dropped, parent
         self.children: list[Node] = []
         self.items: list[str | Node] = []
         self.number = -1
+        self.sign = self.size = 0
 
     def own(self) -> str:
         """The text that stands in the node itself."""
@@ -123,38 +125,91 @@ def number(root: Node) -> list[Node]:
     return out
 
 
-def _runs(nodes: list[Node]) -> list[tuple[str, list[Node]]]:
-    out: list[tuple[str, list[Node]]] = []
-    for x in nodes:
-        if out and out[-1][0] == x.mark:
-            out[-1][1].append(x)
+def _sign(root: Node) -> None:
+    """Sets sign and size of every node: subtrees of one sign have the same shape and marks."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(x.children)
+    for x in reversed(order):
+        x.sign = hash((x.mark, *(c.sign for c in x.children)))
+        x.size = 1 + sum(c.size for c in x.children)
+
+
+def _between(x: Node, y: Node) -> tuple[int, int, int]:
+    """How many first and how many last children are alike, and how many nodes these hold. Some best matching always pairs them."""
+    p, q = x.children, y.children
+    most, lo, hi, held = min(len(p), len(q)), 0, 0, 0
+    while lo < most and p[lo].sign == q[lo].sign:
+        held += p[lo].size
+        lo += 1
+    while lo + hi < most and p[-1 - hi].sign == q[-1 - hi].sign:
+        held += p[-1 - hi].size
+        hi += 1
+    return lo, hi, held
+
+
+def _table(p: list[Node], q: list[Node], known: dict[tuple[int, int], int]) -> list[list[int]]:
+    """best[i][j]: the most nodes that p[i:] and q[j:] match in order."""
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i in range(len(p) - 1, -1, -1):
+        row, below, x = best[i], best[i + 1], p[i]
+        for j in range(len(q) - 1, -1, -1):
+            y = q[j]
+            row[j] = max(below[j], row[j + 1], below[j + 1] + _known(x, y, known) if x.mark == y.mark else 0)
+    return best
+
+
+def _known(x: Node, y: Node, known: dict[tuple[int, int], int]) -> int:
+    if x.sign == y.sign:
+        return x.size
+    return known[id(x), id(y)] if x.children and y.children else 1
+
+
+def _weigh(a: Node, b: Node, known: dict[tuple[int, int], int]) -> None:
+    """Puts into known how many nodes match at most, for a and b and for what they need below."""
+    stack = [(a, b, False)]
+    while stack:
+        x, y, ready = stack.pop()
+        key = id(x), id(y)
+        if key in known or x.sign == y.sign or not x.children or not y.children:
+            continue
+        lo, hi, held = _between(x, y)
+        p, q = x.children[lo : len(x.children) - hi], y.children[lo : len(y.children) - hi]
+        if ready:
+            known[key] = 1 + held + _table(p, q, known)[0][0]
         else:
-            out.append((x.mark, [x]))
-    return out
+            stack.append((x, y, True))
+            stack.extend((c, d, False) for c in p for d in q if c.mark == d.mark)
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The pairs of matching nodes of two trees with matching roots, by simple tree matching.
-
-    Neighbours of one tag and class are a run; runs are matched in order so that most nodes match, and within matching runs
-    the nodes are paired in turn, the last of the shorter run with none left over.
-    """
+    """The pairs of matching nodes of two trees with matching roots, by simple tree matching: children are matched in order so that
+    as many nodes as possible match in all, theirs and those below. Subtrees alike in whole are paired without weighing."""
+    for root in (a, b):
+        if not root.size:
+            _sign(root)
+    known: dict[tuple[int, int], int] = {}
+    _weigh(a, b, known)
     pairs, stack = [], [(a, b)]
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
         if not x.children or not y.children:
             continue
-        p, q = _runs(x.children), _runs(y.children)
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(len(p) - 1, -1, -1):
-            row, below, (mark, xs) = best[i], best[i + 1], p[i]
-            for j in range(len(q) - 1, -1, -1):
-                row[j] = max(below[j], row[j + 1], below[j + 1] + min(len(xs), len(q[j][1])) if mark == q[j][0] else 0)
+        if x.sign == y.sign:
+            stack.extend(zip(x.children, y.children, strict=True))
+            continue
+        lo, hi, _ = _between(x, y)
+        p, q = x.children[lo : len(x.children) - hi], y.children[lo : len(y.children) - hi]
+        stack.extend(zip(x.children[:lo], y.children[:lo], strict=True))
+        stack.extend(zip(x.children[len(x.children) - hi :], y.children[len(y.children) - hi :], strict=True))
+        best = _table(p, q, known)
         i = j = 0
         while i < len(p) and j < len(q):
-            if p[i][0] == q[j][0] and best[i][j] == best[i + 1][j + 1] + min(len(p[i][1]), len(q[j][1])):
-                stack.extend(zip(p[i][1], q[j][1], strict=False))
+            if p[i].mark == q[j].mark and best[i][j] == best[i + 1][j + 1] + _known(p[i], q[j], known):
+                stack.append((p[i], q[j]))
                 i, j = i + 1, j + 1
             elif best[i][j] == best[i + 1][j]:
                 i += 1
@@ -236,6 +291,8 @@ def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int,
             child = max(slot.children, key=lambda x: varying[x.number], default=None)
             if child is None or child.tag not in BLOCKS or varying[child.number] * 10 < varying[slot.number] * 7:
                 break
+            if sum(x.mark == child.mark for x in slot.children) > 1:  # which of them a page's content is, isn't known
+                break
             slot = child
         if slot.tag == "p" and slot.parent is not None:
             slot = slot.parent
@@ -245,6 +302,15 @@ def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int,
     return slot.number, fixed if few else set()
 
 
+def _with_siblings(slots: list[Node], matched: set[int]) -> list[Node]:
+    """The page's slot among its siblings of the same mark that match nothing, in page order, without those dropped."""
+    out = []
+    for y in slots:
+        around = y.parent.children if y.parent is not None else [y]
+        out += [x for x in around if not x.dropped and (x is y or x.mark == y.mark and id(x) not in matched)]
+    return out
+
+
 @lru_cache(maxsize=256)
 def _reference(page: str) -> tuple[Node, list[Node]]:
     root = parse(page)
@@ -293,7 +359,7 @@ def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known[host] = slot_and_template(nodes, {c["node"]: (c["pages"], c["equal"], c["varying"], c["same"]) for c in counts})
                 slot, fixed = known[host]
                 pairs = align(reference, root) if slot is not None else []
-                content = [y for x, y in pairs if x.number == slot and not y.dropped]
+                content = _with_siblings([y for x, y in pairs if x.number == slot], {id(y) for _, y in pairs})
                 template = {id(y) for x, y in pairs if x.number in fixed and x.own() == y.own()}
             texts.append(text_of(content or by_tags(number(root)), template))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
