@@ -6,7 +6,8 @@ possible match. Over all pages of the host this tells, for each node of the refe
 same and how much text varies. The node that gathers most of the varying text is the host's content slot, but never one of several
 siblings of one tag and class; nodes that say the same on nearly every page are template. A page's text is what its own tree holds in the slot and in
 the slot's siblings of its tag and class that match nothing, less template and less what
-tag, class or id mark as menu, header, footer, sidebar, notice, advert, form or comments.
+tag, class or id mark as menu, header, footer, sidebar, notice, advert, form or comments; but a class or id drops only by a name that says nothing else, and
+nothing that holds half or more of the host's varying text.
 
 Pages are read where they lie: the references travel, and they are broadcast only if their counted size is below
 MOST_BYTES; beyond it pages and references meet in a join on host. Counts are summed by host and node before they move, so a hot host
@@ -42,18 +43,24 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = frozenset("html body table ul ol dl article section main aside nav div td th button".split())
 DROPPED_TAGS = frozenset("head nav aside footer form script style noscript template iframe button select textarea input svg object embed canvas dialog title menu".split())
-#: Marks in class, id or role of what isn't content, as whole words or as beginnings.
+#: Marks in class, id or role of what isn't content: whole names, or names made of these words alone.
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget widgets ad ads adv advert adverts advertisement advertisements banner promo promotion promoted sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments replies reply respond disqus footer foot header masthead topbar toolbar copyright pagination pager skip hidden contentinfo complementary".split())
 HEADER_PARENTS = frozenset(("article", "main", "section"))
 
 
+#: Why a node is dropped: its words, which the host's pages can overrule; its tag, or that it is hidden.
+KEPT, BY_WORDS, BY_TAG = 0, 1, 2
+
+
 class Node:
-    """An element: tag, mark (tag and class), children, own text parts by place among the children, dropped or not."""
+    """An element: tag, mark (tag and class), children, own text parts by place among the children, why it is dropped itself,
+    and whether it or a node above it is."""
 
-    __slots__ = ("tag", "mark", "children", "items", "dropped", "number", "parent", "sign", "size")
+    __slots__ = ("tag", "mark", "children", "items", "dropped", "why", "number", "parent", "sign", "size")
 
-    def __init__(self, tag: str, mark: str, dropped: bool, parent: Node | None) -> None:
-        self.tag, self.mark, self.dropped, self.parent = tag, mark, dropped, parent
+    def __init__(self, tag: str, mark: str, why: int, parent: Node | None) -> None:
+        self.tag, self.mark, self.why, self.parent = tag, mark, why, parent
+        self.dropped = why > KEPT or parent is not None and parent.dropped
         self.children: list[Node] = []
         self.items: list[str | Node] = []
         self.number = -1
@@ -64,18 +71,23 @@ class Node:
         return " ".join(" ".join(x for x in self.items if x.__class__ is str).split())
 
 
-def _dropped(tag: str, attributes: dict[str, str], parent: Node) -> bool:
+def _why(tag: str, attributes: dict[str, str], parent: Node) -> int:
     if tag in DROPPED_TAGS or tag == "header" and parent.tag not in HEADER_PARENTS:
-        return True
+        return BY_TAG
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(attributes.get(k, "") for k in ("class", "id", "role"))).lower())
-    return tag not in ("body", "html", "main", "article") and not DROPPED_WORDS.isdisjoint(words)
+        return BY_TAG
+    if tag in ("body", "html", "main", "article"):
+        return KEPT
+    for word in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split():
+        parts = re.findall("[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", word).lower())
+        if parts and DROPPED_WORDS.issuperset(parts):
+            return BY_WORDS
+    return KEPT
 
 
 def parse(page: str) -> Node:
     """The tree of a page, however malformed."""
-    root = Node("#root", "#root", False, None)
+    root = Node("#root", "#root", KEPT, None)
     at, place, end = root, 0, len(page)
     while place < end:
         m = _TOKEN.match(page, place)
@@ -102,13 +114,13 @@ def parse(page: str) -> Node:
             if x.tag in ends or x.tag == "p" and tag in BLOCKS:
                 at = x.parent
         attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3] or m[6] or "")}
-        node = Node(tag, f"{tag}.{attributes.get('class', '')}", at.dropped or _dropped(tag, attributes, at), at)
+        node = Node(tag, f"{tag}.{attributes.get('class', '')}", _why(tag, attributes, at), at)
         at.children.append(node)
         at.items.append(node)
         if tag in _RAW:
             stop = _RAW[tag].search(page, place)
             place = stop.start()
-            node.dropped = True
+            node.why, node.dropped = BY_TAG, True
         if tag not in VOID:
             at = node
     return root
@@ -268,9 +280,29 @@ def _above(x: Node) -> Iterator[Node]:
         yield x
 
 
-def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int, int]]) -> tuple[int | None, set[int]]:
-    """The number of the slot and those of template nodes inside it. counts: by number, pages that match, pages that
-    say the same, characters that vary, and characters that don't."""
+def _spare(nodes: list[Node], spared: set[int]) -> None:
+    """Drops nodes (in page order) anew: those spared (by id()) not for their words."""
+    for x in nodes:
+        x.dropped = x.why == BY_TAG or x.why == BY_WORDS and id(x) not in spared or x.parent is not None and x.parent.dropped
+
+
+def overruled(nodes: list[Node], counts: dict[int, tuple[int, int, int, int]]) -> set[int]:
+    """The numbers of nodes that their words would drop, but that hold half or more of the text that varies."""
+    _spare(nodes, {id(x) for x in nodes})
+    varying = [0] * len(nodes)
+    for x in reversed(nodes):
+        if not x.dropped:
+            varying[x.number] += counts.get(x.number, (0, 0, 0, 0))[2]
+            if x.parent is not None:
+                varying[x.parent.number] += varying[x.number]
+    return {x.number for x in nodes if x.why == BY_WORDS and not x.dropped and 0 < varying[0] <= 2 * varying[x.number]}
+
+
+def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int, int]]) -> tuple[int | None, set[int], set[int]]:
+    """The number of the slot, those of template nodes inside it, and those of nodes kept against their words. counts: by number,
+    pages that match, pages that say the same, characters that vary, and characters that don't."""
+    spared = overruled(nodes, counts)
+    _spare(nodes, {id(nodes[i]) for i in spared})
     varying, same = [0] * len(nodes), [0] * len(nodes)
     for x in reversed(nodes):
         if not x.dropped:
@@ -281,7 +313,7 @@ def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int,
                 varying[x.parent.number] += varying[x.number]
                 same[x.parent.number] += same[x.number]
     if not varying[0]:
-        return None, set()
+        return None, set(), spared
     tagged = [x for x in by_tags(nodes) if x.tag in ("main", "article")]
     if len(tagged) == 1 and varying[tagged[0].number] * 2 >= varying[0]:
         slot = tagged[0]
@@ -299,7 +331,7 @@ def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int,
     inside = [x for x in nodes if x is slot or slot in _above(x)]
     fixed = {x.number for x in inside if not x.children and (c := counts.get(x.number)) and c[0] >= 10 and c[1] * 10 >= c[0] * 9}
     few = sum(counts[i][3] for i in fixed) * 5 <= varying[slot.number] + same[slot.number]
-    return slot.number, fixed if few else set()
+    return slot.number, fixed if few else set(), spared
 
 
 def _with_siblings(slots: list[Node], matched: set[int]) -> list[Node]:
@@ -342,7 +374,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[int | None, set[int]]] = {}
+    known: dict[str, tuple[int | None, set[int], set[int]]] = {}
     for b in batches(it):
         texts = []
         for host, page, ref, counts in zip(*(b.column(c).to_pylist() for c in ("host", "html", "ref", "counts")), strict=True):
@@ -357,8 +389,12 @@ def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(known) >= 256:
                         known.clear()
                     known[host] = slot_and_template(nodes, {c["node"]: (c["pages"], c["equal"], c["varying"], c["same"]) for c in counts})
-                slot, fixed = known[host]
+                slot, fixed, spared = known[host]
                 pairs = align(reference, root) if slot is not None else []
+                if spared and pairs:
+                    kept, matched = {id(y) for x, y in pairs if x.number in spared}, {id(y) for _, y in pairs}
+                    kept |= {id(z) for x, y in pairs if x.number in spared and x.number == slot for z in y.parent.children if z.mark == y.mark and id(z) not in matched}
+                    _spare(number(root), kept)
                 content = _with_siblings([y for x, y in pairs if x.number == slot], {id(y) for _, y in pairs})
                 template = {id(y) for x, y in pairs if x.number in fixed and x.own() == y.own()}
             texts.append(text_of(content or by_tags(number(root)), template))

@@ -42,3 +42,11 @@ def test_blocks_beyond_the_reference_stay(spark):
     several = [f"<body><p>top</p>{''.join(f'<div class=c>{article(i * 10 + k)}</div>' for k in range(1 + i % 3))}</body>" for i in range(12)]
     got = extracted(spark, several)
     assert all(article(i * 10 + k) in got[i] for i in range(12) for k in range(1 + i % 3))
+
+
+def test_words_do_not_drop_the_article(spark):
+    article = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    for opening in ("<div class='content with-sidebar'>", "<div id='social-science'>", "<div class='search'>", "<div class=x>"):
+        pages = [f"<body><div class=menu>Menu {i}</div>{opening}<div class='entry-header'>Title {i}</div><p>{article(i)}</p><p>more {i}</p></div><div class='cookie-notice'>Cookies {i}</div></body>" for i in range(12)]
+        got = extracted(spark, pages)
+        assert [got[i] for i in range(12)] == [f"Title {i}\n\n{article(i)}\n\nmore {i}" for i in range(12)]
