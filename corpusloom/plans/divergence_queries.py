@@ -222,7 +222,12 @@ LEX = f"""{TERMS}, a AS (SELECT w AS "window", unnest(range(1995 + w, 2004 - w))
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars < 1500")
+    return all_terms(spark, sf_dir, "n_chars < 1500")
+
+
+def all_terms(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """The terms of every document's whole text."""
+    d = table(spark, sf_dir, "documents").where(which)
     return d.select("doc_id", (1995 + C("doc_id") % 10).alias("year"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
 
 

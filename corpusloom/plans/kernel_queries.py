@@ -46,9 +46,9 @@ def div_c2st_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def div_c2st_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As div_c2st_emb on the weights of the 50 commonest terms."""
     from corpusloom.operators import divergence
-    from corpusloom.plans.divergence_queries import terms
+    from corpusloom.plans.divergence_queries import all_terms
 
-    t = terms(spark, sf_dir)
+    t = all_terms(spark, sf_dir)
     best = t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50).select("term")
     w = divergence.tfidf(t, "doc_id", "term").join(F.broadcast(best), "term")
     v = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))

@@ -1,11 +1,13 @@
 """Queries that must use every row, against brute force."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from corpusloom.operators import kernels
-from corpusloom.plans import catalog, kernel_queries
+from corpusloom.plans import catalog, divergence_queries, inference_queries, kernel_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,18 @@ def test_kernels_of_edges():
     assert kernels.betweenness(path) == pytest.approx((0 + 4 + 4 + 0) / 4 / 6)
     assert kernels.rank_histogram(g).sum() == pytest.approx(1)
     assert kernels._largest(np.array([[0, 0, 0], [0, 0, 1.0], [0, 0, 0]])).n == 2
+
+
+def test_lexical_samples_come_from_every_document(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    worded = {d.doc_id for d in docs if re.search("[a-z]{3}", (d.text or "").lower())}
+    assert {r.doc_id for r in divergence_queries.all_terms(spark, SF).select("doc_id").distinct().collect()} == worded
+    seen = []
+    keep = lambda p, *_: seen.append(p) or p
+    monkeypatch.setattr(inference_queries.W, "equal_n", keep)
+    inference_queries._lexical(spark, SF)
+    catalog.QUERIES["div_c2st_lex"](spark, SF)
+    long = {d.doc_id for d in docs if len(d.text or "") >= 1500}
+    for p in seen:
+        assert long & {r.doc_id for r in p.select("doc_id").distinct().collect()}
+    assert len(seen) == 2
