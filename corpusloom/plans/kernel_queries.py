@@ -17,7 +17,7 @@ from corpusloom.plans.window_queries import DATED, dated, pairs, series
 C = F.col
 
 
-def drawn(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
+def drawn(spark: SparkSession, sf_dir: str, most: int = 2000) -> DataFrame:
     return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, most).select("anchor", C("window").cast("int").alias("window"), "side", "vec_id", "v")
 
 
@@ -55,7 +55,7 @@ def div_c2st_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = best.agg(F.array_sort(F.collect_list("term")).alias("names"))
     v = v.crossJoin(F.broadcast(names)).select("doc_id", F.transform("names", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("v"))
     p = W.sliding_pairs(t.select("doc_id", "year").distinct(), "year", (2,)).join(v, "doc_id")
-    return kernels.by_pair(W.equal_n(p, "doc_id", 42, 200).select("anchor", C("window").cast("int").alias("window"), "side", "doc_id", "v"), "v", kernels.two_sample_auc)
+    return kernels.by_pair(W.equal_n(p, "doc_id", 42, 2000).select("anchor", C("window").cast("int").alias("window"), "side", "doc_id", "v"), "v", kernels.two_sample_auc)
 
 
 @query("div_g1")
@@ -85,14 +85,14 @@ def rs_perm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rs_boot")
 def rs_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.bootstrap(drawn(spark, sf_dir), "v", kernels.energy, 50)
+    return kernels.bootstrap(drawn(spark, sf_dir), "v", kernels.energy)
 
 
 @query("rs_summary")
 def rs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with the bootstrap's median and quantiles and the permutation's z and p."""
-    boot = kernels.bootstrap(drawn(spark, sf_dir), "v", kernels.energy, 50).groupBy("anchor", "window").agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("boot_median", 0.5), ("boot_q025", 0.025), ("boot_q975", 0.975))))
-    null = kernels.permutation_energy(drawn(spark, sf_dir), "v", 200)
+    boot = kernels.bootstrap(drawn(spark, sf_dir), "v", kernels.energy).groupBy("anchor", "window").agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("boot_median", 0.5), ("boot_q025", 0.025), ("boot_q975", 0.975))))
+    null = kernels.permutation_energy(drawn(spark, sf_dir), "v")
     return null.join(boot, ["anchor", "window"], "left").select("anchor", "window", C("observed").alias("point_estimate"), "boot_median", "boot_q025", "boot_q975", "z_score", "p_value", (C("p_value") < 0.05).alias("significant"))
 
 
@@ -131,7 +131,7 @@ def rs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rs_null_sep")
 def rs_null_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.rewiring_null(whole(spark, sf_dir), brands(spark, sf_dir), 20)
+    return kernels.rewiring_null(whole(spark, sf_dir), brands(spark, sf_dir), 1000)
 
 
 @query("gr_louvain")

@@ -59,3 +59,15 @@ def test_lexical_samples_come_from_every_document(spark, monkeypatch):
     for p in seen:
         assert long & {r.doc_id for r in p.select("doc_id").distinct().collect()}
     assert len(seen) == 2
+
+
+def test_samples_and_rounds_are_the_references(spark, monkeypatch):
+    most, rounds = [], []
+    monkeypatch.setattr(kernel_queries.W, "equal_n", lambda p, i, seed, n, real=kernel_queries.W.equal_n: most.append(n) or real(p, i, seed, n))
+    for name, at in (("permutation", 3), ("permutation_energy", 2), ("bootstrap", 3)):
+        real = getattr(kernels, name)
+        monkeypatch.setattr(kernels, name, lambda *a, real=real, at=at, name=name: rounds.append((name, a[at] if len(a) > at else real.__defaults__[0])) or real(*a))
+    for name in ("div_s4", "div_c2st_emb", "div_c2st_lex", "rs_perm", "rs_perm_sem", "rs_perm_lex", "rs_perm_c2st", "rs_boot", "rs_summary", "ml_jl"):
+        catalog.QUERIES[name](spark, SF)
+    assert set(most) == {2000}
+    assert set(rounds) == {("permutation", 500), ("permutation_energy", 500), ("bootstrap", 200)}
