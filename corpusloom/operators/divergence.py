@@ -6,6 +6,10 @@ bounded equal samples beforehand where the sides are large (windows.equal_n); te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,42 +19,40 @@ PAIR = ["anchor", "window"]
 EPSILON = 1e-10
 
 
-def _sides(pairs: DataFrame, key: str, vector: str) -> DataFrame:
-    """Every two works of a pair with a: the sides in order, and the vectors. Both orders of two works on one side count."""
-    x = pairs.select(*PAIR, F.col("side").alias("s"), F.col(key).alias("i"), F.col(vector).alias("x"))
-    y = pairs.select(*PAIR, F.col("side").alias("t"), F.col(key).alias("j"), F.col(vector).alias("y"))
-    return x.join(y, PAIR).where("s = t OR s = 'before'")
-
-
-def _means(each: DataFrame, value: Column, diagonal: bool) -> DataFrame:
-    """Per pair the mean of a value within before (xx), within after (yy) and across (xy); n and m works on the sides."""
-    same = F.col("s") == F.col("t")
-    v = each.select(*PAIR, "s", same.alias("same"), "i", "j", value.alias("v"))
-    v = v if diagonal else v.where("NOT same OR i <> j")
-    mean = lambda c: F.avg(F.when(c, F.col("v")))
-    return v.groupBy(*PAIR).agg(mean(F.col("same") & (F.col("s") == "before")).alias("xx"), mean(F.col("same") & (F.col("s") == "after")).alias("yy"), mean(~F.col("same")).alias("xy"))
-
-
-def energy(pairs: DataFrame, key: str, vector: str) -> DataFrame:
-    """Energy distance with the diagonal counted."""
-    m = _means(_sides(pairs, key, vector), V.distance(F.col("x"), F.col("y")), True)
-    return m.select(*PAIR, (2 * F.col("xy") - F.col("xx") - F.col("yy")).alias("value"))
-
-
-def mmd(pairs: DataFrame, key: str, vector: str, bandwidth: float) -> DataFrame:
-    """Squared maximum mean discrepancy, unbiased, of a Gaussian kernel with gamma 1 / (2 bandwidth); not below 0."""
-    kernel = F.exp(-F.pow(V.distance(F.col("x"), F.col("y")), F.lit(2)) / (2 * bandwidth))
-    m = _means(_sides(pairs, key, vector), kernel, False)
-    return m.select(*PAIR, F.greatest(F.lit(0.0), F.col("xx") + F.col("yy") - 2 * F.col("xy")).alias("value"))
+def cosine_moments(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """same (whether labels agree), n, mean and sd of the cosines of all pairs of rows, without forming one.
 
+    Of unit vectors u the pairs' cosines sum to (|sum u|^2 - n) / 2 and their squares to (|sum u u'|^2 - n) / 2, so each task sends one sum of
+    vectors and one of products a label. Rows without label, vector or length are left out.
+    """
 
-def sliced_wasserstein(pairs: DataFrame, vector: str, directions: list[list[float]]) -> DataFrame:
-    """Root mean square, over directions, of the distance of the projected sides matched by rank; sides must be of equal size."""
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("d"), F.array(*map(F.lit, d)).alias("u")) for i, d in enumerate(directions)))).alias("p")
-    p = pairs.select(*PAIR, "side", vector, each).select(*PAIR, "side", "p.d", V.dot(F.col(vector), F.col("p.u")).alias("q"))
-    r = p.withColumn("r", F.row_number().over(Window.partitionBy(*PAIR, "side", "d").orderBy("q")))
-    m = r.groupBy(*PAIR, "d", "r").agg(F.max(F.when(F.col("side") == "before", F.col("q"))).alias("x"), F.max(F.when(F.col("side") == "after", F.col("q"))).alias("y"))
-    return m.groupBy(*PAIR).agg(F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), 2))).alias("value"))
+    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[object, np.ndarray] = {}
+        for rows in it:
+            for key, v in rows.groupby("label")["v"]:
+                u = np.array(v.tolist(), float)
+                length = np.sqrt((u * u).sum(axis=1, keepdims=True))
+                u = (u / np.where(length > 0, length, 1))[length[:, 0] > 0]
+                mine = np.concatenate([[len(u)], u.sum(axis=0), (u.T @ u).ravel()])
+                sums[key] = sums[key] + mine if key in sums else mine
+        for key, x in sums.items():
+            yield pd.DataFrame({"label": key, "i": np.arange(len(x)), "dims": int(round(len(x) ** 0.5 - 0.5)), "x": x})
+
+    kind = dict(df.dtypes)[label]
+    each = df.select(F.col(label).alias("label"), F.col(vector).alias("v")).where("label IS NOT NULL AND v IS NOT NULL").mapInPandas(part, f"label {kind}, i long, dims long, x double")
+    by_label = each.groupBy("label", "i", "dims").agg(F.sum("x").alias("x"))
+
+    def pairs(sums: DataFrame, *by: str) -> DataFrame:
+        where = lambda c: F.sum(F.when(c, F.col("x") * F.col("x")).otherwise(0.0))
+        n, first = F.sum(F.when(F.col("i") == 0, F.col("x"))), F.col("i").between(1, F.col("dims"))
+        m = sums.groupBy(*by).agg(n.alias("k"), where(first).alias("s"), where(F.col("i") > F.col("dims")).alias("q"))
+        return m.agg(F.sum(F.expr("k * (k - 1) / 2")).alias("n"), F.sum(F.expr("(s - k) / 2")).alias("s"), F.sum(F.expr("(q - k) / 2")).alias("q"))
+
+    same = pairs(by_label, "label")
+    whole = pairs(by_label.groupBy("i", "dims").agg(F.sum("x").alias("x")))
+    apart = whole.crossJoin(same.toDF("n2", "s2", "q2")).selectExpr("false AS same", "n - n2 AS n", "s - s2 AS s", "q - q2 AS q")  # one row each
+    both = same.selectExpr("true AS same", "n", "s", "q").unionByName(apart).where("n > 0.5")
+    return both.selectExpr("same", "CAST(round(n) AS bigint) AS n", "s / n AS mean", "CASE WHEN n > 1.5 THEN sqrt(greatest(0D, (q - s * s / n) / (n - 1))) END AS sd")
 
 
 def centroid_shift(pairs: DataFrame, vector: str) -> DataFrame:
@@ -98,9 +100,10 @@ def novelty(works: DataFrame, weights: DataFrame, key: str, year: str, window: i
     A document's terms are few, so only they are summed; a term that the window lacks has EPSILON.
     """
     y = works.select(F.col(key), F.col(year).alias("y"))
+    yearly = y.join(weights, key).groupBy("y", "term").agg(F.sum("w").alias("w"))  # a year's terms move, not each document's
     shift = F.explode(F.expr(f"array_except(sequence(-{window}, {window}), array(0))")).alias("d")
-    about = y.select(key, shift, "y").select(key, (F.col("y") - F.col("d")).alias("anchor"), F.when(F.col("d") < 0, "past").otherwise("future").alias("side"))
-    group = about.join(weights, key).groupBy("anchor", "side", "term").agg(F.sum("w").alias("g"))
+    about = yearly.select("y", "term", "w", shift).select((F.col("y") - F.col("d")).alias("anchor"), F.when(F.col("d") < 0, "past").otherwise("future").alias("side"), "term", "w")
+    group = about.groupBy("anchor", "side", "term").agg(F.sum("w").alias("g"))
     total = group.groupBy("anchor", "side").agg(F.sum("g").alias("t"))
     ends = y.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     doc = y.crossJoin(F.broadcast(ends)).where(f"y >= lo + {window} AND y <= hi - {window}").join(weights, key)

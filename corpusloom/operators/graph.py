@@ -47,6 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
 def cocitation(edges: DataFrame, least: int, multiple: bool = False) -> DataFrame:
     """a < b and n, the citing documents (src) that share both refs; with multiple, each repetition of an edge counts."""
     e = edges.select("src", "ref") if multiple else edges.select("src", "ref").distinct()
+    if least > 1:  # a ref in fewer edges is in no pair that counts
+        known = e.groupBy("ref").agg(F.count("*").alias("k"))
+        e = e.join(known.where(F.col("k") >= least).select("ref"), "ref", "left_semi")
     pairs = e.select("src", F.col("ref").alias("a")).join(e.select("src", F.col("ref").alias("b")), "src").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

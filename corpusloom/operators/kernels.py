@@ -106,6 +106,35 @@ def _distances(v: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, sq[:, None] + sq[None, :] - 2 * v @ v.T))
 
 
+def mmd(d2: np.ndarray, n: int, bandwidth: float) -> float:
+    """Squared maximum mean discrepancy, unbiased, of a Gaussian kernel; not below 0. d2: squared distances of all, the first n of one side."""
+    k = np.exp(-d2 / (2 * bandwidth)) if bandwidth > 0 else np.exp(-d2)
+    m = len(d2) - n
+    within = [(x.sum() - np.trace(x)) / (c * (c - 1)) for x, c in ((k[:n, :n], n), (k[n:, n:], m))]
+    return max(0.0, float(sum(within) - 2 * k[:n, n:].mean()))
+
+
+def mmd_by_pair(pairs: DataFrame, vector: str, factors: Sequence[float]) -> DataFrame:
+    """anchor, window, hyperparams and value: mmd at multiples of the median of the pair's squared distances."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _split(rows, vector)
+        d2 = _distances(np.vstack([x, y])) ** 2
+        enough = len(x) > 1 and len(y) > 1
+        middle = float(np.median(d2[np.triu(np.ones(d2.shape, bool), 1)])) if enough else 0.0
+        out = [(*key, f"bw={f}x_median", mmd(d2, len(x), f * middle) if enough else None) for f in factors]
+        return pd.DataFrame(out, columns=[*PAIR, "hyperparams", "value"])
+
+    return pairs.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, hyperparams string, value double")
+
+
+def sliced_wasserstein(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, directions: int = 100) -> float:
+    """Root mean square, over random directions, of the distance of the projected sides matched by rank; sides must be of equal size."""
+    u = rng.normal(size=(x.shape[1], directions))
+    u /= np.sqrt((u * u).sum(axis=0))
+    return float(np.sqrt(((np.sort(x @ u, axis=0) - np.sort(y @ u, axis=0)) ** 2).mean()))
+
+
 def permutation_energy(pairs: DataFrame, vector: str, rounds: int = 500, seed: int = 42) -> DataFrame:
     """Per pair: the energy distance, its mean and deviation when works change sides, z and p. All rounds share one matrix of distances:
     with c = 1/n before and -1/m after, the distance is -c'Dc."""
@@ -384,6 +413,34 @@ def communities(edges: DataFrame, by: Sequence[str], resolutions: Sequence[float
     return edges.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", resolution double, node long, community long")
 
 
+def community_divergence(pairs: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """anchor, window and value: Jensen-Shannon divergence of the shares that communities have of the sides' nodes.
+
+    pairs: anchor, window, side, src, ref. The communities are those of the united graph: all edges (src, ref) between nodes of either side.
+    """
+    from pyspark.sql import functions as F
+
+    node = F.explode(F.array(F.struct(F.col("src").alias("node")), F.struct(F.col("ref").alias("node")))).alias("x")
+    nodes = pairs.select(*PAIR, "side", node).select(*PAIR, "side", "x.node").distinct()
+    there = nodes.select(*PAIR, "node").distinct()
+    e = edges.select("src", "ref").distinct().join(there.withColumnRenamed("node", "src"), "src").join(there.withColumnRenamed("node", "ref"), [*PAIR, "ref"])
+    marks = nodes.select(*PAIR, F.col("node").alias("a"), F.col("node").alias("b"), "side")
+    rows = e.select(*PAIR, F.least("src", "ref").alias("a"), F.greatest("src", "ref").alias("b"), F.lit("edge").alias("side")).distinct().unionByName(marks)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = louvain(rows.loc[rows["side"] == "edge", ["a", "b"]].assign(n=1.0), resolution)
+        sides = [np.array([found[v] for v in rows.loc[rows["side"] == s, "a"] if v in found]) for s in ("before", "after")]
+        value = None
+        if min(map(len, sides)):
+            labels = np.unique(np.concatenate(sides))
+            p, q = ((x[:, None] == labels[None, :]).mean(axis=0) for x in sides)
+            m = (p + q) / 2
+            value = float(sum((x[x > 0] * np.log(x[x > 0] / m[x > 0])).sum() for x in (p, q)) / 2)
+        return pd.DataFrame({"anchor": [key[0]], "window": [key[1]], "value": [value]})
+
+    return rows.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, value double")
+
+
 def rewire(pairs: np.ndarray, swaps: int, rng: np.random.Generator) -> np.ndarray:
     """Undirected edges after swaps of ends that keep every degree and make neither loops nor repeated edges."""
     e = pairs.copy()

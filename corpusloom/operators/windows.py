@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graph import settle
+
 
 def anchors(works: DataFrame, year: str, windows: Sequence[int]) -> DataFrame:
     """anchor and window: years from first + w up to but not including last - w."""
@@ -39,12 +41,29 @@ def uneven_pairs(works: DataFrame, year: str, windows: Sequence[int], cut: int)
     return works.join(F.broadcast(before.union(after)), year)
 
 
+#: Parts that a group is cut into before its least rows are sought, so that no task sorts a whole group.
+PARTS = 256
+
+
 def equal_n(pairs: DataFrame, key: str, seed: int, most: int) -> DataFrame:
-    """The same number of works on both sides, at most `most`, chosen by a hash of seed, anchor, window and key: a sample that any engine can draw."""
+    """The same number of works on both sides, at most `most`, chosen by a hash of seed, anchor, window and key: a sample that any engine can draw.
+
+    Each part of a side keeps its own `most` first, and only those are ranked together."""
     drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), "anchor", "window", F.col(key).cast("string")))
     n = pairs.groupBy("anchor", "window").agg(F.least(F.count_if(F.col("side") == "before"), F.count_if(F.col("side") == "after"), F.lit(most)).alias("m"))
-    w = Window.partitionBy("anchor", "window", "side").orderBy(drawn, key)
-    return pairs.withColumn("r", F.row_number().over(w)).join(F.broadcast(n), ["anchor", "window"]).where("r <= m").drop("r", "m")
+    part = pairs.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    part = top_per_group(part, most, [drawn, F.col(key)], "anchor", "window", "side", "part").drop("place", "part")
+    return top_per_group(part, most, [drawn, F.col(key)], "anchor", "window", "side").join(F.broadcast(n), ["anchor", "window"]).where("place <= m").drop("place", "m")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with name: each row's place from 1 in the whole order, which must be total. Ranges of the order are ranked apart and begin after
+    what comes before them, so no task sees all rows."""
+    part = settle(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    n = part.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = n.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return part.join(F.broadcast(before), "part").withColumn(name, F.col("before") + place).drop("part", "before")
 
 
 def z_scores(series: DataFrame, value: str, *by: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vector as V
 from corpusloom.operators import divergence as D
+from corpusloom.operators import clusters, kernels
 from corpusloom.operators import graph as G
 from corpusloom.operators import windows as W
 from corpusloom.plans.registry import query
@@ -15,30 +16,23 @@ from corpusloom.plans.standins import EDGES, VECTORS, edges, vectors
 from corpusloom.plans.window_queries import PAIRS, pairs
 
 C = F.col
-#: few: the edges of every 40th order; near: an undirected graph between parts of neighbouring numbers; labels: brands.
-FEW = f"{EDGES}, few AS (SELECT * FROM edges WHERE src % 10 = 0)"
-NEAR = f"{EDGES}, near AS (SELECT DISTINCT least(src % 300, ref % 300) AS a, greatest(src % 300, ref % 300) AS b FROM edges WHERE src % 25 = 0 AND src % 300 <> ref % 300), labels AS (SELECT p_partkey AS node, p_brand AS label FROM part)"
-SMALL = "small AS (SELECT a, b FROM near WHERE (a + b) % 9 = 0)"
+#: whole: the undirected graph of all edges; labels: brands of those nodes that are parts.
+WHOLE = f"{EDGES}, whole AS (SELECT DISTINCT least(src, ref) AS a, greatest(src, ref) AS b FROM edges WHERE src <> ref), labels AS (SELECT p_partkey AS node, p_brand AS label FROM part)"
 
 
-def few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).where("src % 10 = 0")
-
-
-def near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir).where("src % 25 = 0").selectExpr("src % 300 AS x", "ref % 300 AS y")
-    return G.undirected(e, "x", "y")
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The undirected graph of all edges."""
+    return G.undirected(edges(spark, sf_dir), "src", "ref")
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(C("p_partkey").alias("node"), C("p_brand").alias("label"))
 
 
-@query("gr_cocite", "WITH e AS (SELECT l_orderkey AS src, l_partkey % 400 AS ref FROM lineitem WHERE l_orderkey % 3 = 0) SELECT x.ref AS a, y.ref AS b, count(*) AS n FROM e x JOIN e y ON x.src = y.src AND x.ref < y.ref GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("gr_cocite", "WITH e AS (SELECT l_orderkey AS src, l_partkey AS ref FROM lineitem) SELECT x.ref AS a, y.ref AS b, count(*) AS n FROM e x JOIN e y ON x.src = y.src AND x.ref < y.ref GROUP BY 1, 2 HAVING count(*) >= 2")
 def gr_cocite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated edges count each time."""
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").selectExpr("l_orderkey AS src", "l_partkey % 400 AS ref")
-    return G.cocitation(e, 3, multiple=True)
+    return G.cocitation(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS src", "l_partkey AS ref"), 2, multiple=True)
 
 
 @query("gr_cocite_bin", f"WITH {EDGES} SELECT x.ref AS a, y.ref AS b, count(*) AS n FROM edges x JOIN edges y ON x.src = y.src AND x.ref < y.ref GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -56,19 +50,20 @@ def gr_coupling_jacc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.coupling_jaccard(edges(spark, sf_dir), 3).withColumn("distance", F.round("distance", 6))
 
 
-@query("gr_direct", f"WITH {NEAR} SELECT a, b FROM near")
+@query("gr_direct", f"WITH {WHOLE} SELECT a, b FROM whole")
 def gr_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near(spark, sf_dir)
+    return whole(spark, sf_dir)
 
 
-@query("gr_degree", f"WITH {FEW} SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM few UNION ALL SELECT ref, 0, 1 FROM few) GROUP BY node")
+@query("gr_degree", f"WITH {EDGES} SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT ref, 0, 1 FROM edges) GROUP BY node")
 def gr_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(few(spark, sf_dir))
+    return G.degrees(edges(spark, sf_dir))
 
 
-@query("gr_components", f"WITH RECURSIVE {NEAR}, {SMALL}, s AS (SELECT a, b FROM small UNION SELECT b, a FROM small), r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
+@query("gr_components")
 def gr_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(near(spark, sf_dir).where("(a + b) % 9 = 0"))
+    """No SQL: a recursive statement lists all pairs within reach."""
+    return G.components(whole(spark, sf_dir))
 
 
 _PR = "".join(
@@ -77,38 +72,38 @@ _PR = "".join(
 )
 
 
-@query("gr_pagerank", f"WITH {FEW}, e AS (SELECT DISTINCT src, ref FROM few WHERE src <> ref), d AS (SELECT src, count(*) AS d FROM e GROUP BY 1), v AS (SELECT node, node NOT IN (SELECT src FROM e) AS leaf FROM (SELECT src AS node FROM e UNION SELECT ref FROM e)), r0 AS (SELECT node, leaf, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v){_PR} SELECT node, round(rank * 1000, 7) AS rank FROM r5")
+@query("gr_pagerank", f"WITH {EDGES}, e AS (SELECT DISTINCT src, ref FROM edges WHERE src <> ref), d AS (SELECT src, count(*) AS d FROM e GROUP BY 1), v AS (SELECT node, node NOT IN (SELECT src FROM e) AS leaf FROM (SELECT src AS node FROM e UNION SELECT ref FROM e)), r0 AS (SELECT node, leaf, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v){_PR} SELECT node, round(rank * 1000, 7) AS rank FROM r5")
 def gr_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(few(spark, sf_dir), 5).select("node", F.round(C("rank") * 1000, 7).alias("rank"))
+    return G.pagerank(edges(spark, sf_dir), 5).select("node", F.round(C("rank") * 1000, 7).alias("rank"))
 
 
-_LABELLED = f"{NEAR}, l AS (SELECT a, b, x.label AS la, y.label AS lb FROM near JOIN labels x ON a = x.node JOIN labels y ON b = y.node)"
+_LABELLED = f"{WHOLE}, l AS (SELECT a, b, x.label AS la, y.label AS lb FROM whole JOIN labels x ON a = x.node JOIN labels y ON b = y.node)"
 
 
 @query("gr_modularity", f"WITH {_LABELLED}, d AS (SELECT label, count(*) AS d FROM (SELECT la AS label FROM l UNION ALL SELECT lb FROM l) GROUP BY 1), i AS (SELECT la AS label, count(*) AS n FROM l WHERE la = lb GROUP BY 1), m AS (SELECT count(*) AS m FROM l) SELECT round(sum(coalesce(n, 0) / m - pow(d / (2 * m), 2)), 6) AS modularity FROM d LEFT JOIN i USING (label), m")
 def gr_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.modularity(near(spark, sf_dir), brands(spark, sf_dir)).select(F.round("modularity", 6).alias("modularity"))
+    return G.modularity(whole(spark, sf_dir), brands(spark, sf_dir)).select(F.round("modularity", 6).alias("modularity"))
 
 
 @query("gr_within_share", f"WITH {_LABELLED} SELECT count(*) AS n, round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0 END), 6) AS share FROM l")
 def gr_within_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.within_share(near(spark, sf_dir), brands(spark, sf_dir)).withColumn("share", F.round("share", 6))
+    return G.within_share(whole(spark, sf_dir), brands(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
 @query("gr_assort", f"WITH {_LABELLED}, b AS (SELECT la, lb FROM l UNION ALL SELECT lb, la FROM l), t AS (SELECT count(*) AS t, count(*) FILTER (WHERE la = lb) AS s FROM b), q AS (SELECT sum(n * n) AS q FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY la)) SELECT round((s / t - q / (t * t)) / (1 - q / (t * t)), 6) AS assortativity FROM t, q")
 def gr_assort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.assortativity(near(spark, sf_dir), brands(spark, sf_dir)).select(F.round("assortativity", 6).alias("assortativity"))
+    return G.assortativity(whole(spark, sf_dir), brands(spark, sf_dir)).select(F.round("assortativity", 6).alias("assortativity"))
 
 
-@query("gr_edge_metric", f"WITH {NEAR}, {VECTORS} SELECT CAST(a % 5 AS BIGINT) AS year, count(*) AS n, round(avg(list_cosine_similarity(x.v, y.v)), 6) AS mean FROM near JOIN vectors x ON a = x.vec_id JOIN vectors y ON b = y.vec_id GROUP BY 1")
+@query("gr_edge_metric", f"WITH {WHOLE}, {VECTORS} SELECT CAST(a % 5 AS BIGINT) AS year, count(*) AS n, round(avg(list_cosine_similarity(x.v, y.v)), 6) AS mean FROM whole JOIN vectors x ON a = x.vec_id JOIN vectors y ON b = y.vec_id GROUP BY 1")
 def gr_edge_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select("vec_id", "v")
-    return G.edge_metric(near(spark, sf_dir).withColumn("year", C("a") % 5), v, V.cosine, "year").withColumn("mean", F.round("mean", 6))
+    return G.edge_metric(whole(spark, sf_dir).withColumn("year", C("a") % 5), v, V.cosine, "year").withColumn("mean", F.round("mean", 6))
 
 
 @query("gr_meta", f"WITH {_LABELLED} SELECT least(la, lb) AS la, greatest(la, lb) AS lb, count(*) AS n FROM l GROUP BY 1, 2")
 def gr_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.meta_graph(near(spark, sf_dir), brands(spark, sf_dir))
+    return G.meta_graph(whole(spark, sf_dir), brands(spark, sf_dir))
 
 
 @query("gr_align", "WITH x AS (SELECT p_partkey AS node, p_brand AS a, p_type AS b FROM part), s AS (SELECT a, b, count(*) AS n FROM x GROUP BY 1, 2), p AS (SELECT a, count(*) AS p FROM x GROUP BY 1), q AS (SELECT b, count(*) AS q FROM x GROUP BY 1) SELECT a, b, round(n / (p + q - n), 6) AS jaccard FROM s JOIN p USING (a) JOIN q USING (b)")
@@ -153,34 +148,33 @@ def gr_sem6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.community_share(table(spark, sf_dir, "part"), "p_type", 0.02).groupBy(C("p_type").alias("cluster"), C("p_brand").alias("community")).agg(F.count("*").alias("n"))
 
 
-_DIST = "x.v AS x, y.v AS y, x.side AS s, y.side AS t, x.vec_id AS i, y.vec_id AS j, x.anchor AS anchor, x.\"window\" AS \"window\" FROM p x JOIN p y ON x.anchor = y.anchor AND x.\"window\" = y.\"window\""
-_P = f"{PAIRS}, p AS (SELECT * FROM pairs WHERE vec_id % 3 = 0)"
+#: The most vectors a side of a window pair, as the operator's own limit; both sides are drawn to equal size by a hash.
+MOST = 2000
+_EQUAL = f"""{PAIRS}, n AS (SELECT anchor, "window", least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after'), {MOST}) AS m FROM pairs GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY anchor, "window", side ORDER BY md5(concat('42|', anchor, '|', "window", '|', vec_id)), vec_id) AS r FROM pairs), eq AS (SELECT r.* FROM r JOIN n USING (anchor, "window") WHERE r <= m)"""
+_DIST = "x.v AS x, y.v AS y, x.side AS s, y.side AS t, x.vec_id AS i, y.vec_id AS j, x.anchor AS anchor, x.\"window\" AS \"window\" FROM eq x JOIN eq y ON x.anchor = y.anchor AND x.\"window\" = y.\"window\""
 
 
-def _third(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.sliding_pairs(vectors(spark, sf_dir), "year", (1, 2)).where("vec_id % 3 = 0")
+def drawn(spark: SparkSession, sf_dir: str, most: int = MOST) -> DataFrame:
+    return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, most).select("anchor", C("window").cast("int").alias("window"), "side", "vec_id", "v")
 
 
-@query("div_s2", f'WITH {_P}, d AS (SELECT list_distance(x, y) AS d, * FROM (SELECT {_DIST})) SELECT anchor, "window", round(2 * avg(d) FILTER (WHERE s = \'before\' AND t = \'after\') - avg(d) FILTER (WHERE s = \'before\' AND t = \'before\') - avg(d) FILTER (WHERE s = \'after\' AND t = \'after\'), 6) AS value FROM d GROUP BY 1, 2')
+@query("div_s2", f'WITH {_EQUAL}, d AS (SELECT list_distance(x, y) AS d, * FROM (SELECT {_DIST})) SELECT anchor, "window", round(2 * avg(d) FILTER (WHERE s = \'before\' AND t = \'after\') - avg(d) FILTER (WHERE s = \'before\' AND t = \'before\') - avg(d) FILTER (WHERE s = \'after\' AND t = \'after\'), 6) AS value FROM d GROUP BY 1, 2')
 def div_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.energy(_third(spark, sf_dir), "vec_id", "v").withColumn("value", F.round("value", 6))
+    return kernels.by_pair(drawn(spark, sf_dir), "v", kernels.energy).withColumn("value", F.round("value", 6))
 
 
-@query("div_s1", f'WITH {_P}, d AS (SELECT exp(-pow(list_distance(x, y), 2) / 4.0) AS d, * FROM (SELECT {_DIST}) WHERE i <> j) SELECT anchor, "window", round(greatest(0, avg(d) FILTER (WHERE s = \'before\' AND t = \'before\') + avg(d) FILTER (WHERE s = \'after\' AND t = \'after\') - 2 * avg(d) FILTER (WHERE s = \'before\' AND t = \'after\')), 6) AS value FROM d GROUP BY 1, 2')
+@query("div_s1", f"""WITH {_EQUAL}, d AS (SELECT pow(list_distance(x, y), 2) AS d2, * FROM (SELECT {_DIST}) WHERE i <> j), b AS (SELECT anchor, "window", f, f * median(d2) AS b FROM (SELECT * FROM d WHERE s = 'before' AND t = 'before' AND i < j OR s = 'after' AND t = 'after' AND i < j OR s = 'before' AND t = 'after'), (VALUES (0.5), (1.0), (2.0)) q(f) GROUP BY anchor, "window", f),
+  k AS (SELECT anchor, "window", f, s, t, exp(-d2 / (2 * b)) AS k FROM d JOIN b USING (anchor, "window")) SELECT anchor, "window", concat('bw=', f, 'x_median') AS hyperparams, round(greatest(0, avg(k) FILTER (WHERE s = 'before' AND t = 'before') + avg(k) FILTER (WHERE s = 'after' AND t = 'after') - 2 * avg(k) FILTER (WHERE s = 'before' AND t = 'after')), 6) AS value FROM k GROUP BY anchor, "window", f""")
 def div_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.mmd(_third(spark, sf_dir), "vec_id", "v", 2.0).withColumn("value", F.round("value", 6))
-
-
-DIRECTIONS = [[((i * 7 + d * 13) % 11 - 5) / 10 for i in range(64)] for d in range(5)]
-_U = ", ".join(f"({d}, {u})" for d, u in enumerate(DIRECTIONS))
+    """At half, once and twice the median squared distance."""
+    return kernels.mmd_by_pair(drawn(spark, sf_dir), "v", (0.5, 1.0, 2.0)).withColumn("value", F.round("value", 6))
 
 
-@query("div_s3", f"""WITH {PAIRS}, n AS (SELECT anchor, "window", least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after'), 50) AS m FROM pairs GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY anchor, "window", side ORDER BY md5(concat('42|', anchor, '|', "window", '|', vec_id)), vec_id) AS r FROM pairs), eq AS (SELECT r.* FROM r JOIN n USING (anchor, "window") WHERE r <= m),
-  q AS (SELECT anchor, "window", side, d, list_dot_product(v, CAST(u AS DOUBLE[])) AS q FROM eq, (VALUES {_U}) t(d, u)), k AS (SELECT *, row_number() OVER (PARTITION BY anchor, "window", side, d ORDER BY q) AS r FROM q)
-  SELECT anchor, "window", round(sqrt(avg(pow(x.q - y.q, 2))), 6) AS value FROM k x JOIN k y USING (anchor, "window", d, r) WHERE x.side = 'before' AND y.side = 'after' GROUP BY 1, 2""")
+@query("div_s3")
 def div_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.sliced_wasserstein(W.equal_n(pairs(spark, sf_dir), "vec_id", 42, 50), "v", DIRECTIONS).withColumn("value", F.round("value", 6))
+    """Over 100 random directions."""
+    return kernels.by_pair(drawn(spark, sf_dir), "v", kernels.sliced_wasserstein)
 
 
 @query("ml_series", f"""WITH {PAIRS}, n AS (SELECT anchor, "window", label, count(*) FILTER (WHERE side = 'before') AS b, count(*) FILTER (WHERE side = 'after') AS a FROM pairs GROUP BY ALL), p AS (SELECT anchor, "window", b / sum(b) OVER w AS p, a / sum(a) OVER w AS q FROM n WINDOW w AS (PARTITION BY anchor, "window"))
@@ -205,16 +199,14 @@ def ml_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.crossJoin(F.broadcast(p.agg(F.percentile("p", F.lit(0.5)).alias("m")))).select("vec_id", F.round(C("p") - C("m"), 6).alias("projection"))
 
 
-@query("ml_embed_qa", f"WITH {VECTORS}, d AS (SELECT a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS c FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0) SELECT same, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS sd FROM d GROUP BY same")
+@query("ml_embed_qa", f"WITH {VECTORS}, d AS (SELECT a.label = b.label AS same, list_cosine_similarity(a.v, b.v) AS c FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id) SELECT same, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS sd FROM d GROUP BY same")
 def ml_embed_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines within and between labels over a stated sample of vectors."""
-    v = vectors(spark, sf_dir).where("vec_id % 5 = 0").select("vec_id", "label", "v")
-    d = v.toDF("i", "p", "x").join(v.toDF("j", "q", "y"), C("i") < C("j")).select((C("p") == C("q")).alias("same"), V.cosine(C("x"), C("y")).alias("c"))
-    return d.groupBy("same").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_samp("c"), 6).alias("sd"))
+    """Cosines of all pairs within and between labels, from the moments of each label's unit vectors: no pair is formed."""
+    return D.cosine_moments(vectors(spark, sf_dir), "label", "v").select("same", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-#: terms: words of three letters or more of short documents with their year.
-TERMS = r"""docs AS (SELECT doc_id, 1995 + doc_id % 10 AS year, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents WHERE n_chars < 1500), terms AS (SELECT doc_id, year, unnest(w) AS term FROM docs),
+#: terms: words of three letters or more of every document, with its year.
+TERMS = r"""docs AS (SELECT doc_id, 1995 + doc_id % 10 AS year, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents), terms AS (SELECT doc_id, year, unnest(w) AS term FROM docs),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
   weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)"""
 LEX = f"""{TERMS}, a AS (SELECT w AS "window", unnest(range(1995 + w, 2004 - w)) AS anchor FROM (VALUES (2)) t(w)), d AS (SELECT DISTINCT doc_id, year FROM terms),
@@ -222,12 +214,8 @@ LEX = f"""{TERMS}, a AS (SELECT w AS "window", unnest(range(1995 + w, 2004 - w))
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_terms(spark, sf_dir, "n_chars < 1500")
-
-
-def all_terms(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """The terms of every document's whole text."""
-    d = table(spark, sf_dir, "documents").where(which)
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", (1995 + C("doc_id") % 10).alias("year"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
 
 
@@ -236,10 +224,9 @@ def _lex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return W.sliding_pairs(t.select("doc_id", "year").distinct(), "year", (2,)), D.tfidf(t, "doc_id", "term")
 
 
-@query("fn_tfidf", f"WITH {TERMS} SELECT doc_id, term, round(w, 6) AS w FROM weights WHERE doc_id % 20 = 0")
+@query("fn_tfidf", f"WITH {TERMS} SELECT doc_id, term, round(w, 6) AS w FROM weights")
 def fn_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of every twentieth document, a report; the statistics are of all."""
-    return D.tfidf(terms(spark, sf_dir), "doc_id", "term").where("doc_id % 20 = 0").withColumn("w", F.round("w", 6))
+    return D.tfidf(terms(spark, sf_dir), "doc_id", "term").withColumn("w", F.round("w", 6))
 
 
 @query("div_l1", f"""WITH {LEX}, n AS (SELECT anchor, "window", count(*) FILTER (WHERE side = 'before') AS nb, count(*) FILTER (WHERE side = 'after') AS na FROM pairs GROUP BY ALL), m AS (SELECT anchor, "window", term, coalesce(sum(w) FILTER (WHERE side = 'before'), 0) / max(nb) AS b, coalesce(sum(w) FILTER (WHERE side = 'after'), 0) / max(na) AS a FROM pairs JOIN weights USING (doc_id) JOIN n USING (anchor, "window") GROUP BY ALL),
@@ -280,11 +267,11 @@ def div_g3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.age_shift(edges(spark, sf_dir).select("year", (1990 + C("ref") % 12).alias("ref_year")), 3)
 
 
-_GPAIRS = f"""{EDGES}, e AS (SELECT * FROM edges WHERE src % 2 = 0), a AS (SELECT w AS "window", unnest(range(1995 + w, 2001 - w)) AS anchor FROM (VALUES (1), (2)) t(w)), pairs AS (SELECT anchor, "window", CASE WHEN year < anchor THEN 'before' ELSE 'after' END AS side, src, ref FROM a JOIN e ON year BETWEEN anchor - "window" AND anchor - 1 OR year BETWEEN anchor + 1 AND anchor + "window")"""
+_GPAIRS = f"""{EDGES}, a AS (SELECT w AS "window", unnest(range(1995 + w, 2001 - w)) AS anchor FROM (VALUES (1), (2)) t(w)), pairs AS (SELECT anchor, "window", CASE WHEN year < anchor THEN 'before' ELSE 'after' END AS side, src, ref FROM a JOIN edges ON year BETWEEN anchor - "window" AND anchor - 1 OR year BETWEEN anchor + 1 AND anchor + "window")"""
 
 
 def _edge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.sliding_pairs(edges(spark, sf_dir).where("src % 2 = 0"), "year", (1, 2))
+    return W.sliding_pairs(edges(spark, sf_dir), "year", (1, 2))
 
 
 @query("div_g6", f"""WITH {_GPAIRS}, d AS (SELECT anchor, "window", side, ref, count(*) AS d FROM pairs GROUP BY ALL), n AS (SELECT anchor, "window", side, d, count(*) AS n FROM d GROUP BY ALL), h AS (SELECT anchor, "window", side, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM n GROUP BY ALL) SELECT anchor, "window", round(abs(sum(CASE WHEN side = 'after' THEN h ELSE -h END)), 6) AS value FROM h GROUP BY 1, 2""")
@@ -292,21 +279,20 @@ def div_g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.degree_entropy_shift(_edge_pairs(spark, sf_dir), "ref").withColumn("value", F.round("value", 6))
 
 
-@query("div_g7", f"WITH {FEW}, e AS (SELECT DISTINCT src % 200 AS src, ref % 200 AS ref FROM few WHERE src % 200 > ref % 200), x AS (SELECT DISTINCT a.src AS node, b.src AS citer FROM e a JOIN e b ON a.ref = b.ref AND b.src <> a.src), y AS (SELECT ref AS node, src AS citer FROM e WHERE ref IN (SELECT src FROM e)), j AS (SELECT coalesce(x.node, y.node) AS node, x.node IS NOT NULL AS r, y.node IS NOT NULL AS d FROM x FULL JOIN y ON x.node = y.node AND x.citer = y.citer), n AS (SELECT node, count(*) FILTER (WHERE d AND NOT r) AS i, count(*) FILTER (WHERE d AND r) AS j, count(*) FILTER (WHERE NOT d) AS k FROM j GROUP BY node) SELECT node, round((i - j) / (i + j + k), 6) AS cd FROM n WHERE i + j > 0")
+@query("div_g7", f"WITH {EDGES}, e AS (SELECT DISTINCT src, ref FROM edges WHERE src > ref), x AS (SELECT DISTINCT a.src AS node, b.src AS citer FROM e a JOIN e b ON a.ref = b.ref AND b.src <> a.src), y AS (SELECT ref AS node, src AS citer FROM e WHERE ref IN (SELECT src FROM e)), j AS (SELECT coalesce(x.node, y.node) AS node, x.node IS NOT NULL AS r, y.node IS NOT NULL AS d FROM x FULL JOIN y ON x.node = y.node AND x.citer = y.citer), n AS (SELECT node, count(*) FILTER (WHERE d AND NOT r) AS i, count(*) FILTER (WHERE d AND r) AS j, count(*) FILTER (WHERE NOT d) AS k FROM j GROUP BY node) SELECT node, round((i - j) / (i + j + k), 6) AS cd FROM n WHERE i + j > 0")
 def div_g7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = few(spark, sf_dir).selectExpr("src % 200 AS src", "ref % 200 AS ref").where("src > ref")
-    return D.disruption(e).withColumn("cd", F.round("cd", 6))
+    return D.disruption(edges(spark, sf_dir).where("src > ref")).withColumn("cd", F.round("cd", 6))
 
 
-@query("div_g4", f"WITH {_LABELLED} SELECT CAST(a % 5 AS BIGINT) AS year, round(avg(CASE WHEN la <> lb THEN 1.0 ELSE 0 END), 6) AS value FROM l GROUP BY 1")
+@query("div_g4")
 def div_g4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that cross a given split, by year."""
-    return D.crossing_share(near(spark, sf_dir).withColumn("year", C("a") % 5), brands(spark, sf_dir), "year").withColumn("value", F.round("value", 6))
+    """By year, the share of edges between the two communities of the whole graph."""
+    e = edges(spark, sf_dir).where("src <> ref")
+    return D.crossing_share(e.select(C("src").alias("a"), C("ref").alias("b"), "year"), clusters.spectral(whole(spark, sf_dir).withColumn("n", F.lit(1.0)), 2).toDF("node", "label"), "year")
 
 
-@query("div_g9", f"""WITH {_GPAIRS}, n AS (SELECT anchor, "window", p_brand AS l, count(*) FILTER (WHERE side = 'before') AS b, count(*) FILTER (WHERE side = 'after') AS a FROM pairs JOIN part ON ref = p_partkey GROUP BY ALL), p AS (SELECT anchor, "window", b / sum(b) OVER w AS p, a / sum(a) OVER w AS q FROM n WINDOW w AS (PARTITION BY anchor, "window"))
-  SELECT anchor, "window", round(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 6) AS value FROM p GROUP BY 1, 2""")
+@query("div_g9")
 def div_g9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergence of the shares of given communities."""
-    e = _edge_pairs(spark, sf_dir).join(brands(spark, sf_dir).toDF("ref", "label"), "ref")
-    return D.share_divergence(e, "label").withColumn("value", F.round("value", 6))
+    """Divergence of the shares of the communities found in each window pair's united graph."""
+    p = _edge_pairs(spark, sf_dir).where("src <> ref").select("anchor", C("window").cast("int").alias("window"), "side", "src", "ref").distinct()
+    return kernels.community_divergence(p, edges(spark, sf_dir).where("src <> ref"))

@@ -45,10 +45,10 @@ def flt_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged(spark, sf_dir).where("f3").select("doc_id")
 
 
-@query("flt_cit_isolated", f"WITH {EDGES} SELECT c_custkey AS id FROM customer WHERE 1995 + c_custkey % 8 <= 2000 AND NOT EXISTS (SELECT 1 FROM edges WHERE src = c_custkey AND ref % 5 = 0) AND NOT EXISTS (SELECT 1 FROM edges WHERE ref = c_custkey AND ref % 5 = 0)")
+@query("flt_cit_isolated", f"WITH {EDGES} SELECT o_orderkey AS id FROM orders WHERE year(o_orderdate) <= 1998 AND NOT EXISTS (SELECT 1 FROM edges WHERE src = o_orderkey) AND NOT EXISTS (SELECT 1 FROM edges WHERE ref = o_orderkey)")
 def flt_cit_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "customer").select(C("c_custkey").alias("id"), (1995 + C("c_custkey") % 8).alias("year"))
-    return Q.isolated(w, edges(spark, sf_dir).where("ref % 5 = 0"), "id", 2000)
+    w = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"))
+    return Q.isolated(w, edges(spark, sf_dir), "id", 1998)
 
 
 @query(

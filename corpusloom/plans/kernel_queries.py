@@ -8,30 +8,21 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import clusters, graph, kernels
 from corpusloom.operators import windows as W
-from corpusloom.plans.divergence_queries import NEAR, brands, near
+from corpusloom.plans.divergence_queries import WHOLE, brands, drawn, whole
 from corpusloom.plans.registry import query
 from corpusloom.plans.session import table
 from corpusloom.plans.standins import VECTORS, edges, vectors
-from corpusloom.plans.window_queries import DATED, dated, pairs, series
+from corpusloom.plans.window_queries import DATED, dated, series
 
 C = F.col
 
 
-def drawn(spark: SparkSession, sf_dir: str, most: int = 2000) -> DataFrame:
-    return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, most).select("anchor", C("window").cast("int").alias("window"), "side", "vec_id", "v")
-
-
 def edge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges by window and side."""
     e = edges(spark, sf_dir).where("src <> ref")
     return W.sliding_pairs(e, "year", (1, 2)).select("anchor", C("window").cast("int").alias("window"), "side", "src", "ref").distinct()
 
 
-def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The undirected graph of all edges."""
-    return graph.undirected(edges(spark, sf_dir), "src", "ref")
-
-
 @query("div_s4")
 def div_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.by_pair(drawn(spark, sf_dir), "v", kernels.frechet)
@@ -46,9 +37,9 @@ def div_c2st_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def div_c2st_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As div_c2st_emb on the weights of the 50 commonest terms."""
     from corpusloom.operators import divergence
-    from corpusloom.plans.divergence_queries import all_terms
+    from corpusloom.plans.divergence_queries import terms
 
-    t = all_terms(spark, sf_dir)
+    t = terms(spark, sf_dir)
     best = t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50).select("term")
     w = divergence.tfidf(t, "doc_id", "term").join(F.broadcast(best), "term")
     v = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
@@ -125,7 +116,7 @@ def rs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dated(spark, sf_dir)
     n = d.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(d.agg(F.count("*").alias("t"))))
     k = n.select("status", F.greatest(F.lit(1), F.floor(100 * C("n") / C("t"))).alias("k"))
-    ranked = W.top_per_group(d, 1 << 30, [F.md5(F.concat(F.lit("7|"), C("id").cast("string"))), C("id")], "status")
+    ranked = W.top_per_group(d, 100, [F.md5(F.concat(F.lit("7|"), C("id").cast("string"))), C("id")], "status")
     return ranked.join(F.broadcast(k), "status").where("place <= k").select("id", "status")
 
 
@@ -144,10 +135,10 @@ def gr_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUND = "v{0} AS (SELECT node, label FROM l{1} UNION ALL SELECT s.a, label FROM s JOIN l{1} ON s.b = node), c{0} AS (SELECT node, label, count(*) AS n FROM v{0} GROUP BY 1, 2), l{0} AS MATERIALIZED (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, label) AS r FROM c{0}) WHERE r = 1)"
 
 
-@query("gr_label_propagation", f"WITH {NEAR}, s AS (SELECT a, b FROM near UNION SELECT b, a FROM near), l0 AS (SELECT DISTINCT a AS node, a AS label FROM s), {_ROUND.format(1, 0)}, {_ROUND.format(2, 1)}, {_ROUND.format(3, 2)} SELECT node, label FROM l3")
+@query("gr_label_propagation", f"WITH {WHOLE}, s AS (SELECT a, b FROM whole UNION SELECT b, a FROM whole), l0 AS (SELECT DISTINCT a AS node, a AS label FROM s), {_ROUND.format(1, 0)}, {_ROUND.format(2, 1)}, {_ROUND.format(3, 2)} SELECT node, label FROM l3")
 def gr_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of graphs that no single task can hold."""
-    return graph.label_propagation(near(spark, sf_dir), 3)
+    return graph.label_propagation(whole(spark, sf_dir), 3)
 
 
 @query("gr_rewire")
@@ -164,9 +155,9 @@ def gr_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_quota")
 def win_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 best orders with quotas, chosen among the 2,000 best of each kind."""
+    """The 100 best orders with quotas. Of each kind the 100 best are enough: no choice of 100 takes a worse one."""
     o = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("id"), C("o_totalprice").alias("score"), (C("o_orderstatus") == "P").alias("p"), (C("o_orderpriority") == "5-LOW").alias("low"))
-    best = W.top_per_group(o, 2000, [F.desc("score"), C("id")], "p", "low").drop("place").withColumn("g", F.lit(0))
+    best = W.top_per_group(o, 100, [F.desc("score"), C("id")], "p", "low").drop("place").withColumn("g", F.lit(0))
     return best.groupBy("g").applyInPandas(lambda r: kernels.quota_selection(r.reset_index(drop=True), 100, {"p": 40, "low": 30}, "score", "id")[["id", "score", "p", "low"]], "id long, score double, p boolean, low boolean")
 
 
@@ -201,8 +192,8 @@ def ml_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ml_dip")
 def ml_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hartigan's dip of a coordinate by label, from at most 400 values each, drawn by a hash."""
-    v = W.top_per_group(vectors(spark, sf_dir).select("vec_id", "label", C("v")[0].alias("x")), 400, [F.md5(C("vec_id").cast("string"))], "label")
+    """Hartigan's dip of a coordinate by label, from at most 2,000 values each, drawn by a hash."""
+    v = W.top_per_group(vectors(spark, sf_dir).select("vec_id", "label", C("v")[0].alias("x")), 2000, [F.md5(C("vec_id").cast("string"))], "label")
     return v.groupBy("label").applyInPandas(lambda k, r: pd.DataFrame({"label": [k[0]], "n": [len(r)], "dip": [kernels.dip(r["x"].to_numpy())]}), "label long, n long, dip double")
 
 

@@ -88,7 +88,7 @@ _CC = "r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b
 
 @query(
     "ded_near",
-    rf"""WITH RECURSIVE {RECORDS}, n AS (SELECT doc_id AS id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), 1, 60) AS k1 FROM documents),
+    rf"""WITH RECURSIVE {RECORDS}, n AS (SELECT doc_id AS id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), 1, 200) AS k1 FROM documents),
         k AS (SELECT id, concat('0:', k1) AS g FROM n WHERE k1 <> '' UNION ALL SELECT id, concat('1:', {_NORM}) FROM records WHERE {_NORM} <> ''),
         b AS (SELECT g, min(id) AS m FROM k GROUP BY g HAVING count(*) >= 5), e AS (SELECT DISTINCT m AS a, id AS b FROM k JOIN b USING (g)),
         s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {_CC}, c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a),
@@ -96,27 +96,27 @@ _CC = "r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b
         SELECT id, "group", size FROM c JOIN w USING (component)""",
 )
 def ded_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.substring(T.norm_near(C("text")), 1, 60).alias("k1"))
+    body = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.substring(T.norm_near(C("text")), 1, 200).alias("k1"))
     df = records(spark, sf_dir).select("id", T.norm_title(C("title")).alias("k2")).join(body, "id")
     return R.near_groups(df, "id", [C("k1"), C("k2")], 5)
 
 
 @query(
     "ded_fuzzy_group",
-    rf"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, list_distinct(string_split({_NORM}, ' ')) AS w FROM records WHERE id % 3 = 0), p AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.id < y.id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.8 AND len(list_intersect(list_filter(x.w, lambda z: z <> ''), y.w)) > 0),
+    rf"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, list_distinct(string_split({_NORM}, ' ')) AS w FROM records), p AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.id < y.id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.8 AND len(list_intersect(list_filter(x.w, lambda z: z <> ''), y.w)) > 0),
         s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), {_CC} SELECT a AS id, min(b) AS component FROM r GROUP BY a""",
 )
 def ded_fuzzy_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import graph
 
-    pairs = R.similar_pairs(records(spark, sf_dir).where("id % 3 = 0"), "id", F.split(T.norm_title(C("title")), " "), 0.8)
+    pairs = R.similar_pairs(records(spark, sf_dir), "id", F.split(T.norm_title(C("title")), " "), 0.8)
     return graph.components(pairs.select("a", "b")).toDF("id", "component")
 
 
-@query("ded_courses", "WITH e AS (SELECT DISTINCT concat('c', l_suppkey % 40) AS c, l_partkey % 500 AS i FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT c, count(*) AS n FROM e GROUP BY c), b AS (SELECT x.c AS a, y.c AS b, count(*) AS n FROM e x JOIN e y ON x.i = y.i AND x.c < y.c GROUP BY 1, 2) SELECT a, b, b.n, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS canonical FROM b JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE b.n >= 10 AND b.n / least(p.n, q.n) > 0.62")
+@query("ded_courses", "WITH e AS (SELECT DISTINCT concat(o_orderpriority, '/', o_orderstatus) AS c, l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT c, count(*) AS n FROM e GROUP BY c), b AS (SELECT x.c AS a, y.c AS b, count(*) AS n FROM e x JOIN e y ON x.i = y.i AND x.c < y.c GROUP BY 1, 2) SELECT a, b, b.n, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS canonical FROM b JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE b.n >= 10 AND b.n / least(p.n, q.n) > 0.8")
 def ded_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").selectExpr("concat('c', l_suppkey % 40) AS c", "l_partkey % 500 AS i")
-    return R.overlapping_sets(e, "c", "i", 10, 0.62)
+    e = edges(spark, sf_dir).join(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS src", "concat(o_orderpriority, '/', o_orderstatus) AS c"), "src").selectExpr("c", "ref AS i")
+    return R.overlapping_sets(e, "c", "i", 10, 0.8)
 
 
 @query("ded_fp", f"WITH {RECORDS}, w AS (SELECT *, list_distinct(string_split({_NORM}, ' ')) AS w FROM records WHERE doi IS NOT NULL), p AS (SELECT x.doi, min(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))) AS least FROM w x JOIN w y ON x.doi = y.doi AND x.id < y.id GROUP BY 1), n AS (SELECT doi, count(*) AS n, count(DISTINCT author) > 1 AS authors_differ, count(*) FILTER (WHERE year IS NULL) AS no_year FROM w GROUP BY 1 HAVING count(*) > 1) SELECT doi, n, authors_differ, no_year, round(least, 6) AS least_similar FROM n JOIN p USING (doi)")
@@ -206,19 +206,19 @@ _SORTED = r"array_to_string(list_sort(string_split(trim(regexp_replace(regexp_re
 
 @query(
     "jn_fuzzy",
-    rf"""WITH d AS (SELECT doc_id AS id, regexp_replace(substr(text, 1, 40), '[^\x00-\x7f]', '', 'g') AS t, 1995 + doc_id % 2 AS year FROM documents), w AS (SELECT id, {_SORTED} AS s, year FROM d WHERE length(t) > 10),
-        p AS (SELECT r.id AS ref, w.id AS work, 1 - levenshtein(r.s, w.s) / greatest(length(r.s), length(w.s)) AS similarity FROM w r JOIN w ON abs(w.year - r.year) <= 1 AND r.id <> w.id AND split_part(r.s, ' ', 1) = split_part(w.s, ' ', 1) WHERE r.id % 4 = 0),
+    rf"""WITH d AS (SELECT doc_id AS id, regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7f]', '', 'g') AS t, 1995 + doc_id % 2 AS year FROM documents), w AS (SELECT id, {_SORTED} AS s, year FROM d WHERE length(t) > 10),
+        p AS (SELECT r.id AS ref, w.id AS work, 1 - levenshtein(r.s, w.s) / greatest(length(r.s), length(w.s)) AS similarity FROM w r JOIN w ON abs(w.year - r.year) <= 1 AND r.id <> w.id AND split_part(r.s, ' ', 1) = split_part(w.s, ' ', 1) WHERE r.id % 50 = 0 AND least(length(r.s), length(w.s)) >= 0.6 * greatest(length(r.s), length(w.s))),
         b AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY similarity DESC, work) AS n FROM p WHERE similarity >= 0.6) SELECT ref, work, round(similarity, 6) AS similarity FROM b WHERE n = 1""",
 )
 def jn_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.regexp_replace(F.substring("text", 1, 40), r"[^\x00-\x7f]", "").alias("title"), (1995 + C("doc_id") % 2).alias("year"))
-    return R.link_titles(d.where("id % 4 = 0"), d, 0.6).withColumn("similarity", F.round("similarity", 6))
+    d = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.regexp_replace(F.split("text", "\n")[0], r"[^\x00-\x7f]", "").alias("title"), (1995 + C("doc_id") % 2).alias("year"))
+    return R.link_titles(d.where("id % 50 = 0"), d, 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("jn_nn", f"WITH {VECTORS}, d AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.v, b.v) AS d FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE b.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM d) SELECT vec_id AS id, round(avg(d), 6) AS distance FROM r WHERE n <= 5 GROUP BY 1")
+@query("jn_nn", f"WITH {VECTORS}, d AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.v, b.v) AS d FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM d) SELECT vec_id AS id, round(avg(d), 6) AS distance FROM r WHERE n <= 5 GROUP BY 1")
 def jn_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select(C("vec_id").alias("id"), "v")
-    return R.nearest(v, v.where("id % 10 = 0"), 5).withColumn("distance", F.round("distance", 6))
+    return R.nearest(v.where("id % 50 = 0"), v, 5).withColumn("distance", F.round("distance", 6))
 
 
 @query("jn_pair_self", f"WITH {RECORDS}, w AS (SELECT id, list_filter(list_distinct(string_split({_NORM}, ' ')), lambda x: x <> '') AS w FROM records) SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard FROM w x JOIN w y ON x.id < y.id WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.7")

@@ -92,9 +92,9 @@ def win_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.interpolate(series(spark, sf_dir), "year", "value", "status").select("status", "year", F.round("value", 4).alias("value"))
 
 
-@query("win_trim", "WITH r AS (SELECT l_returnflag AS f, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WHERE l_orderkey % 50 = 0) SELECT f, min(q) AS lo, max(q) AS hi, median(q) AS median FROM r WHERE r > 5 AND r <= n - 5 GROUP BY f")
+@query("win_trim", "WITH r AS (SELECT l_returnflag AS f, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT f, min(q) AS lo, max(q) AS hi, median(q) AS median FROM r WHERE r > 5 AND r <= n - 5 GROUP BY f")
 def win_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.trimmed(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(C("l_returnflag").alias("f"), C("l_quantity").alias("q")), "q", 5, "f")
+    return W.trimmed(table(spark, sf_dir, "lineitem").select(C("l_returnflag").alias("f"), C("l_quantity").alias("q")), "q", 5, "f")
 
 
 @query("win_topk", f"WITH {EDGES} SELECT ref, count(*) AS n FROM edges GROUP BY ref ORDER BY n DESC, ref LIMIT 200")
@@ -125,13 +125,10 @@ def win_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(C("doc_id") % 90 + 10 * (1 + C("doc_id") % 3) + 0.01 * (C("doc_id") % 30) + tie, 6).alias("priority"))
 
 
-@query("win_sort", f"WITH {DATED} SELECT id, year, CAST(row_number() OVER (ORDER BY year DESC, price DESC, id) AS INTEGER) AS place FROM dated WHERE id % 20 = 0")
+@query("win_sort", f"WITH {DATED} SELECT id, year, CAST(row_number() OVER (ORDER BY year DESC, price DESC, id) AS INTEGER) AS place FROM dated")
 def win_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of a report, told by place."""
-    from pyspark.sql import Window
-
-    d = dated(spark, sf_dir).where("id % 20 = 0")
-    return d.select("id", "year", F.row_number().over(Window.orderBy(F.desc("year"), F.desc("price"), "id")).alias("place"))
+    return W.numbered(dated(spark, sf_dir).select("id", "year", "price"), [F.desc("year"), F.desc("price"), C("id")], "place").select("id", "year", C("place").cast("int").alias("place"))
 
 
 @query("win_zone", f"WITH {SERIES}, {_Z}, y AS (SELECT year FROM z WHERE z > 0 GROUP BY year HAVING count(*) >= 2), r AS (SELECT year, year - row_number() OVER (ORDER BY year) AS k FROM y) SELECT min(year) AS first, max(year) AS last, count(*) AS n FROM r GROUP BY k")
@@ -153,8 +150,8 @@ def win_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).groupBy("status").agg(F.max_by("year", "value").alias("peak"), F.round(F.max("value") - F.min("value"), 4).alias("spread"))
 
 
-@query("rs_sub", f"""WITH {PAIRS}, n AS (SELECT anchor, "window", least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after'), 50) AS m FROM pairs GROUP BY ALL),
+@query("rs_sub", f"""WITH {PAIRS}, n AS (SELECT anchor, "window", least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after'), 2000) AS m FROM pairs GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY anchor, "window", side ORDER BY md5(concat('42|', anchor, '|', "window", '|', vec_id)), vec_id) AS r FROM pairs)
   SELECT anchor, "window", side, vec_id FROM r JOIN n USING (anchor, "window") WHERE r <= m""")
 def rs_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, 50).select("anchor", "window", "side", "vec_id")
+    return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, 2000).select("anchor", "window", "side", "vec_id")

@@ -49,7 +49,7 @@ def test_kernels_of_edges():
 def test_lexical_samples_come_from_every_document(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     worded = {d.doc_id for d in docs if re.search("[a-z]{3}", (d.text or "").lower())}
-    assert {r.doc_id for r in divergence_queries.all_terms(spark, SF).select("doc_id").distinct().collect()} == worded
+    assert {r.doc_id for r in divergence_queries.terms(spark, SF).select("doc_id").distinct().collect()} == worded
     seen = []
     keep = lambda p, *_: seen.append(p) or p
     monkeypatch.setattr(inference_queries.W, "equal_n", keep)
@@ -71,3 +71,70 @@ def test_samples_and_rounds_are_the_references(spark, monkeypatch):
         catalog.QUERIES[name](spark, SF)
     assert set(most) == {2000}
     assert set(rounds) == {("permutation", 500), ("permutation_energy", 500), ("bootstrap", 200)}
+
+
+def test_components_of_every_edge(spark):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in every_edge(spark):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert {(r.node, r.component) for r in catalog.QUERIES["gr_components"](spark, SF).collect()} == {(x, find(x)) for x in root}
+
+
+def test_kernel_distances():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 3)) + [2.0, 0, 0]
+    far, near = (kernels.sliced_wasserstein(x, z, np.random.default_rng(1), 400) for z in (x + [2.0, 0, 0], x[::-1]))
+    assert near == pytest.approx(0) and far == pytest.approx(2 / 3**0.5, rel=0.1)
+    d2 = ((np.vstack([x, y])[:, None] - np.vstack([x, y])[None]) ** 2).sum(axis=2)
+    k = np.exp(-d2 / 4)
+    slow = [k[i, j] for i in range(80) for j in range(80) if i != j and (i < 40) == (j < 40)]
+    assert kernels.mmd(d2, 40, 2.0) == pytest.approx(2 * np.mean(slow) - 2 * np.mean([k[i, j] for i in range(40) for j in range(40, 80)]))
+
+
+def test_cosine_moments(spark):
+    from corpusloom.operators import divergence
+
+    rng = np.random.default_rng(6)
+    v, labels = rng.normal(size=(30, 4)), rng.integers(0, 3, 30)
+    rows = [(int(g), x.tolist()) for g, x in zip(labels, v, strict=True)] + [(0, [0.0] * 4), (None, [1.0] * 4), (1, None)]
+    got = {r.same: r for r in divergence.cosine_moments(spark.createDataFrame(rows, "g int, v array<double>").repartition(3), "g", "v").collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for same in (True, False):
+        c = [u[i] @ u[j] for i in range(30) for j in range(i) if (labels[i] == labels[j]) == same]
+        assert (got[same].n, got[same].mean, got[same].sd) == (len(c), pytest.approx(np.mean(c)), pytest.approx(np.std(c, ddof=1)))
+    assert divergence.cosine_moments(spark.createDataFrame([], "g int, v array<double>"), "g", "v").collect() == []
+
+
+def test_similar_pairs_and_overlaps(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import resolve
+
+    rng = np.random.default_rng(7)
+    sets = {i: {"common", *(f"w{x}" for x in rng.integers(0, 12, rng.integers(1, 9)))} for i in range(60)}
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "id int, t string")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    assert {(r.a, r.b) for r in resolve.similar_pairs(df, "id", F.split("t", " "), 0.7).collect()} == want
+    items = spark.createDataFrame([(f"n{i}", x) for i, s in sets.items() for x in s], "name string, item string")
+    share = {(f"n{a}", f"n{b}") for a in sets for b in sets if f"n{a}" < f"n{b}" and len(sets[a] & sets[b]) >= 3 and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) > 0.8}
+    assert {(r.a, r.b) for r in resolve.overlapping_sets(items, "name", "item", 3, 0.8).collect()} == share
+
+
+def test_numbered_and_equal_samples(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import windows
+
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k"), "id")
+    rows = sorted((r.k, r.id, r.place) for r in windows.numbered(df, [F.col("k"), F.col("id")], "place").collect())
+    assert [r[2] for r in rows] == list(range(1, 1001))
+    p = spark.range(300).selectExpr("1 AS anchor", "1 AS window", "CASE WHEN id < 100 THEN 'before' ELSE 'after' END AS side", "id AS k")
+    for most, n in ((30, 30), (500, 100)):
+        assert {r.side: r["count"] for r in windows.equal_n(p, "k", 1, most).groupBy("side").count().collect()} == {"before": n, "after": n}
