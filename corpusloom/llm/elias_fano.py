@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and the two-level trie made of them, queried in compact form with NumPy."""
+"""Elias-Fano sequences and the trie levels made of them, queried in compact form with NumPy."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
-#: Bits that tell the successors of one context apart.
-TAIL = 40
+#: Bits that tell the successors of one context apart; contexts have 64.
+TAIL = 32
 
 
 def _pack_low(values: np.ndarray, width: int) -> np.ndarray:
@@ -109,16 +109,20 @@ class EliasFano:
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of one byte, and their 256 values, evenly spread from the least to the largest."""
-    lo, hi = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-    book = np.linspace(lo, hi, 256)
-    step = (hi - lo) / 255 or 1.0
-    return np.rint((values - lo) / step).astype(np.uint8), book
+    """Codes of one byte, and the 256 values at most that they stand for: the most frequent ones as they are, the others evenly spread."""
+    distinct, inverse, times = np.unique(values, return_inverse=True, return_counts=True)
+    if len(distinct) <= 256:
+        return inverse.astype(np.uint8), distinct
+    book = np.unique(np.concatenate([distinct[np.argsort(times)[-192:]], np.linspace(distinct[0], distinct[-1], 64)]))
+    at = np.clip(np.searchsorted(book, distinct), 1, len(book) - 1)
+    code = np.where(distinct - book[at - 1] <= book[at] - distinct, at - 1, at)
+    return code[inverse].astype(np.uint8), book
 
 
 @dataclass
 class Trie:
-    """Contexts, the monotone pointers to their ranges, their successors, and a quantised value of each successor.
+    """One level over another: contexts with a quantised weight each, the monotone pointers to their ranges, their successors, and a
+    quantised value of each successor.
 
     A successor is kept as its context's number and TAIL bits of its own, so that the sequence rises across contexts and a
     successor is sought within its context's range.
@@ -127,43 +131,44 @@ class Trie:
     contexts: EliasFano
     pointers: EliasFano
     successors: EliasFano
-    codes: np.ndarray
-    book: np.ndarray
+    parts: dict[str, np.ndarray]
 
     @classmethod
-    def of(cls, context: np.ndarray, tail: np.ndarray, value: np.ndarray) -> Trie:
-        """The trie of n-grams sorted by context and then tail (below 2^TAIL), all different."""
+    def of(cls, context: np.ndarray, tail: np.ndarray, value: np.ndarray, weight: np.ndarray) -> Trie:
+        """The trie of n-grams sorted by context and then tail (below 2^TAIL), all different, with a value each, and a weight of each distinct context."""
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
         number = np.cumsum(new) - 1
         if len(context) and number[-1] >> (64 - TAIL):
             raise ValueError("too many contexts for one trie")
-        codes, book = quantise(value)
         begin = np.flatnonzero(new)
-        return cls(EliasFano.of(context[begin]), EliasFano.of(np.append(begin, len(context))), EliasFano.of(number.astype(U) << U(TAIL) | tail), codes, book)
+        (codes, book), (weights, weight_book) = quantise(value), quantise(weight)
+        parts = {"codes": codes, "book": book, "weights": weights, "weight_book": weight_book}
+        return cls(EliasFano.of(context[begin]), EliasFano.of(np.append(begin, len(context))), EliasFano.of(number.astype(U) << U(TAIL) | tail), parts)
 
     def find(self, context: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams there are, and the value of each (0 of others)."""
+        """Which n-grams there are, and the value of each; of those that aren't, the weight of the context (0 where that isn't either)."""
         found, value = np.zeros(len(context), bool), np.zeros(len(context))
+        p = self.parts
         for a in range(0, len(context), 1 << 16):
             part = slice(a, a + (1 << 16))
             number, there = self.contexts.successor(context[part])
             rows = np.flatnonzero(there)
             number = number[rows]
+            value[a + rows] = p["weight_book"][p["weights"][number]]
             place, same = self.successors.successor(number.astype(U) << U(TAIL) | tail[part][rows])
             rows, number, place = rows[same], number[same], place[same]
             inside = (self.pointers.get(number).astype(np.int64) <= place) & (place < self.pointers.get(number + 1).astype(np.int64))
             found[a + rows[inside]] = True
-            value[a + rows[inside]] = self.book[self.codes[place[inside]]]
+            value[a + rows[inside]] = p["book"][p["codes"][place[inside]]]
         return found, value
 
     def dump(self) -> bytes:
-        parts = self.contexts.parts("c") | self.pointers.parts("p") | self.successors.parts("s") | {"codes": self.codes, "book": self.book}
-        return dump(parts)
+        return dump(self.contexts.parts("c") | self.pointers.parts("p") | self.successors.parts("s") | self.parts)
 
     @classmethod
     def load(cls, parts: dict[str, np.ndarray]) -> Trie:
-        return cls(*(EliasFano.read(parts, k) for k in "cps"), parts["codes"], parts["book"])
+        return cls(*(EliasFano.read(parts, k) for k in "cps"), {k: parts[k] for k in ("codes", "book", "weights", "weight_book")})
 
 
 def dump(parts: dict[str, np.ndarray]) -> bytes:

@@ -1,51 +1,57 @@
-"""LM scoring with an Elias-Fano n-gram trie, sharded by n-gram.
+"""LM scoring with an Elias-Fano trigram trie, sharded by context.
 
-The model is a bigram model with absolute discounting, interpolated with smoothed word counts:
+The model backs off from trigrams to bigrams to words, and every n-gram of the learning texts is kept:
 
-    p(w | v) = (c(v w) - D) / c(v) [if c(v w) >= least] + g(v) p(w),    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | u v) = c(u v w) / (c(u v) + M) if c(u v w) > 0, else M / (c(u v) + M) p(w | v)    (a context never seen has weight 1)
+    p(w | v) = c(v w) / (c(v) + M) if c(v w) > 0, else M / (c(v) + M) p(w)
+    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-with g(v) the mass that discounts and left-out bigrams free, so p sums to one over the V words and one unknown. The text's
-boundary is a word as well, both the last of a text and the context of its first.
+Each context holds the mass M / (c + M) back for the next level. It isn't renormalised over the words seen after the context, so probabilities sum to one at
+most. The text's boundary is a word as well: the last of a text, and twice the context of its first.
 
-A text's score is a sum over its n-grams, each looked up in its own shard: log p(w) + log g(w as a context) of each word, and
-log(p(w | v) / (g(v) p(w))) of each bigram kept; nothing else is needed, so no n-gram's statistics travel to
-another. A shard is a trie: vocabulary, or contexts with pointers to their successors, in Elias-Fano form with values of one byte
-from a book of 256. An executor maps a shard from a file of its own while it answers.
+A level above the words is a trie for each shard: contexts, pointers to their ranges and successors in Elias-Fano form, with probabilities and weights in codes
+of one byte, in a file that the task maps while it asks. An n-gram is sought as a successor within its context's range. A shard holds
+whole contexts, so their counts are at hand. Contexts that are frequent in the corpus are split by n-gram over all shards instead, and their
+counts, of which there are at most HOT, are broadcast.
 
-What moves: each task sums its n-grams over some megabytes of text before it sends them, in sorted, compact form; what is looked up is
-sent once for each such piece of text, beside the (text, n-gram) pairs; answers are sums by text. The most frequent words, at most HOT of them,
-and a Bloom filter of the bigrams kept, of bounded size, are broadcast, so common words are summed where they stand and bigrams that aren't
-kept aren't sent. Shards are of whole n-grams: no context, however common, fills one.
+What moves: each task sums its n-grams over some megabytes of text (a piece) and sends each once a level, sorted and in steps. At the third level all texts' n-grams
+travel with the texts that they occur in; the shard builds its trie from the counts of the learning texts and answers at once with sums by text. Only what it
+lacks goes on to the second level, and from there to the words. An n-gram that occurs in many texts of a piece isn't sent with them:
+its value comes back to the piece. Frequent words are broadcast and never sent.
 
-Words are told apart by 64 bits of hash, successors of one context by 40. Defined cases: a null or empty text is its boundary alone. Rows
-with one doc_id are scored one by one; a row without doc_id is scored but never learned from. Without training rows all counts are 0. An empty table gives an
+Words and contexts are told apart by 64 bits of hash, successors of one context (words after one word, or after two) by 32. Defined cases: a null or empty text is its boundary alone. Rows
+with one doc_id are scored one by one; a row without doc_id is scored but never learned from. Without learning rows all counts are 0. An empty table gives an
 empty table. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bloom import Bloom, bits_for, build
 from corpusloom.llm.common import batches, materialise, raw_texts, release, tune
-from corpusloom.llm.elias_fano import TAIL, EliasFano, Trie, dump, mapped, quantise
+from corpusloom.llm.elias_fano import TAIL, Trie, mapped
 from corpusloom.llm.hashing import Words, mix
 
 U = np.uint64
 _TAIL = U((1 << TAIL) - 1)
+_STEP = U(0x9E3779B97F4A7C15)
 BOUNDARY = U(0x5BF03635D1A9C2E7)
-#: Bytes of text that a task sums up at a time, bytes of text for each shard of either level, and the most shards.
-PIECE, SHARD, MOST_SHARDS = 8 << 20, 12 << 20, 1 << 14
-#: The most words that are broadcast.
-HOT = 1 << 18
+#: Mass that a context holds back, in counts.
+M = 4.0
+#: Bytes of text that a task sums up at a time, and bytes of text for each shard.
+PIECE, SHARD = 8 << 20, 12 << 20
+#: The most words or contexts that are broadcast: those as frequent as one in so many tokens, and seen LEAST times at least.
+HOT, LEAST = 1 << 16, 64
+#: An n-gram in more texts of a piece gets its value sent back.
+OFTEN = 16
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -67,12 +73,29 @@ def _from_steps(b: bytes, kind: type = U) -> np.ndarray:
     return np.cumsum(from_planes(b, kind), dtype=kind)
 
 
-def _key(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    return mix(context * U(0x9E3779B97F4A7C15) + tail)
+def _pair(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash of a context and a successor: an n-gram's own, and that of the context which it is for the next level."""
+    return mix(context * _STEP + tail)
+
+
+_START = _pair(np.array([BOUNDARY]), np.array([BOUNDARY & _TAIL]))[0]
+
+
+def log_p(count: np.ndarray, tokens: int, words: int) -> np.ndarray:
+    """log10 of the smoothed probability of words of these counts."""
+    return np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
+
+
+def _at(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: float) -> np.ndarray:
+    """The values of sorted keys where want is, and other where it isn't."""
+    if not len(keys):
+        return np.full(len(want), other, np.float64)
+    i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return np.where(keys[i] == want, values[i], other)
 
 
 class Tokens:
-    """The tokens of a piece of text, each text's boundary last; before: the token before each, a text's first has the boundary."""
+    """The tokens of a piece of text, each text's boundary last, and the two before each (a text's first has the boundary twice)."""
 
     def __init__(self, texts: list[bytes]) -> None:
         words = Words(texts)
@@ -84,302 +107,354 @@ class Tokens:
         self.token[inner] = words.hashes()
         self.text = np.repeat(np.arange(len(texts)), n)
         self.n = n
-        self.before = np.concatenate([[BOUNDARY], self.token[:-1]])
+        self.before = np.concatenate([[BOUNDARY], self.token[:-1]])[: len(self.token)]
+        self.context = _pair(np.concatenate([[BOUNDARY], self.before[:-1]])[: len(self.token)], self.before & _TAIL)
+        self.context[np.concatenate([[0], ends[:-1] + 1])[: len(texts)]] = _START
 
 
-def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """doc_ids and texts of some PIECE of text at a time."""
-    ids, texts, size = [], [], 0
+def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
+    """doc_ids, texts and whether each is learned from, of some PIECE of text at a time."""
+    ids, texts, learn, size = [], [], [], 0
     for b in batches(it):
-        for i, t in zip(b.column("doc_id").to_pylist(), raw_texts(b.column("text")), strict=True):
+        for i, t, k in zip(b.column("doc_id").to_pylist(), raw_texts(b.column("text")), b.column("learn").to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)
+            learn.append(bool(k) and i is not None)
             size += len(t)
             if size >= PIECE:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, texts, np.array(learn)
+                ids, texts, learn, size = [], [], [], 0
     if ids:
-        yield ids, texts
-
-
-def _bigrams(t: Tokens, inverse: bool = False) -> tuple[np.ndarray, ...]:
-    """The distinct bigrams of a piece: key, context, tail, count, and which each token's is."""
-    tail = t.token & _TAIL
-    got = np.unique(_key(t.before, tail), return_index=True, return_counts=True, return_inverse=inverse)
-    return got[0], t.before[got[1]], tail[got[1]], got[-1], got[2] if inverse else got[1]
+        yield ids, texts, np.array(learn)
 
 
 def _by_shard(shard: np.ndarray, order: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by shard, then by the high bits of what is given; and where each shard begins in it."""
-    at = np.argsort(shard.astype(U) << U(48) | order >> U(16))
+    """An order by shard and then by what is given, and where each shard begins in it."""
+    at = np.lexsort((order, shard))
     return at, np.searchsorted(shard[at], np.arange(shards + 1))
 
 
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _shard_of(context: np.ndarray, tail: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """A context's own shard, or for a hot context (sorted) one of each n-gram's own."""
+    split = _at(hot, np.ones(len(hot)), context, 0) > 0
+    return (np.where(split, _pair(context, tail), mix(context)) % U(shards)).astype(np.int64)
 
 
-def _counted(shards: int):
-    """For mapInArrow: shard, a, b, c: words (shard below shards: a their hashes, c counts) and bigrams (a contexts, b tails, c counts)."""
-    names, kinds = ["shard", "a", "b", "c"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 64], strict=True), schema.types, strict=True)], schema=schema)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _pieces(it):
-            t, rows = Tokens(texts), []
-            words, n = np.unique(t.token, return_counts=True)
-            at, cut = _by_shard((words & _TAIL) % U(shards), words, shards)
-            rows += [(s, _steps(words[i]), b"", planes(n[i].astype(np.uint32))) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])]
-            key, context, tail, n, _ = _bigrams(t)
-            at, cut = _by_shard(key % U(shards), context, shards)
-            rows += [(shards + s, _steps(context[i]), planes(tail[i]), planes(n[i].astype(np.uint32))) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])]
-            for lo in range(0, len(rows), 64):
-                yield _batch(rows[lo : lo + 64], names, kinds)
 
-    return run
+_PARTS = ("context", "tail", "count", "rank", "text", "times", "slot", "onward")
+#: Messages of a piece to a shard. context (steps), tail and count (in learning texts) of its n-grams; rank, text and times: which n-gram occurs in which text how often;
+#: slot: of each n-gram the number under which the piece wants its value, or 0; onward: before and token of the n-grams without count.
+_SENT = pa.schema([("shard", pa.int32()), ("piece", pa.int64()), *((c, pa.binary()) for c in _PARTS)])
+_SENT_SQL = "shard int, piece long, " + ", ".join(f"{c} binary" for c in _PARTS)
+#: Answers. SUM: a texts, b scores, and of words c base scores and d known words. VALUE: a slots, b values. OWN: what a piece keeps of itself: a ids, b tokens,
+#: c base scores, d known words, e, f, g slots, texts and times. LACK: token after before isn't there; it occurs n times in text `at`, and is asked of shard next.
+SUM, VALUE, OWN, LACK = range(4)
+_ANSWER = ["kind", "piece", *"abcdefg", "shard", "at", "n", "before", "token"]
+_ANSWER_SQL = "kind int, piece long, " + ", ".join(f"{c} binary" for c in "abcdefg") + ", shard int, at long, n long, before long, token long"
 
 
-_MERGED = "shard int, a binary, b binary, c binary, n long, total long, once long, twice long, sizes array<long>"
+def _answers(blobs: list[tuple], lacks: list[np.ndarray]) -> pd.DataFrame:
+    """blobs: kind, piece and up to seven values. lacks: arrays of shard, piece, at, n, before and token."""
+    release()
+    whole = dict.fromkeys(("shard", "at", "n", "before", "token"), "Int64")  # not floats, which have too few bits for hashes
+    out = pd.DataFrame([(*x, *[None] * (9 - len(x))) for x in blobs], columns=_ANSWER[:9]).reindex(columns=_ANSWER).astype(whole)
+    if lacks and (rows := np.concatenate(lacks, axis=1)).shape[1]:
+        more = pd.DataFrame(dict(zip(("shard", "piece", "at", "n", "before", "token"), rows, strict=True))).assign(kind=LACK).reindex(columns=_ANSWER).astype(whole)
+        out = pd.concat([out, more], ignore_index=True) if blobs else more
+    return out
 
 
-def _merged(shards: int, least: int):
-    """For applyInPandas: the n-grams of a shard with their counts; of bigrams only those counted least times or more."""
+def _sums(text: np.ndarray, *values: np.ndarray) -> tuple[bytes, ...]:
+    """The texts that occur, and sums of values by text."""
+    there, inverse = np.unique(text, return_inverse=True)
+    return planes(there.astype(np.uint32)), *(planes(np.bincount(inverse, v, len(there))) for v in values)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a = np.concatenate([_from_steps(x) for x in rows["a"]])
-        c = np.concatenate([from_planes(x, np.uint32) for x in rows["c"]]).astype(np.int64)
-        word = key[0] < shards
-        b = np.zeros(0, U) if word else np.concatenate([from_planes(x, U) for x in rows["b"]])
-        _, first, inverse = np.unique(a if word else _key(a, b), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, c, len(first)).astype(np.int64)
-        total, once, twice = int(n.sum()), int((n == 1).sum()), int((n == 2).sum())
-        if not word:
-            keep = n >= least
-            first, n = first[keep], n[keep]
-            order = np.lexsort((b[first], a[first]))
-            first, n = first[order], n[order]
-        release()
-        sizes = np.bincount(np.log2(n).astype(np.int64), minlength=1) if len(n) else np.zeros(1, np.int64)
-        return pd.DataFrame([(key[0], _steps(a[first]), b"" if word else planes(b[first]), planes(n), len(n), total, once, twice, sizes.tolist())], columns=["shard", "a", "b", "c", "n", "total", "once", "twice", "sizes"])
 
-    return run
+def _grams(t: Tokens, level: int, learn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams of a piece: context, tail, count in learning texts, a token of each, and which each token's is."""
+    context = t.context if level == 3 else t.before
+    _, first, inverse = np.unique(_pair(context, t.token), return_index=True, return_inverse=True)
+    return context[first], t.token[first] & _TAIL, np.bincount(inverse, learn[t.text], len(first)).astype(np.uint32), first, inverse
 
 
-def _at(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: float) -> np.ndarray:
-    """The values of sorted keys where want is, and other where it isn't."""
-    if not len(keys):
-        return np.full(len(want), other, values.dtype)
-    i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-    return np.where(keys[i] == want, values[i], other)
+def _counted(level: int, shards: int, hot: np.ndarray):
+    """For mapInArrow: the counts alone of a level's n-grams in learning texts."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = b""
+        for _, texts, learn in _pieces(it):
+            t = Tokens([x for x, k in zip(texts, learn, strict=True) if k])
+            context, tail, count, *_ = _grams(t, level, np.ones(len(t.n), bool))
+            at, cut = _by_shard(_shard_of(context, tail, hot, shards), context, shards)
+            rows = [(s, 0, _steps(context[i]), planes(tail[i].astype(np.uint32)), planes(count[i]), *[none] * 5) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])]
+            yield from _batches(rows, _SENT)
 
-@dataclass
-class Model:
-    """tokens and words: N and V. levels: shard and blob of every trie. hot: hashes, counts and log g of the most frequent words.
-    bigrams: the Bloom filter of the bigrams kept, and its bits."""
+    return run
 
-    shards: int
-    tokens: int
-    words: int
-    levels: DataFrame
-    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
-    bigrams: tuple[int, bytes]
 
-    def log_p(self, count: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probability of words of these counts."""
-        return log_p(count, self.tokens, self.words)
+def _occurrences(kind: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (kind, text) of tokens, in order, and how often each occurs."""
+    pair, times = np.unique(kind.astype(U) << U(32) | text.astype(U), return_counts=True)
+    return (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.uint32), times.astype(np.uint32)
 
 
-def log_p(count: np.ndarray, tokens: int, words: int) -> np.ndarray:
-    return np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
+def _asked(shards: int, hot: Broadcast, tokens: int, words: int):
+    """For mapInArrow: the trigrams of all texts with counts and occurrences (shard below shards), the words that aren't broadcast (from shards on; their
+    hashes as context), and a row that each piece keeps for itself (shard below 0)."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot1, hot2), part, none = hot.value, TaskContext.get().partitionId(), b""
+        for number, (ids, texts, learn) in enumerate(_pieces(it)):
+            piece, t, rows = part << 32 | number, Tokens(texts), []
+            context, tail, count, first, inverse = _grams(t, 3, learn)
+            at, cut = _by_shard(_shard_of(context, tail, hot2[0], shards), context, shards)
+            rank = np.empty(len(first), np.int64)
+            rank[at] = np.arange(len(first))
+            held, text, times = _occurrences(rank[inverse], t.text)
+            count, first = count[at], first[at]
+            often = (np.bincount(held, minlength=len(first)) > OFTEN) & (count > 0)
+            slot = np.where(often, np.cumsum(often), 0).astype(np.uint32)
+            mine = often[held]
+            kept = planes(slot[held[mine]]), planes(text[mine]), planes(times[mine])
+            held, text, times = held[~mine], text[~mine], times[~mine]
+            ends = np.searchsorted(held, cut)
+            for s in np.flatnonzero(np.diff(cut)):
+                a, e = cut[s], cut[s + 1]
+                i, p, lacks = at[a:e], slice(ends[s], ends[s + 1]), first[a:e][count[a:e] == 0]
+                onward = planes(np.concatenate([t.before[lacks], t.token[lacks]])) if len(lacks) else none
+                rows.append((s, piece, _steps(context[i]), planes(tail[i].astype(np.uint32)), planes(count[a:e]), _steps((held[p] - a).astype(np.uint32)), planes(text[p]), planes(times[p]), planes(slot[a:e]) if slot[a:e].any() else none, onward))
+            keys, inverse = np.unique(t.token, return_inverse=True)
+            n = _at(*hot1, keys, -1)
+            near = n >= 0
+            base = np.where(near, log_p(np.maximum(0, n), tokens, words), 0)
+            local = [planes(np.bincount(t.text, x[inverse], len(texts))) for x in (base, (n > 0).astype(np.float64))]
+            lost = np.array([i is None for i in ids])
+            own = planes(np.array([0 if i is None else i for i in ids], np.int64)) + lost.tobytes()
+            rows.append((-1 - piece % shards, piece, own, planes(t.n.astype(np.int64)), *local, *kept, none))
+            at, cut = _by_shard(np.where(near, shards, (keys % U(shards)).astype(np.int64)), keys, shards)
+            rank = np.full(len(keys), len(keys))
+            rank[at[: cut[shards]]] = np.arange(cut[shards])
+            mine = rank[inverse]
+            held, text, times = _occurrences(mine[mine < len(keys)], t.text[mine < len(keys)])
+            ends = np.searchsorted(held, cut)
+            for s in np.flatnonzero(np.diff(cut)):
+                p = slice(ends[s], ends[s + 1])
+                rows.append((shards + s, piece, _steps(keys[at[cut[s] : cut[s + 1]]]), none, none, _steps((held[p] - cut[s]).astype(np.uint32)), planes(text[p]), planes(times[p]), none, none))
+            yield from _batches(rows, _SENT)
 
-def train(docs: DataFrame, least: int = 3) -> Model:
-    """The model of docs (doc_id, text), every row of them."""
-    tune(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = min(MOST_SHARDS, max(1, -(-size // SHARD)))
-    counts = materialise(docs.mapInArrow(_counted(shards), "shard int, a binary, b binary, c binary").groupBy("shard").applyInPandas(_merged(shards, least), _MERGED))
-    known = counts.select("shard", "n", "total", "once", "twice", "sizes").collect()  # a row for each shard
-    tokens, words = (sum(r[k] for r in known if r.shard < shards) for k in ("total", "n"))
-    once, twice = (sum(r[k] for r in known if r.shard >= shards) for k in ("once", "twice"))
-    discount = once / (once + 2 * twice) if once else 0.5
-    bigrams = counts.where(F.col("shard") >= shards).select("shard", "a", "b", "c")
-
-    def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each shard of bigrams, the words it needs by the shard they are in, and the mass it takes from each as a context."""
-        for rows in it:
-            out = []
-            for shard, a, b, c in rows[["shard", "a", "b", "c"]].itertuples(index=False):
-                v, w, n = _from_steps(a) & _TAIL, from_planes(b, U), from_planes(c, np.int64)
-                tails, inverse = np.unique(np.concatenate([v, w]), return_inverse=True)
-                mass = np.bincount(inverse[: len(v)], n - discount, len(tails))
-                at, cut = _by_shard(tails % U(shards), tails << U(16), shards)
-                out += [(s, shard, _steps(tails[i]), planes(mass[i])) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])]
-            yield pd.DataFrame(out, columns=["shard", "to", "a", "m"])
-
-    def answer(key: tuple, asked: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        """To each shard of bigrams the counts and log g of its words; to the vocabulary's own shard those of all its words."""
-        keys, n = (_from_steps(vocabulary["a"].iloc[0]), from_planes(vocabulary["c"].iloc[0], np.int64)) if len(vocabulary) else (np.zeros(0, U), np.zeros(0, np.int64))
-        tails, inverse = np.unique(keys & _TAIL, return_inverse=True)
-        count = np.bincount(inverse, n, len(tails))
-        each = [_from_steps(x) for x in asked["a"]]
-        mass = np.zeros(len(tails))
-        for t, m in zip(each, asked["m"], strict=True):
-            i = np.minimum(np.searchsorted(tails, t), max(0, len(tails) - 1))
-            same = tails[i] == t if len(tails) else np.zeros(len(t), bool)
-            mass[i[same]] += from_planes(m, np.float64)[same]
-        free = np.log10(np.clip(1 - mass / np.maximum(1, count), 1e-6, 1))
-        out = [(to, planes(t), planes(_at(tails, count, t, 0)), planes(_at(tails, free, t, 0).astype(np.float32))) for to, t in zip(asked["to"], each, strict=True)]
-        out.append((key[0], _steps(keys), planes(n), planes(free[inverse].astype(np.float32))))
-        release()
-        return pd.DataFrame(out, columns=["shard", "a", "c", "g"])
-
-    asked = bigrams.mapInPandas(ask, "shard int, to int, a binary, m binary")
-    vocabulary = counts.where(F.col("shard") < shards).select("shard", "a", "c")
-    answers = materialise(asked.groupBy("shard").cogroup(vocabulary.groupBy("shard")).applyInPandas(answer, "shard int, a binary, c binary, g binary"))
-
-    def level(key: tuple, mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < shards:
-            codes, book = quantise(from_planes(told["g"].iloc[0], np.float32).astype(np.float64))
-            blob = dump(EliasFano.of(_from_steps(told["a"].iloc[0])).parts("w") | {"n": from_planes(told["c"].iloc[0], np.int64), "codes": codes, "book": book})
-        else:
-            v, w, n = _from_steps(mine["a"].iloc[0]), from_planes(mine["b"].iloc[0], U), from_planes(mine["c"].iloc[0], np.int64)
-            tails = np.concatenate([from_planes(x, U) for x in told["a"]]) if len(told) else np.zeros(0, U)
-            order = np.argsort(tails)
-            count, free = (np.concatenate([from_planes(x, k) for x in told[c]])[order].astype(np.float64) if len(told) else np.zeros(0) for c, k in (("c", np.float64), ("g", np.float32)))
-            tails = tails[order]
-            value = (n - discount) / np.maximum(1, _at(tails, count, v & _TAIL, 1)) / 10 ** (_at(tails, free, v & _TAIL, 0) + log_p(_at(tails, count, w, 0), tokens, words))
-            blob = Trie.of(v, w, np.log10(value + 1)).dump()
-        release()
-        return pd.DataFrame({"shard": [key[0]], "blob": [blob]})
+    return run
 
-    levels = materialise(bigrams.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(level, "shard int, blob binary"))
 
-    sizes = np.zeros(64, np.int64)
-    for r in known:
-        if r.shard < shards:
-            sizes[: len(r.sizes)] += r.sizes
-    most = next((k for k in range(64) if sizes[k:].sum() <= HOT), 63)
+def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """context, tail and count of the n-grams counted in a shard's messages, sorted."""
+    each = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0)]
+    for c, t, n in zip(rows["context"], rows["tail"], rows["count"], strict=True):
+        n = from_planes(n, np.uint32)
+        keep = n > 0
+        for out, x in zip(each, (_from_steps(c), from_planes(t, np.uint32).astype(U), n), strict=True):
+            out.append(x[keep])
+    context, tail, n = (np.concatenate(x) for x in each)
+    order = np.lexsort((tail, context))
+    context, tail = context[order], tail[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (tail[1:] != tail[:-1])
+    begin = np.flatnonzero(new)
+    return context[begin], tail[begin], np.add.reduceat(n[order], begin) if len(begin) else n
+
+
+def _trie(rows: pd.DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Trie:
+    """The trie of a shard, mapped from a file. hot: contexts (sorted) that other shards share, and their counts."""
+    context, tail, n = _merged(rows)
+    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+    shared = _at(*hot, context[begin], -1)
+    total = np.where(shared < 0, np.add.reduceat(n, begin) if len(begin) else 0, shared)
+    each = np.repeat(total, np.diff(np.append(begin, len(context))))
+    blob = Trie.of(context, tail, np.log10(n / (each + M)), np.log10(M / (total + M))).dump()
+    del context, tail, n, each
+    return Trie.load(mapped(blob))
+
+
+def _frequent(least: int):
+    """For applyInPandas: the n-grams seen at least least times, as the contexts that they are for the next level, with their counts."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        context, tail, n = _merged(rows)
+        keep = n >= least
+        release()
+        return pd.DataFrame({"k": _pair(context[keep], tail[keep]).view(np.int64), "n": n[keep].astype(np.int64)})
 
-    def frequent(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in it:
-            for a, c, g in rows[["a", "c", "g"]].itertuples(index=False):
-                n = from_planes(c, np.int64)
-                i = n >= 1 << most
-                yield pd.DataFrame({"a": [_from_steps(a)[i].tobytes()], "c": [n[i].tobytes()], "g": [from_planes(g, np.float32)[i].tobytes()]})
+    return run
 
-    top = answers.where(F.col("shard") < shards).mapInPandas(frequent, "a binary, c binary, g binary").collect()  # HOT words at most
-    hot = tuple(np.frombuffer(b"".join(r[k] for r in top), kind) for k, kind in (("a", U), ("c", np.int64), ("g", np.float32)))
-    order = np.argsort(hot[0])
-    kept = sum(r.n for r in known if r.shard >= shards)
-    n_bits = bits_for(kept)
-    # a dense filter comes from each task, so a few tasks build it
-    few = bigrams.coalesce(max(1, min(16, kept >> 21)))
-    bits, _ = build(few.select("a", "b"), lambda b: np.concatenate([_key(_from_steps(x), from_planes(y, U)) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]), n_bits)
-    return Model(shards, tokens, words, levels, tuple(x[order] for x in hot), (n_bits, bits))
 
+def _spread(df: DataFrame, shards: int) -> DataFrame:
+    """df dealt to so many tasks by shard: what a task reads is a few shards' bytes at every size."""
+    return df.repartition(shards, "shard")
 
-def _sums(text: np.ndarray, *values: np.ndarray) -> tuple[bytes, ...]:
-    """The texts that occur, and sums of values by text."""
-    there, inverse = np.unique(text, return_inverse=True)
-    return planes(there.astype(np.uint32)), *(planes(np.bincount(inverse, v, len(there))) for v in values)
 
+def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of df (k, n), HOT rows at most, in the order of the keys."""
+    rows = df.toPandas()
+    keys, n = rows["k"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.float64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
-_ASKED = ["shard", "piece", "a", "b", "rank", "text", "times"]
-_SUMMED = "piece long, part int, text binary, base binary, score binary, known binary, ids binary, n binary"
 
+def _words(docs: DataFrame, shards: int) -> DataFrame:
+    """shard, a (hashes, in steps) and c (counts) of the words of learning texts, and how many words and tokens these are."""
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of docs (doc_id, text)."""
-    tune(docs.sparkSession)
-    shards, tokens, words = model.shards, model.tokens, model.words
-    sent = docs.sparkSession.sparkContext.broadcast((model.hot, model.bigrams))
+    def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("c", pa.binary())])
+        for _, texts, learn in _pieces(it):
+            if learn.any():
+                words, n = np.unique(Tokens([x for x, k in zip(texts, learn, strict=True) if k]).token, return_counts=True)
+                at, cut = _by_shard((words % U(shards)).astype(np.int64), words, shards)
+                yield from _batches([(s, _steps(words[i]), planes(n[i].astype(np.uint32))) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])], schema)
 
-    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, n, free), (n_bits, bits) = sent.value
-        bloom, part = Bloom(n_bits, bits), TaskContext.get().partitionId()
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        for number, (ids, texts) in enumerate(_pieces(it)):
-            piece, t = part << 32 | number, Tokens(texts)
-            keys, inverse = np.unique(t.token, return_inverse=True)
-            count = _at(hot, n, keys, -1)
-            near = count >= 0
-            lp = np.where(near, log_p(np.maximum(0, count), tokens, words), 0)
-            local = [lp, np.where(near, lp + _at(hot, free, keys, 0), 0), (count > 0).astype(np.float64)]
-            base, value, known = (np.bincount(t.text, x[inverse], len(texts)) for x in local)
-            lost = np.array([i is None for i in ids])
-            rows = [(2 * shards + piece % shards, piece, planes(np.array([0 if i is None else i for i in ids], np.int64)) + lost.tobytes(), planes(base), planes(value), planes(known), planes(t.n.astype(np.int64)))]
-            rows += _queries(0, piece, shards, keys, keys & _TAIL, keys, None, ~near, inverse, t.text)
-            key, context, tail, _, inverse = _bigrams(t, True)
-            rows += _queries(shards, piece, shards, key, key, context, tail, bloom.has(key), inverse, t.text)
-            for lo in range(0, len(rows), 64):
-                yield _batch(rows[lo : lo + 64], _ASKED, kinds)
-
-    def answer(key: tuple, asked: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-        shard, none, out = key[0], b"", []
-        if shard >= 2 * shards:
-            out = [(r.piece, -1, none, r.b, r.rank, r.text, r.a, r.times) for r in asked.itertuples(index=False)]
-        elif len(asked):
-            parts = mapped(levels["blob"].iloc[0]) if len(levels) else {}
-            trie = Trie.load(parts) if shard >= shards and parts else None
-            vocabulary = EliasFano.read(parts, "w") if shard < shards and parts else None
-            for r in asked.itertuples(index=False):
-                a, rank, text = _from_steps(r.a), _from_steps(r.rank, np.uint32), from_planes(r.text, np.uint32)
-                times = from_planes(r.times, np.uint32)
-                if shard >= shards:
-                    found, value = trie.find(a, from_planes(r.b, U)) if trie else (np.zeros(len(a), bool), np.zeros(len(a)))
-                    hit = found[rank]
-                    there, sums = _sums(text[hit], (value[rank] * times)[hit])
-                    out.append((r.piece, shard, there, none, sums, none, none, none))
-                    continue
-                n, free = np.zeros(len(a), np.int64), np.zeros(len(a))
-                if vocabulary:
-                    place, same = vocabulary.successor(a)
-                    n[same], free[same] = parts["n"][place[same]], parts["book"][parts["codes"][place[same]]]
-                lp = log_p(n, tokens, words)
-                there, base, value, known = _sums(text, lp[rank] * times, (lp + free)[rank] * times, (n > 0)[rank] * times)
-                out.append((r.piece, shard, there, base, value, known, none, none))
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        words, inverse = np.unique(np.concatenate([_from_steps(x) for x in rows["a"]]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([from_planes(x, np.uint32) for x in rows["c"]]), len(words)).astype(np.int64)
         release()
-        return pd.DataFrame(out, columns=["piece", "part", "text", "base", "score", "known", "ids", "n"])
-
-    def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")  # so that sums come out alike each time
-        own = rows.iloc[0]
-        n = from_planes(own.n, np.int64)
-        size = 8 * len(n)
-        ids, lost = from_planes(own.ids[:size], np.int64), np.frombuffer(own.ids[size:], bool)
-        total = {c: from_planes(own[c], np.float64).copy() for c in ("base", "score", "known")}
-        for r in rows.iloc[1:].itertuples(index=False):
-            at = from_planes(r.text, np.uint32)
-            for c, x in (("base", r.base), ("score", r.score), ("known", r.known)):
-                if x:
-                    total[c][at] += from_planes(x, np.float64)
-        doc = pd.array(ids, dtype="Int64")
-        doc[lost] = pd.NA
-        return pd.DataFrame({"doc_id": doc, "n_tokens": n, "n_known": np.rint(total["known"]).astype(np.int64), "base_score": total["base"], "score": total["score"]})
-
-    asked = docs.select("doc_id", "text").mapInArrow(ask, "shard int, piece long, a binary, b binary, rank binary, text binary, times binary")
-    sums = asked.groupBy("shard").cogroup(model.levels.groupBy("shard")).applyInPandas(answer, _SUMMED)
-    return sums.groupBy("piece").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-
-
-def _queries(first: int, piece: int, shards: int, key: np.ndarray, spread: np.ndarray, a: np.ndarray, b: np.ndarray | None, wanted: np.ndarray, inverse: np.ndarray, text: np.ndarray) -> list[tuple]:
-    """A row for each shard that some wanted n-gram is in: the n-grams, and the texts each occurs in with how often."""
-    at, cut = _by_shard(np.where(wanted, spread % U(shards), U(shards)), a, shards + 1)
-    rank = np.empty(len(key), np.int64)
-    rank[at] = np.arange(len(key))
-    mine = rank[inverse]
-    keep = mine < cut[shards]
-    pair, times = np.unique(mine[keep].astype(U) << U(32) | text[keep].astype(U), return_counts=True)
-    rank, text = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.uint32)
-    ends = np.searchsorted(rank, cut)
-    out = []
-    for s in range(shards):
-        i, p = at[cut[s] : cut[s + 1]], slice(ends[s], ends[s + 1])
-        if len(i):
-            out.append((first + s, piece, _steps(a[i]), b"" if b is None else planes(b[i]), _steps((rank[p] - cut[s]).astype(np.uint32)), planes(text[p]), planes(times[p].astype(np.uint32))))
-    return out
+        return pd.DataFrame([(key[0], _steps(words), planes(n), len(words), int(n.sum()))], columns=["shard", "a", "c", "words", "tokens"])
+
+    sent = docs.mapInArrow(part, "shard int, a binary, c binary")
+    return materialise(_spread(sent, shards).groupBy("shard").applyInPandas(whole, "shard int, a binary, c binary, words long, tokens long"))
+
+
+def _hottest(least: int):
+    """For mapInPandas: the words seen at least least times, with their counts."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in it:
+            for a, c in zip(rows["a"], rows["c"], strict=True):
+                n = from_planes(c, np.int64)
+                yield pd.DataFrame({"k": _from_steps(a)[n >= least].view(np.int64), "n": n[n >= least]})
+
+    return run
+
+
+def score(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, n_tokens, n_known, base_score and score of every row of docs (doc_id, text, learn) under the model of those with learn; and the tokens learned from."""
+    spark = docs.sparkSession
+    tune(spark)
+    docs = docs.select("doc_id", "text", "learn")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
+    vocabulary = _words(docs, shards)
+    known = vocabulary.agg(F.sum("tokens"), F.sum("words")).first()
+    tokens, words = known[0] or 0, known[1] or 0
+    least = max(LEAST, tokens // HOT)
+
+    hot1 = _sorted(vocabulary.select("a", "c").mapInPandas(_hottest(least), "k long, n long"))
+    bigrams = docs.mapInArrow(_counted(2, shards, hot1[0]), _SENT_SQL)
+    keys, n = _sorted(_spread(bigrams, shards).groupBy("shard").applyInPandas(_frequent(least), "k long, n long"))
+    starts, beginnings = keys == _START, hot1[0] == BOUNDARY  # every text has the start for a context, but only an empty one for its bigram
+    keys, n = np.append(keys[~starts], np.full(beginnings.sum(), _START)), np.append(n[~starts], hot1[1][beginnings])
+    order = np.argsort(keys)
+    hot = spark.sparkContext.broadcast((hot1, (keys[order], n[order])))
+
+    def first(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Of a shard's trigrams, or of its words, the sums by text; what it has no trigram for; what pieces keep, as it came."""
+        if not len(rows):
+            return _answers([], [])
+        shard, out, lacks = rows["shard"].iloc[0], [], []
+        if shard < 0:
+            return _answers([(OWN, r.piece, r.context, r.tail, r.count_, r.rank, r.text, r.times, r.slot) for r in rows.rename(columns={"count": "count_"}).itertuples(index=False)], [])
+        if shard >= shards:
+            have, n = (_from_steps(known["a"].iloc[0]), from_planes(known["c"].iloc[0], np.int64)) if len(known) else (np.zeros(0, U), np.zeros(0))
+            for r in rows.itertuples(index=False):
+                count = _at(have, n, _from_steps(r.context), 0)
+                rank, text, times = _from_steps(r.rank, np.uint32), from_planes(r.text, np.uint32), from_planes(r.times, np.uint32)
+                there, base, seen = _sums(text, log_p(count, tokens, words)[rank] * times, (count > 0)[rank] * times)
+                out.append((SUM, r.piece, there, None, base, seen))
+            return _answers(out, [])
+        trie = _trie(rows, hot.value[1])
+        for r in rows.rename(columns={"count": "count_"}).itertuples(index=False):
+            context, tail, count = _from_steps(r.context), from_planes(r.tail, np.uint32).astype(U), from_planes(r.count_, np.uint32)
+            found, value = trie.find(context, tail)
+            if r.slot:
+                slot = from_planes(r.slot, np.uint32)
+                out.append((VALUE, r.piece, planes(slot[slot > 0]), planes(value[slot > 0])))
+            rank, text, times = _from_steps(r.rank, np.uint32), from_planes(r.text, np.uint32), from_planes(r.times, np.uint32)
+            if len(rank):
+                out.append((SUM, r.piece, *_sums(text, value[rank] * times)))
+            if r.onward:
+                new = np.cumsum(count == 0) - 1  # where an n-gram without count is in onward
+                before, token = from_planes(r.onward, U).reshape(2, -1)
+                p = np.flatnonzero(~found[rank])
+                at = new[rank[p]]
+                lacks.append(_lacking(r.piece, text[p], times[p], before[at], token[at], _shard_of(before[at], token[at] & _TAIL, hot.value[0][0], shards)))
+        return _answers(out, lacks)
+
+    def second(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Sums by text of the bigrams asked for; words that weren't seen after the one before go on, unless they are broadcast."""
+        if not len(asked):
+            return _answers([], [])
+        before, token = (asked[c].to_numpy(np.int64).view(U) for c in ("before", "token"))
+        found, value = _trie(rows, hot.value[0]).find(before, token & _TAIL)
+        count = _at(*hot.value[0], token, -1)
+        near = ~found & (count >= 0)
+        value = np.where(near, value + log_p(np.maximum(count, 0), tokens, words), value)
+        p = ~found & ~near
+        piece, text, times = (asked[c].to_numpy(np.int64) for c in ("piece", "at", "n"))
+        more = _lacking(piece[p], text[p], times[p], before[p], token[p], (token[p] % U(shards)).astype(np.int64))
+        return _answers(_by_piece(piece, text, value * times), [more])
+
+    def third(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Sums by text of words alone."""
+        if not len(asked):
+            return _answers([], [])
+        have, n = (_from_steps(known["a"].iloc[0]), from_planes(known["c"].iloc[0], np.int64)) if len(known) else (np.zeros(0, U), np.zeros(0))
+        value = log_p(_at(have, n, asked["token"].to_numpy(np.int64).view(U), 0), tokens, words)
+        piece, text, times = (asked[c].to_numpy(np.int64) for c in ("piece", "at", "n"))
+        return _answers(_by_piece(piece, text, value * times), [])
+
+    own = F.when(F.col("shard") < 0, F.col("piece")).otherwise(-1)
+    above = _spread(vocabulary.select((F.col("shard") + shards).alias("shard"), "a", "c"), shards)
+    asked = _spread(docs.mapInArrow(_asked(shards, hot, tokens, words), _SENT_SQL), shards)
+    answers = materialise(asked.groupBy("shard", own.alias("own")).cogroup(above.groupBy("shard", F.lit(-1).cast("long").alias("own"))).applyInPandas(first, _ANSWER_SQL))
+    lacks = [*"abcdefg"]
+    backed = _spread(answers.where(F.col("kind") == LACK).drop(*lacks), shards).groupBy("shard").cogroup(_spread(bigrams, shards).groupBy("shard"))
+    backed = materialise(backed.applyInPandas(second, _ANSWER_SQL))
+    last = _spread(backed.where(F.col("kind") == LACK).drop(*lacks), shards).groupBy("shard").cogroup(_spread(vocabulary.select("shard", "a", "c"), shards).groupBy("shard"))
+    last = last.applyInPandas(third, _ANSWER_SQL)
+    parts = answers.unionByName(backed).where(F.col("kind") != LACK).unionByName(last).select("kind", "piece", *"abcdefg")
+    return parts.groupBy("piece").applyInPandas(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double"), tokens
+
+
+def _lacking(piece, text: np.ndarray, times: np.ndarray, before: np.ndarray, token: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    return np.stack([shard, np.broadcast_to(piece, len(text)), text.astype(np.int64), times.astype(np.int64), before.view(np.int64), token.view(np.int64)])
+
+
+def _by_piece(piece: np.ndarray, text: np.ndarray, value: np.ndarray) -> list[tuple]:
+    order = np.argsort(piece, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(piece[order], prepend=-1)), len(order))
+    return [(SUM, int(piece[order[a]]), *_sums(text[order[a:e]], value[order[a:e]])) for a, e in zip(ends, ends[1:], strict=False)]
+
+
+def _finish(rows: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a piece with what was found for them."""
+    rows = rows.sort_values(["kind", "a", "b", "c"], na_position="first")  # so that sums come out alike each time
+    own = rows[rows["kind"] == OWN].iloc[0]
+    n = from_planes(own.b, np.int64)
+    ids, lost = from_planes(own.a[: 8 * len(n)], np.int64), np.frombuffer(own.a[8 * len(n) :], bool)
+    base, known, score = from_planes(own.c, np.float64).copy(), from_planes(own.d, np.float64).copy(), np.zeros(len(n))
+    slots, text, times = (from_planes(x, np.uint32) for x in (own.e, own.f, own.g))
+    values = np.zeros(int(slots.max(initial=0)) + 1)
+    for r in rows[rows["kind"] == VALUE].itertuples(index=False):
+        values[from_planes(r.a, np.uint32)] = from_planes(r.b, np.float64)
+    score += np.bincount(text, values[slots] * times, len(n))
+    for r in rows[rows["kind"] == SUM].itertuples(index=False):
+        at = from_planes(r.a, np.uint32)
+        for total, x in ((score, r.b), (base, r.c), (known, r.d)):
+            if x:
+                total[at] += from_planes(x, np.float64)
+    doc = pd.array(ids, dtype="Int64")
+    doc[lost] = pd.NA
+    return pd.DataFrame({"doc_id": doc, "n_tokens": n, "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": score})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -389,6 +464,5 @@ def held_out(doc_id: Column) -> Column:
 
 def train_and_score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
-    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
-    out = score(docs, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out, tokens = score(docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("learn")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
