@@ -34,10 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read again: cuts lineage, and outlives any executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    path, conf = shared_dir(df.sparkSession), df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")  # what this write shuffled isn't needed once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

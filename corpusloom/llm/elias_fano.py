@@ -10,8 +10,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
-#: Bits that tell the successors of one context apart; contexts have 64.
-TAIL = 32
+#: Bits that tell the successors of one context apart; contexts have the rest of 64.
+TAIL = 24
 
 
 def _pack_low(values: np.ndarray, width: int) -> np.ndarray:

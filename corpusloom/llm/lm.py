@@ -19,14 +19,15 @@ travel with the texts that they occur in; the shard builds its trie from the cou
 lacks goes on to the second level, and from there to the words. An n-gram that occurs in many texts of a piece isn't sent with them:
 its value comes back to the piece. Frequent words are broadcast and never sent.
 
-Words and contexts are told apart by 64 bits of hash, successors of one context (words after one word, or after two) by 32. Defined cases: a null or empty text is its boundary alone. Rows
+Words, and two words as a context, are told apart by 64 bits of hash; within a shard, which holds about as many contexts at every size, contexts by 40 bits and successors of one
+context by 24, so of a million n-grams about one is taken for another. Defined cases: a null or empty text is its boundary alone. Rows
 with one doc_id are scored one by one; a row without doc_id is scored but never learned from. Without learning rows all counts are 0. An empty table gives an
 empty table. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from corpusloom.llm.elias_fano import TAIL, Trie, mapped
 from corpusloom.llm.hashing import Words, mix
 
 U = np.uint64
-_TAIL = U((1 << TAIL) - 1)
+_TAILS, _TAIL = U(TAIL), U((1 << TAIL) - 1)
 _STEP = U(0x9E3779B97F4A7C15)
 BOUNDARY = U(0x5BF03635D1A9C2E7)
 #: Mass that a context holds back, in counts.
@@ -55,14 +56,16 @@ OFTEN = 16
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The values' bytes, all lowest ones first: bytes that are mostly 0 lie together and compress."""
+    """The values' bytes, all lowest ones first, so that bytes that are mostly alike lie together, compressed."""
     a = np.ascontiguousarray(a)
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
 
 
 def from_planes(b: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    raw = pa.decompress(b[4:], int.from_bytes(b[:4], "little"), "zstd", asbytes=True) if b else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _steps(a: np.ndarray) -> bytes:
@@ -73,12 +76,17 @@ def _from_steps(b: bytes, kind: type = U) -> np.ndarray:
     return np.cumsum(from_planes(b, kind), dtype=kind)
 
 
-def _pair(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """The hash of a context and a successor: an n-gram's own, and that of the context which it is for the next level."""
-    return mix(context * _STEP + tail)
+def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The hash of a context and a token: the context that they are for the next level."""
+    return mix(context * _STEP + token)
 
 
-_START = _pair(np.array([BOUNDARY]), np.array([BOUNDARY & _TAIL]))[0]
+def _code(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """An n-gram within its shard: 40 bits of its context, then TAIL bits of its token."""
+    return mix(context) >> _TAILS << _TAILS | token & _TAIL
+
+
+_START = _pair(np.array([BOUNDARY]), np.array([BOUNDARY]))[0]
 
 
 def log_p(count: np.ndarray, tokens: int, words: int) -> np.ndarray:
@@ -108,7 +116,7 @@ class Tokens:
         self.text = np.repeat(np.arange(len(texts)), n)
         self.n = n
         self.before = np.concatenate([[BOUNDARY], self.token[:-1]])[: len(self.token)]
-        self.context = _pair(np.concatenate([[BOUNDARY], self.before[:-1]])[: len(self.token)], self.before & _TAIL)
+        self.context = _pair(np.concatenate([[BOUNDARY], self.before[:-1]])[: len(self.token)], self.before)
         self.context[np.concatenate([[0], ends[:-1] + 1])[: len(texts)]] = _START
 
 
@@ -128,16 +136,16 @@ def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], n
         yield ids, texts, np.array(learn)
 
 
-def _by_shard(shard: np.ndarray, order: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by shard and then by what is given, and where each shard begins in it."""
-    at = np.lexsort((order, shard))
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by shard that leaves each shard's own order as it is, and where each shard begins in it."""
+    at = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")
     return at, np.searchsorted(shard[at], np.arange(shards + 1))
 
 
-def _shard_of(context: np.ndarray, tail: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """A context's own shard, or for a hot context (sorted) one of each n-gram's own."""
+def _shard_of(context: np.ndarray, token: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """A context's own shard, or for a hot context (sorted) one of each n-gram's own. It tells bits of the context that the code leaves out."""
     split = _at(hot, np.ones(len(hot)), context, 0) > 0
-    return (np.where(split, _pair(context, tail), mix(context)) % U(shards)).astype(np.int64)
+    return (np.where(split, _pair(context, token), mix(context) & _TAIL) % U(shards)).astype(np.int64)
 
 
 def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -145,8 +153,8 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 64], strict=True), schema.types, strict=True)], schema=schema)
 
 
-_PARTS = ("context", "tail", "count", "rank", "text", "times", "slot", "onward")
-#: Messages of a piece to a shard. context (steps), tail and count (in learning texts) of its n-grams; rank, text and times: which n-gram occurs in which text how often;
+_PARTS = ("code", "count", "rank", "text", "times", "slot", "onward", "more")
+#: Messages of a piece to a shard. code (steps) and count (in learning texts) of its n-grams; rank, text and times: which n-gram occurs in which text how often;
 #: slot: of each n-gram the number under which the piece wants its value, or 0; onward: before and token of the n-grams without count.
 _SENT = pa.schema([("shard", pa.int32()), ("piece", pa.int64()), *((c, pa.binary()) for c in _PARTS)])
 _SENT_SQL = "shard int, piece long, " + ", ".join(f"{c} binary" for c in _PARTS)
@@ -174,24 +182,24 @@ def _sums(text: np.ndarray, *values: np.ndarray) -> tuple[bytes, ...]:
     return planes(there.astype(np.uint32)), *(planes(np.bincount(inverse, v, len(there))) for v in values)
 
 
-def _grams(t: Tokens, level: int, learn: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct n-grams of a piece: context, tail, count in learning texts, a token of each, and which each token's is."""
-    context = t.context if level == 3 else t.before
-    _, first, inverse = np.unique(_pair(context, t.token), return_index=True, return_inverse=True)
-    return context[first], t.token[first] & _TAIL, np.bincount(inverse, learn[t.text], len(first)).astype(np.uint32), first, inverse
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and which each value is."""
+    distinct, inverse = np.unique(values, return_inverse=True)
+    place = np.empty(len(distinct), np.int64)
+    place[inverse] = np.arange(len(values))
+    return distinct, place, inverse
 
 
-def _counted(level: int, shards: int, hot: np.ndarray):
-    """For mapInArrow: the counts alone of a level's n-grams in learning texts."""
+def _counted(shards: int, hot: np.ndarray):
+    """For mapInArrow: the counts alone of bigrams in learning texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = b""
         for _, texts, learn in _pieces(it):
             t = Tokens([x for x, k in zip(texts, learn, strict=True) if k])
-            context, tail, count, *_ = _grams(t, level, np.ones(len(t.n), bool))
-            at, cut = _by_shard(_shard_of(context, tail, hot, shards), context, shards)
-            rows = [(s, 0, _steps(context[i]), planes(tail[i].astype(np.uint32)), planes(count[i]), *[none] * 5) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])]
-            yield from _batches(rows, _SENT)
+            code, place, inverse = _distinct(_code(t.before, t.token))
+            count = np.bincount(inverse, minlength=len(code)).astype(np.uint32)
+            at, cut = _by_shard(_shard_of(t.before[place], t.token[place], hot, shards), shards)
+            yield from _batches([(s, 0, _steps(code[i := at[cut[s] : cut[s + 1]]]), planes(count[i]), *[b""] * 6) for s in np.flatnonzero(np.diff(cut))], _SENT)
 
     return run
 
@@ -204,18 +212,18 @@ def _occurrences(kind: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _asked(shards: int, hot: Broadcast, tokens: int, words: int):
     """For mapInArrow: the trigrams of all texts with counts and occurrences (shard below shards), the words that aren't broadcast (from shards on; their
-    hashes as context), and a row that each piece keeps for itself (shard below 0)."""
+    hashes as code), and a row that each piece keeps for itself (shard below 0)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot1, hot2), part, none = hot.value, TaskContext.get().partitionId(), b""
         for number, (ids, texts, learn) in enumerate(_pieces(it)):
             piece, t, rows = part << 32 | number, Tokens(texts), []
-            context, tail, count, first, inverse = _grams(t, 3, learn)
-            at, cut = _by_shard(_shard_of(context, tail, hot2[0], shards), context, shards)
+            code, first, inverse = _distinct(_code(t.context, t.token))
+            at, cut = _by_shard(_shard_of(t.context[first], t.token[first], hot2[0], shards), shards)
             rank = np.empty(len(first), np.int64)
             rank[at] = np.arange(len(first))
             held, text, times = _occurrences(rank[inverse], t.text)
-            count, first = count[at], first[at]
+            count, first = np.bincount(inverse, learn[t.text], len(code)).astype(np.uint32)[at], first[at]
             often = (np.bincount(held, minlength=len(first)) > OFTEN) & (count > 0)
             slot = np.where(often, np.cumsum(often), 0).astype(np.uint32)
             mine = often[held]
@@ -226,16 +234,16 @@ def _asked(shards: int, hot: Broadcast, tokens: int, words: int):
                 a, e = cut[s], cut[s + 1]
                 i, p, lacks = at[a:e], slice(ends[s], ends[s + 1]), first[a:e][count[a:e] == 0]
                 onward = planes(np.concatenate([t.before[lacks], t.token[lacks]])) if len(lacks) else none
-                rows.append((s, piece, _steps(context[i]), planes(tail[i].astype(np.uint32)), planes(count[a:e]), _steps((held[p] - a).astype(np.uint32)), planes(text[p]), planes(times[p]), planes(slot[a:e]) if slot[a:e].any() else none, onward))
+                rows.append((s, piece, _steps(code[i]), planes(count[a:e]), _steps((held[p] - a).astype(np.uint32)), planes(text[p]), planes(times[p]), planes(slot[a:e]) if slot[a:e].any() else none, onward, none))
             keys, inverse = np.unique(t.token, return_inverse=True)
             n = _at(*hot1, keys, -1)
             near = n >= 0
             base = np.where(near, log_p(np.maximum(0, n), tokens, words), 0)
             local = [planes(np.bincount(t.text, x[inverse], len(texts))) for x in (base, (n > 0).astype(np.float64))]
             lost = np.array([i is None for i in ids])
-            own = planes(np.array([0 if i is None else i for i in ids], np.int64)) + lost.tobytes()
+            own = np.array([0 if i is None else i for i in ids], np.int64).tobytes() + lost.tobytes()
             rows.append((-1 - piece % shards, piece, own, planes(t.n.astype(np.int64)), *local, *kept, none))
-            at, cut = _by_shard(np.where(near, shards, (keys % U(shards)).astype(np.int64)), keys, shards)
+            at, cut = _by_shard(np.where(near, shards, (keys % U(shards)).astype(np.int64)), shards)
             rank = np.full(len(keys), len(keys))
             rank[at[: cut[shards]]] = np.arange(cut[shards])
             mine = rank[inverse]
@@ -243,51 +251,40 @@ def _asked(shards: int, hot: Broadcast, tokens: int, words: int):
             ends = np.searchsorted(held, cut)
             for s in np.flatnonzero(np.diff(cut)):
                 p = slice(ends[s], ends[s + 1])
-                rows.append((shards + s, piece, _steps(keys[at[cut[s] : cut[s + 1]]]), none, none, _steps((held[p] - cut[s]).astype(np.uint32)), planes(text[p]), planes(times[p]), none, none))
+                rows.append((shards + s, piece, _steps(keys[at[cut[s] : cut[s + 1]]]), none, _steps((held[p] - cut[s]).astype(np.uint32)), planes(text[p]), planes(times[p]), *[none] * 3))
             yield from _batches(rows, _SENT)
 
     return run
 
 
-def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """context, tail and count of the n-grams counted in a shard's messages, sorted."""
-    each = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0)]
-    for c, t, n in zip(rows["context"], rows["tail"], rows["count"], strict=True):
+def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """code and count of the n-grams counted in a shard's messages, in order."""
+    codes, counts = [np.zeros(0, U)], [np.zeros(0)]
+    for c, n in zip(rows["code"], rows["count"], strict=True):
         n = from_planes(n, np.uint32)
-        keep = n > 0
-        for out, x in zip(each, (_from_steps(c), from_planes(t, np.uint32).astype(U), n), strict=True):
-            out.append(x[keep])
-    context, tail, n = (np.concatenate(x) for x in each)
-    order = np.lexsort((tail, context))
-    context, tail = context[order], tail[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (context[1:] != context[:-1]) | (tail[1:] != tail[:-1])
-    begin = np.flatnonzero(new)
-    return context[begin], tail[begin], np.add.reduceat(n[order], begin) if len(begin) else n
+        codes.append(_from_steps(c)[n > 0])
+        counts.append(n[n > 0])
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate(counts), len(code))
 
 
 def _trie(rows: pd.DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Trie:
-    """The trie of a shard, mapped from a file. hot: contexts (sorted) that other shards share, and their counts."""
-    context, tail, n = _merged(rows)
+    """The trie of a shard, mapped from a file. hot: contexts that other shards share, and their counts."""
+    code, n = _merged(rows)
+    context = code >> _TAILS
     begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-    shared = _at(*hot, context[begin], -1)
+    names = mix(hot[0]) >> _TAILS
+    order = np.argsort(names)
+    shared = _at(names[order], hot[1][order], context[begin], -1)
     total = np.where(shared < 0, np.add.reduceat(n, begin) if len(begin) else 0, shared)
     each = np.repeat(total, np.diff(np.append(begin, len(context))))
-    blob = Trie.of(context, tail, np.log10(n / (each + M)), np.log10(M / (total + M))).dump()
-    del context, tail, n, each
+    blob = Trie.of(context, code & _TAIL, np.log10(n / (each + M)), np.log10(M / (total + M))).dump()
+    del code, context, n, each
     return Trie.load(mapped(blob))
 
 
-def _frequent(least: int):
-    """For applyInPandas: the n-grams seen at least least times, as the contexts that they are for the next level, with their counts."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        context, tail, n = _merged(rows)
-        keep = n >= least
-        release()
-        return pd.DataFrame({"k": _pair(context[keep], tail[keep]).view(np.int64), "n": n[keep].astype(np.int64)})
-
-    return run
+def _find(trie: Trie, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return trie.find(code >> _TAILS, code & _TAIL)
 
 
 def _spread(df: DataFrame, shards: int) -> DataFrame:
@@ -303,29 +300,28 @@ def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _words(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, a (hashes, in steps) and c (counts) of the words of learning texts, and how many words and tokens these are."""
+def _tally(docs: DataFrame, shards: int, keys: Callable[[Tokens], np.ndarray]) -> DataFrame:
+    """shard, a (keys of tokens, in steps) and c (counts) over learning texts, and how many keys and tokens these are."""
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("c", pa.binary())])
         for _, texts, learn in _pieces(it):
-            if learn.any():
-                words, n = np.unique(Tokens([x for x, k in zip(texts, learn, strict=True) if k]).token, return_counts=True)
-                at, cut = _by_shard((words % U(shards)).astype(np.int64), words, shards)
-                yield from _batches([(s, _steps(words[i]), planes(n[i].astype(np.uint32))) for s in range(shards) if len(i := at[cut[s] : cut[s + 1]])], schema)
+            found, n = np.unique(keys(Tokens([x for x, k in zip(texts, learn, strict=True) if k])), return_counts=True)
+            at, cut = _by_shard((found % U(shards)).astype(np.int64), shards)
+            yield from _batches([(s, _steps(found[i := at[cut[s] : cut[s + 1]]]), planes(n[i].astype(np.uint32))) for s in np.flatnonzero(np.diff(cut))], schema)
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words, inverse = np.unique(np.concatenate([_from_steps(x) for x in rows["a"]]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([from_planes(x, np.uint32) for x in rows["c"]]), len(words)).astype(np.int64)
+        found, inverse = np.unique(np.concatenate([_from_steps(x) for x in rows["a"]]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([from_planes(x, np.uint32) for x in rows["c"]]), len(found)).astype(np.int64)
         release()
-        return pd.DataFrame([(key[0], _steps(words), planes(n), len(words), int(n.sum()))], columns=["shard", "a", "c", "words", "tokens"])
+        return pd.DataFrame([(key[0], _steps(found), planes(n), len(found), int(n.sum()))], columns=["shard", "a", "c", "words", "tokens"])
 
     sent = docs.mapInArrow(part, "shard int, a binary, c binary")
-    return materialise(_spread(sent, shards).groupBy("shard").applyInPandas(whole, "shard int, a binary, c binary, words long, tokens long"))
+    return _spread(sent, shards).groupBy("shard").applyInPandas(whole, "shard int, a binary, c binary, words long, tokens long")
 
 
 def _hottest(least: int):
-    """For mapInPandas: the words seen at least least times, with their counts."""
+    """For mapInPandas: the keys of a tally seen at least least times, with their counts."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in it:
@@ -343,38 +339,40 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
     docs = docs.select("doc_id", "text", "learn")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    vocabulary = _words(docs, shards)
+    vocabulary = materialise(_tally(docs, shards, lambda t: t.token))
     known = vocabulary.agg(F.sum("tokens"), F.sum("words")).first()
     tokens, words = known[0] or 0, known[1] or 0
     least = max(LEAST, tokens // HOT)
 
     hot1 = _sorted(vocabulary.select("a", "c").mapInPandas(_hottest(least), "k long, n long"))
-    bigrams = docs.mapInArrow(_counted(2, shards, hot1[0]), _SENT_SQL)
-    keys, n = _sorted(_spread(bigrams, shards).groupBy("shard").applyInPandas(_frequent(least), "k long, n long"))
+    frequent = _tally(docs, shards, lambda t: _pair(t.before, t.token)).select("a", "c").mapInPandas(_hottest(least), "k long, n long")
+    keys, n = _sorted(materialise(frequent))
     starts, beginnings = keys == _START, hot1[0] == BOUNDARY  # every text has the start for a context, but only an empty one for its bigram
     keys, n = np.append(keys[~starts], np.full(beginnings.sum(), _START)), np.append(n[~starts], hot1[1][beginnings])
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((hot1, (keys[order], n[order])))
 
+    bigrams = docs.mapInArrow(_counted(shards, hot1[0]), _SENT_SQL)
+
     def first(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Of a shard's trigrams, or of its words, the sums by text; what it has no trigram for; what pieces keep, as it came."""
         if not len(rows):
             return _answers([], [])
         shard, out, lacks = rows["shard"].iloc[0], [], []
         if shard < 0:
-            return _answers([(OWN, r.piece, r.context, r.tail, r.count_, r.rank, r.text, r.times, r.slot) for r in rows.rename(columns={"count": "count_"}).itertuples(index=False)], [])
+            return _answers([(OWN, r.piece, r.code, r.count_, r.rank, r.text, r.times, r.slot, r.onward) for r in rows.rename(columns={"count": "count_"}).itertuples(index=False)], [])
         if shard >= shards:
             have, n = (_from_steps(known["a"].iloc[0]), from_planes(known["c"].iloc[0], np.int64)) if len(known) else (np.zeros(0, U), np.zeros(0))
             for r in rows.itertuples(index=False):
-                count = _at(have, n, _from_steps(r.context), 0)
+                count = _at(have, n, _from_steps(r.code), 0)
                 rank, text, times = _from_steps(r.rank, np.uint32), from_planes(r.text, np.uint32), from_planes(r.times, np.uint32)
                 there, base, seen = _sums(text, log_p(count, tokens, words)[rank] * times, (count > 0)[rank] * times)
                 out.append((SUM, r.piece, there, None, base, seen))
             return _answers(out, [])
         trie = _trie(rows, hot.value[1])
         for r in rows.rename(columns={"count": "count_"}).itertuples(index=False):
-            context, tail, count = _from_steps(r.context), from_planes(r.tail, np.uint32).astype(U), from_planes(r.count_, np.uint32)
-            found, value = trie.find(context, tail)
+            count = from_planes(r.count_, np.uint32)
+            found, value = _find(trie, _from_steps(r.code))
             if r.slot:
                 slot = from_planes(r.slot, np.uint32)
                 out.append((VALUE, r.piece, planes(slot[slot > 0]), planes(value[slot > 0])))
@@ -386,7 +384,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
                 before, token = from_planes(r.onward, U).reshape(2, -1)
                 p = np.flatnonzero(~found[rank])
                 at = new[rank[p]]
-                lacks.append(_lacking(r.piece, text[p], times[p], before[at], token[at], _shard_of(before[at], token[at] & _TAIL, hot.value[0][0], shards)))
+                lacks.append(_lacking(r.piece, text[p], times[p], before[at], token[at], _shard_of(before[at], token[at], hot.value[0][0], shards)))
         return _answers(out, lacks)
 
     def second(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -394,7 +392,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
         if not len(asked):
             return _answers([], [])
         before, token = (asked[c].to_numpy(np.int64).view(U) for c in ("before", "token"))
-        found, value = _trie(rows, hot.value[0]).find(before, token & _TAIL)
+        found, value = _find(_trie(rows, hot.value[0]), _code(before, token))
         count = _at(*hot.value[0], token, -1)
         near = ~found & (count >= 0)
         value = np.where(near, value + log_p(np.maximum(count, 0), tokens, words), value)
@@ -440,7 +438,7 @@ def _finish(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["kind", "a", "b", "c"], na_position="first")  # so that sums come out alike each time
     own = rows[rows["kind"] == OWN].iloc[0]
     n = from_planes(own.b, np.int64)
-    ids, lost = from_planes(own.a[: 8 * len(n)], np.int64), np.frombuffer(own.a[8 * len(n) :], bool)
+    ids, lost = np.frombuffer(own.a, np.int64, len(n)), np.frombuffer(own.a[8 * len(n) :], bool)
     base, known, score = from_planes(own.c, np.float64).copy(), from_planes(own.d, np.float64).copy(), np.zeros(len(n))
     slots, text, times = (from_planes(x, np.uint32) for x in (own.e, own.f, own.g))
     values = np.zeros(int(slots.max(initial=0)) + 1)
