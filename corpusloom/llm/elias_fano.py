@@ -6,6 +6,7 @@ import io
 import os
 import tempfile
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -27,22 +28,6 @@ def _pack_low(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-    """The place of the k-th (from 0) set bit, or clear bit if flip. before: such bits before each word."""
-    word = np.searchsorted(before, k, "right") - 1
-    left, w = k - before[word], words[word]
-    if flip:
-        w = ~w
-    at = word * 64
-    for s in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(w & U((1 << s) - 1)).astype(np.int64)
-        on = left >= n
-        left = np.where(on, left - n, left)
-        w = np.where(on, w >> U(s), w)
-        at = at + np.where(on, s, 0)
-    return at
-
-
 @dataclass
 class EliasFano:
     """A non-decreasing sequence of n values below 2^64: low bits in fields, high bits as gaps between set bits."""
@@ -62,10 +47,21 @@ class EliasFano:
         bits[at] = 1
         return cls(n, width, _pack_low(values, width), np.packbits(bits, bitorder="little").view(U))
 
-    def __post_init__(self) -> None:
-        ones = np.bitwise_count(self.high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)[:-1]])
-        self.zeros = np.arange(len(self.high)) * 64 - self.ones
+    @cached_property
+    def _bits(self) -> np.ndarray:
+        return np.unpackbits(self.high.view(np.uint8), bitorder="little")
+
+    @cached_property
+    def _gaps(self) -> np.ndarray:
+        """The high part of each value. A reader decodes it when it first asks: four bytes a value, once for all that it asks."""
+        at = np.flatnonzero(self._bits)
+        return (at - np.arange(len(at))).astype(np.uint32)
+
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        """How many values have at most each high part."""
+        at = np.flatnonzero(self._bits == 0)
+        return (at - np.arange(len(at))).astype(np.int32)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -77,18 +73,18 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        return (_select(self.high, self.ones, i, False) - i).astype(U) << U(self.width) | self._low(i)
+        return self._gaps[i].astype(U) << U(self.width) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first value that isn't below each x (n if none), and whether it equals x."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = x >> U(self.width)
-        last = U(int(self.zeros[-1]) + 63 - int(np.bitwise_count(self.high[-1])))
+        last = U(len(self._ends) - 1)
         beyond = high > last
         high = np.minimum(high, last).astype(np.int64)
-        end = _select(self.high, self.zeros, high, True) - high
-        begin = np.where(high > 0, _select(self.high, self.zeros, np.maximum(high - 1, 0), True) - (high - 1), 0)
+        end = self._ends[high].astype(np.int64)
+        begin = np.where(high > 0, self._ends[np.maximum(high - 1, 0)], 0).astype(np.int64)
         want = x & U((1 << self.width) - 1)
         lo, hi = begin, end
         while (open_ := lo < hi).any():

@@ -48,7 +48,7 @@ BOUNDARY = U(0x5BF03635D1A9C2E7)
 #: Mass that a context holds back, in counts.
 M = 4.0
 #: Bytes of text that a task sums up at a time, and bytes of text for each shard.
-PIECE, SHARD = 8 << 20, 12 << 20
+PIECE, SHARD = 4 << 20, 12 << 20
 #: The most words or contexts that are broadcast: those as frequent as one in so many tokens, and seen LEAST times at least.
 HOT, LEAST = 1 << 16, 64
 #: An n-gram in more texts of a piece gets its value sent back.
@@ -300,24 +300,29 @@ def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _tally(docs: DataFrame, shards: int, keys: Callable[[Tokens], np.ndarray]) -> DataFrame:
-    """shard, a (keys of tokens, in steps) and c (counts) over learning texts, and how many keys and tokens these are."""
+def _tally(docs: DataFrame, shards: int) -> DataFrame:
+    """shard, a (hashes, in steps) and c (counts) over learning texts, of all words (shard below shards) and of the bigrams seen LEAST times at least
+    (from shards on), and how many different ones and tokens these are."""
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("c", pa.binary())])
         for _, texts, learn in _pieces(it):
-            found, n = np.unique(keys(Tokens([x for x, k in zip(texts, learn, strict=True) if k])), return_counts=True)
-            at, cut = _by_shard((found % U(shards)).astype(np.int64), shards)
-            yield from _batches([(s, _steps(found[i := at[cut[s] : cut[s + 1]]]), planes(n[i].astype(np.uint32))) for s in np.flatnonzero(np.diff(cut))], schema)
+            t = Tokens([x for x, k in zip(texts, learn, strict=True) if k])
+            for begin, keys in ((0, t.token), (shards, _pair(t.before, t.token))):
+                found, n = np.unique(keys, return_counts=True)
+                at, cut = _by_shard((found % U(shards)).astype(np.int64), shards)
+                yield from _batches([(begin + s, _steps(found[i := at[cut[s] : cut[s + 1]]]), planes(n[i].astype(np.uint32))) for s in np.flatnonzero(np.diff(cut))], schema)
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found, inverse = np.unique(np.concatenate([_from_steps(x) for x in rows["a"]]), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([from_planes(x, np.uint32) for x in rows["c"]]), len(found)).astype(np.int64)
+        if key[0] >= shards:
+            found, n = found[n >= LEAST], n[n >= LEAST]
         release()
         return pd.DataFrame([(key[0], _steps(found), planes(n), len(found), int(n.sum()))], columns=["shard", "a", "c", "words", "tokens"])
 
     sent = docs.mapInArrow(part, "shard int, a binary, c binary")
-    return _spread(sent, shards).groupBy("shard").applyInPandas(whole, "shard int, a binary, c binary, words long, tokens long")
+    return materialise(_spread(sent, shards).groupBy("shard").applyInPandas(whole, "shard int, a binary, c binary, words long, tokens long"))
 
 
 def _hottest(least: int):
@@ -339,14 +344,14 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
     docs = docs.select("doc_id", "text", "learn")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    vocabulary = materialise(_tally(docs, shards, lambda t: t.token))
+    tally = _tally(docs, shards)
+    vocabulary = tally.where(F.col("shard") < shards)
     known = vocabulary.agg(F.sum("tokens"), F.sum("words")).first()
     tokens, words = known[0] or 0, known[1] or 0
     least = max(LEAST, tokens // HOT)
 
     hot1 = _sorted(vocabulary.select("a", "c").mapInPandas(_hottest(least), "k long, n long"))
-    frequent = _tally(docs, shards, lambda t: _pair(t.before, t.token)).select("a", "c").mapInPandas(_hottest(least), "k long, n long")
-    keys, n = _sorted(materialise(frequent))
+    keys, n = _sorted(tally.where(F.col("shard") >= shards).select("a", "c").mapInPandas(_hottest(least), "k long, n long"))
     starts, beginnings = keys == _START, hot1[0] == BOUNDARY  # every text has the start for a context, but only an empty one for its bigram
     keys, n = np.append(keys[~starts], np.full(beginnings.sum(), _START)), np.append(n[~starts], hot1[1][beginnings])
     order = np.argsort(keys)
