@@ -287,9 +287,9 @@ def _find(trie: Trie, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return trie.find(code >> _TAILS, code & _TAIL)
 
 
-def _spread(df: DataFrame, shards: int) -> DataFrame:
+def _spread(df: DataFrame, shards: int, *more: str) -> DataFrame:
     """df dealt to so many tasks by shard: what a task reads is a few shards' bytes at every size."""
-    return df.repartition(shards, "shard")
+    return df.repartition(shards, "shard", *more)
 
 
 def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -415,10 +415,9 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
         piece, text, times = (asked[c].to_numpy(np.int64) for c in ("piece", "at", "n"))
         return _answers(_by_piece(piece, text, value * times), [])
 
-    own = F.when(F.col("shard") < 0, F.col("piece")).otherwise(-1)
-    above = _spread(vocabulary.select((F.col("shard") + shards).alias("shard"), "a", "c"), shards)
-    asked = _spread(docs.mapInArrow(_asked(shards, hot, tokens, words), _SENT_SQL), shards)
-    answers = materialise(asked.groupBy("shard", own.alias("own")).cogroup(above.groupBy("shard", F.lit(-1).cast("long").alias("own"))).applyInPandas(first, _ANSWER_SQL))
+    above = _spread(vocabulary.select((F.col("shard") + shards).alias("shard"), F.lit(-1).cast("long").alias("own"), "a", "c"), shards, "own")
+    asked = docs.mapInArrow(_asked(shards, hot, tokens, words), _SENT_SQL).withColumn("own", F.when(F.col("shard") < 0, F.col("piece")).otherwise(-1))
+    answers = materialise(_spread(asked, shards, "own").groupBy("shard", "own").cogroup(above.groupBy("shard", "own")).applyInPandas(first, _ANSWER_SQL))
     lacks = [*"abcdefg"]
     backed = _spread(answers.where(F.col("kind") == LACK).drop(*lacks), shards).groupBy("shard").cogroup(_spread(bigrams, shards).groupBy("shard"))
     backed = materialise(backed.applyInPandas(second, _ANSWER_SQL))
