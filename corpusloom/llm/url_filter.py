@@ -3,12 +3,13 @@
 The n-grams are made by SQL, hashed by murmur3 into a vector of fixed length, and weighed by a model that is
 fitted to a small labelled URL table; the table's rows are the bound of all that the driver gathers.
 
-Defined cases: a null URL, or one without ://, has an empty host and path; no rule fits it, and the model weighs
+Defined cases: with labels of one class that class is the verdict, and with none it is allow. A null URL, or one without ://, has an empty host and path; no rule fits it, and the model weighs
 its empty n-grams. Rows are independent; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -24,85 +25,50 @@ GRAMS, BUCKETS = (3, 4, 5), 1 << 14
 #: The most rules that are written into the query.
 MOST_RULES = 1000
 
-BLOCK = """
-best-casino-slots.bet/play/free-spins
-online-poker-bonus.bet/win/jackpot
-casino-royal-win.com/slots/bonus
-mega-jackpot.casino/roulette
-sports-betting-tips.bet/odds/today
-cheap-pills-pharmacy.biz/buy/viagra
-buy-viagra-online.shop/order-now
-canadian-pharmacy-meds.info/cialis
-no-prescription-pills.biz/cheap
-weight-loss-miracle.click/buy-now
-hot-xxx-videos.adult/watch
-free-porn-tube.xxx/video/1
-adult-cams-live.sex/girls
-sexy-singles-dating.click/join
-nude-pics-leaked.xxx/gallery
-payday-loans-fast.loan/apply
-quick-cash-loan.loan/no-credit-check
-crypto-doubler-profit.top/invest
-bitcoin-giveaway-win.top/claim
-earn-money-fast.click/signup
-secure-login-verify-account.top/signin
-update-your-bank-account.click/verify
-paypa1-secure-login.info/confirm
-free-gift-card-winner.club/claim
-you-won-a-prize.club/claim-now
-cracked-software-keygen.ru/download
-free-torrent-movies.to/download
-warez-full-crack.to/serial
-replica-watches-cheap.shop/rolex
-fake-designer-bags.shop/outlet
-click-bait-shock.click/you-wont-believe
-spam-link-farm.top/backlinks/buy
-cheap-followers-likes.top/buy
-miracle-cure-secret.biz/doctors-hate
-hot-deals-discount-coupon.click/90-off
+# Words of hosts that are blocked, words of ordinary hosts (some of which hold parts of the former), and what stands beside either.
+RISKY = """
+casino poker slots roulette blackjack jackpot bets betting bet bingo lotto gambling pills pill viagra cialis pharmacy meds steroids porn adult xxx sex sexy nude cams webcams escort hookup
+payday loans loan forex bitcoin doubler giveaway prize winner spam spammer backlinks linkfarm followers traffic clicks popup popunder ads adserver adclick track tracker tracking affiliate
+warez crack keygen torrent replica counterfeit phishing
 """.split()
-ALLOW = """
-en.wikipedia.org/wiki/Logistic_regression
-de.wikipedia.org/wiki/Sprache
-fr.wikipedia.org/wiki/Langue
-es.wikipedia.org/wiki/Idioma
-docs.python.org/3/library/re.html
-spark.apache.org/docs/latest/sql-programming-guide.html
-arxiv.org/abs/1706.03762
-www.nature.com/articles/s41586
-www.gutenberg.org/ebooks/1342
-news.university.edu/research/2021/article
-library.example.org/en/catalogue/12
-blog.example.com/en/2020/05/post
-www.museum.org/collection/painting
-www.parliament.gov/bills/2019
-weather.gov/forecast/today
-www.who.int/health-topics/measles
-history.state.gov/historicaldocuments
-www.oecd.org/economy/outlook
-data.worldbank.org/indicator
-stackoverflow.com/questions/11227809
-github.com/torvalds/linux
-developer.mozilla.org/en-US/docs/Web/HTML
-www.bbc.co.uk/news/science
-www.lemonde.fr/planete/article/2022
-www.spiegel.de/wissenschaft/natur
-elpais.com/ciencia/2021
-plato.stanford.edu/entries/logic
-math.example.net/de/25
-recipes.example.com/fr/bread
-m.garden.example.net/es/roses
-city-library.org/events/reading
-www.school.edu/courses/biology
-travel.example.org/en/rome
-cooking.example.com/en/soup
-forum.example.net/en/thread/99
+ORDINARY = """
+garden library school recipe travel museum history science weather music theatre river mountain village forum news health kitchen books radio church football archive university nature birds photo software
+linux data math physics chemistry biology poetry language dictionary philosophy cooking bakery bridge castle harbour island forest ocean farmers bicycle railway airport hotel hospital parliament council
+county journal press magazine gazette teacher student college academy institute society better alphabet betty essex sextant sussex pillow pillar caterpillar sportswear loanword camshaft cambridge campus
+adsorption address roads trades trackfield soundtrack ticket clickstream slotted winners winter windows passport export classics classroom crackers cracow replicate bookstore library poetry market
 """.split()
+BESIDE = "best free cheap my the top online win club shop now hub world zone pro x farm big new daily city super real go easy fast old web net24 one house land blue red".split()
+ENDS = "com net org info io co biz eu de fr es top site club".split()
+#: Rows of the table for each risky word, of ordinary hosts for each row that is blocked, and the share of these with a made-up name.
+EACH, ORDINARY_EACH, MADE_UP = 16, 3, 0.7
+
+
+def _table() -> list[tuple[str, float]]:
+    """Labelled URLs (1: block). Both classes get the same prefixes, endings, neighbours and paths, so that only the words and the letters of the names tell them apart."""
+    rng = random.Random(20240117)
+    syllable = lambda: rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice(["", "", *"nrstlmdh"])
+
+    def name(word: str) -> str:
+        beside = [rng.choice(BESIDE) for _ in range(rng.choice((0, 1, 1, 2)))]
+        beside.insert(rng.randint(0, len(beside)), word)
+        return rng.choice(("-", "-", "")).join(beside)
+
+    def url(host: str) -> str:
+        prefix = rng.choice(("", "", "www.", "www.", "m.", "blog.", "shop.", "static.", f"{syllable()}{syllable()}."))
+        middle = rng.choice(("", "", "", f"{syllable()}{syllable()}."))
+        path = rng.choice(("", "/", f"/{rng.choice(('en', 'de', 'fr', 'es', 'it'))}/{rng.randint(1, 9999)}", f"/{rng.randint(1, 9999)}.html", f"/{syllable()}{syllable()}/{rng.randint(1, 99)}", f"/{rng.choice(ORDINARY)}/{syllable()}{syllable()}"))
+        return f"http://{prefix}{host}.{middle}{rng.choice(ENDS)}{path}"
+
+    rows = [(url(name(w)), 1.0) for w in RISKY for _ in range(EACH)]
+    for _ in range(ORDINARY_EACH * len(rows)):
+        made = "".join(syllable() for _ in range(rng.randint(2, 4))) if rng.random() < 0.5 else "".join(rng.choices("eeettaaooinshrdlucmfwypvbgk", k=rng.randint(4, 10)))
+        rows.append((url(name(made if rng.random() < MADE_UP else rng.choice(ORDINARY))), 0.0))
+    return rows
 
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The small table that the model is fitted to unless another is given: url, label (1: block)."""
-    return spark.createDataFrame([(f"http://{u}", float(y)) for y, us in ((1, BLOCK), (0, ALLOW)) for u in us], "url string, label double")
+    return spark.createDataFrame(_table(), "url string, label double")
 
 
 def with_parts(df: DataFrame) -> DataFrame:
@@ -128,7 +94,7 @@ def _features(df: DataFrame) -> DataFrame:
 def fit(labels: DataFrame) -> LogisticRegressionModel:
     """The model of labels (url, label: 1 is block)."""
     labels = labels.coalesce(1)  # a small table, read again at each step
-    model = LogisticRegression(maxIter=50, regParam=0.02, featuresCol="features", labelCol="label")
+    model = LogisticRegression(maxIter=60, regParam=0.0003, standardization=False, featuresCol="features", labelCol="label")
     return model.fit(_features(with_parts(labels.select("url", F.col("label").cast("double").alias("label")))))
 
 
@@ -145,8 +111,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labels: DataFrame | None = None) -> DataFrame:
     """page_id, url, host, path, rule, p_block (of the model) and verdict of every row of pages (page_id, url)."""
-    model = fit(labelled(pages.sparkSession) if labels is None else labels)
+    labels = labelled(pages.sparkSession) if labels is None else labels
     df = with_parts(pages.select("page_id", "url")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    df = model.transform(_features(df)).withColumn("p_block", vector_to_array("probability")[1])
+    kinds = [r.y for r in labels.select((F.col("label") > 0.5).alias("y")).where("y IS NOT NULL").distinct().collect()]
+    if len(kinds) == 2:
+        df = fit(labels).transform(_features(df)).withColumn("p_block", vector_to_array("probability")[1])
+    else:  # nothing to tell apart
+        df = df.withColumn("p_block", F.lit(float(kinds == [True])))
     verdict = F.coalesce("fit.verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
     return df.select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), "p_block", verdict.alias("verdict"))
