@@ -92,10 +92,12 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def fit(labels: DataFrame) -> LogisticRegressionModel:
-    """The model of labels (url, label: 1 is block)."""
-    labels = labels.coalesce(1)  # a small table, read again at each step
-    model = LogisticRegression(maxIter=60, regParam=0.0003, standardization=False, featuresCol="features", labelCol="label")
-    return model.fit(_features(with_parts(labels.select("url", F.col("label").cast("double").alias("label")))))
+    """The model of labels (url, label: 1 is block), of which both occur; either class weighs the same in all."""
+    labels = labels.select("url", F.col("label").cast("double").alias("label")).where("label IS NOT NULL").coalesce(1)  # a small table, read again at each step
+    share = labels.agg(F.avg("label")).first()[0]
+    labels = labels.withColumn("weight", F.when(F.col("label") > 0.5, 0.5 / share).otherwise(0.5 / (1 - share)))
+    model = LogisticRegression(maxIter=60, regParam=0.0003, standardization=False, featuresCol="features", labelCol="label", weightCol="weight")
+    return model.fit(_features(with_parts(labels)))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
