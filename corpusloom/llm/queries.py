@@ -79,7 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -125,8 +125,14 @@ ORACLES: dict[str, str] = {
               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM t))),
         h AS (SELECT doc_id, item, n, i FROM x JOIN t USING (n, s)),
         c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM h)) GROUP BY 1),
-        m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+        m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1),
+        p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM d), f AS (SELECT term, count(*) AS f FROM p GROUP BY 1),
+        v AS (SELECT item, s, x.term, min(x.i) AS i, any_value(f) AS f FROM (SELECT DISTINCT item, s, unnest(string_split(s, ' ')) AS term, generate_subscripts(string_split(s, ' '), 1) AS i FROM t) x JOIN f USING (term) GROUP BY 1, 2, 3),
+        o AS (SELECT item, s, term, row_number() OVER (PARTITION BY item, s ORDER BY f, i) AS k FROM v),
+        y AS (SELECT DISTINCT a.item, a.term AS ta, b.term AS tb FROM o a JOIN o b USING (item, s) WHERE a.k = 1 AND b.k = 2),
+        q AS (SELECT DISTINCT x.doc_id, ta, tb FROM (SELECT DISTINCT ta, tb FROM y) JOIN p x ON x.term = ta JOIN p z ON z.term = tb AND z.doc_id = x.doc_id AND abs(z.i - x.i) <= 20),
+        g AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM q JOIN y USING (ta, tb) GROUP BY 1)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id)""",
 }

@@ -200,7 +200,7 @@ def test_pipeline(spark, sf, documents):
             left = {i: left[i] for i, (_, _, stays) in near_by_force(left.items()).items() if stays}
         else:
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-            left = {r[0]: left[r[0]] for r in contaminated_by_force(left.items(), items) if not r[-1]}
+            left = {r[0]: left[r[0]] for r in contaminated_by_force(left.items(), items) if not r[5]}
         assert {r.doc_id: r.text or "" for r in docs.collect()} == left
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in out} == {*left} and all(r.n_tokens == len(r.ids) for r in out)

@@ -194,10 +194,33 @@ def words(t):
     return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
 
+def near_by_force(docs, items, length=10, span=20):
+    """n_near of each row."""
+    count = Counter(w for _, t in docs for w in words(t))
+    pairs = set()
+    for i, t in items:
+        w = words(t) if i is not None else []
+        for k in range(max(1, len(w) - length + 1)) if w else ():
+            first = {}
+            for at, x in enumerate(w[k : k + length]):
+                if count[x]:
+                    first.setdefault(x, at)
+            rare = sorted(first, key=lambda x: (count[x], first[x]))[:2]
+            if len(rare) == 2:
+                pairs.add((str(i), *rare))
+    out = []
+    for _, t in docs:
+        at = {}
+        for k, x in enumerate(words(t)):
+            at.setdefault(x, []).append(k)
+        out.append(len({i for i, a, b in pairs if any(abs(x - y) <= span for x in at.get(a, ()) for y in at.get(b, ()))}))
+    return out
+
+
 def contaminated_by_force(docs, items, length=10):
     windows = [(i, w[k : k + length]) for i, t in items if i is not None for w in [words(t)] if w for k in range(max(1, len(w) - length + 1))]
     out = []
-    for i, t in docs:
+    for (i, t), n_near in zip(docs, near_by_force(docs, items, length), strict=True):
         w = words(t)
         hit, found = set(), set()
         for item, x in windows:
@@ -205,7 +228,7 @@ def contaminated_by_force(docs, items, length=10):
                 if w[k : k + len(x)] == x:
                     hit |= {*range(k, k + len(x))}
                     found.add(str(item))
-        out.append((i, len(w), len(hit), len(found), tuple(sorted(found)), bool(hit)))
+        out.append((i, len(w), len(hit), len(found), tuple(sorted(found)), bool(hit), n_near))
     return Counter(out)
 
 
@@ -214,10 +237,10 @@ def test_contamination(spark, odd):
     items = [(1, eleven), (2, "ÉTÉ, à"), (3, None), (4, "..."), (None, "short"), (10, "tie"), (9, "Tie!"), (5, "the " * 12), (6, eleven + " twelve"), (7, "nowhere to be found in any of these texts at all ever")]
     df = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, window string")
     got = decontaminate.decontaminate(odd, df).collect()
-    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in got) == contaminated_by_force(ROWS, items)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated, r.n_near) for r in got) == contaminated_by_force(ROWS, items)
     docs = [(1, "the " * 30), (2, f"x {eleven} y {eleven} three four"), (3, "thE tHe"), (4, eleven.upper().replace(" ", "-\n"))]
     got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), df).collect()
-    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in got) == contaminated_by_force(docs, items)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated, r.n_near) for r in got) == contaminated_by_force(docs, items)
 
 
 def test_contamination_without_broadcast(spark, sf, monkeypatch):
@@ -227,10 +250,11 @@ def test_contamination_without_broadcast(spark, sf, monkeypatch):
 
 
 def test_near_matches(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu")], "item_id long, text string")
-    docs = [(1, "alpha x x x x lambda"), (2, "alpha " + "x " * 40 + "lambda beta gamma delta epsilon zeta eta theta iota kappa mu"), (3, "nothing")]
-    got = {r.doc_id: r.n_near for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
-    assert got[3] == 0 and got[2] >= 0 and got[1] <= 1
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "lambda mu"), (3, "nu nu nu")]
+    common = "gamma delta epsilon zeta eta theta iota kappa " * 5
+    docs = [(1, "alpha x x x beta"), (2, "beta " + "x " * 40 + "alpha"), (3, "nothing"), (4, common), (5, "mu " + "x " * 19 + "lambda"), (6, "mu " + "x " * 20 + "lambda"), (7, "nu nu nu"), (8, "x " * 19 + "lambda x mu")]
+    got = {r.doc_id: (r.n_near, r.n_hit) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 0), 6: (0, 0), 7: (0, 3), 8: (1, 0)}
 
 
 def test_empty_tables(spark, empty):
