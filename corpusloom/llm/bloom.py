@@ -1,7 +1,7 @@
-"""Bloom filters built over partitions and merged by segments.
+"""Bloom filters, whole or by range of hashes.
 
-A filter has a size fixed before it is built, so the merged filter that the driver hands to the executors is
-bounded whatever the data; a filter that is too small only lets more false suspects through.
+A whole filter is built over partitions, merged by segments and broadcast; it is for as many items as fits() allows. Beyond these keys are dealt to tasks by hash, and each
+task has filters for its own range, as large as the range needs, so filters never fill up, whatever the input.
 """
 
 from __future__ import annotations
@@ -25,6 +25,15 @@ def bits_for(items: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (10 * max(1, items)).bit_length()))
 
 
+def fits(items: int) -> bool:
+    """Whether a whole filter has bits enough for so many items."""
+    return 10 * items <= MOST_BITS
+
+
+#: Keys that a range of hashes holds, about: its filters have some megabytes.
+RANGE = 1 << 21
+
+
 class Bloom:
     """bits: the filter, eight to a byte."""
 
@@ -91,3 +100,60 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], n_bits:
         at = r.segment * SEGMENT
         once[at : at + SEGMENT], twice[at : at + SEGMENT] = r.once, r.twice
     return bytes(once), bytes(twice)
+
+
+def twice_seen(pairs: DataFrame, items: int) -> DataFrame:
+    """Those of pairs (doc_id, key: a digest; distinct in each batch) whose key may be in several documents, by a once-seen and a twice-seen filter for each range of keys. items: about how many.
+
+    Keys that a task itself finds in two documents are known already: their pairs don't move, and the range is told once a task. A range keeps in memory
+    what it has seen once; later pairs pass as they come. So a key that very many documents hold costs its range a row a task.
+    """
+    from corpusloom.llm.common import materialise
+
+    def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        kept: dict[bytes, int] = {}
+
+        def out(rows: list[tuple[bytes, int | None, bool, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], ["key", "doc_id", "known", "told"])
+
+        for b in it:
+            rows = []
+            for d, k in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), strict=True):
+                if k in seen:
+                    rows.append((k, d, True, False))
+                elif k in kept and kept[k] != d:
+                    rows += [(k, d, True, False), (k, kept.pop(k), True, False), (k, None, False, True)]
+                    seen.add(k)
+                else:
+                    kept[k] = d
+            if len(kept) + len(seen) > RANGE:  # a task's memory is bounded: what it forgets the ranges tell
+                rows += [(k, d, False, False) for k, d in kept.items()]
+                kept.clear()
+                seen.clear()
+            if rows:
+                yield out(rows)
+        rest = list(kept.items())
+        for lo in range(0, len(rest), 1 << 14):
+            yield out([(k, d, False, False) for k, d in rest[lo : lo + (1 << 14)]])
+
+    def ranged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = Bloom(1 << 25), Bloom(1 << 25)
+        waiting: list[pa.RecordBatch] = []
+        for b in it:
+            h = np.frombuffer(b"".join(k[:8] for k in b.column("key").to_pylist()), np.uint64)
+            told = b.column("told").to_numpy(zero_copy_only=False)
+            unique, n = np.unique(h, return_counts=True)
+            twice.add(np.concatenate([unique[(n > 1) | once.has(unique)], h[told]]))
+            once.add(unique)
+            hit = twice.has(h) & ~told
+            b = b.select(["doc_id", "key"])
+            yield b.filter(pa.array(hit))
+            waiting.append(b.filter(pa.array(~hit & ~told)))
+        for b in waiting:
+            h = np.frombuffer(b"".join(k[:8] for k in b.column("key").to_pylist()), np.uint64)
+            yield b.filter(pa.array(twice.has(h)))
+
+    rows = materialise(pairs.mapInArrow(part, "key binary, doc_id long, known boolean, told boolean"))
+    ranges = max(1, -(-items // RANGE))
+    return rows.where("NOT known").repartition(ranges, "key").mapInArrow(ranged, "doc_id long, key binary").unionByName(rows.where("known").select("doc_id", "key"))

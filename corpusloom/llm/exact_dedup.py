@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bloom import Bloom, bits_for, build
+from corpusloom.llm.bloom import Bloom, bits_for, build, fits
 from corpusloom.llm.common import batches, materialise, raw_texts, tune
 
 #: Bytes of a chunk: least, most, and the bits of the rolling hash that must be 0 at a cut (on average 2^11).
@@ -82,17 +82,22 @@ def _key(recipes_: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=8).digest() for r in recipes_), np.uint64)
 
 
-def _ambiguous(docs: DataFrame, repeated: DataFrame, size: int) -> bool:
-    """Whether a digest in a repeated recipe stands for two contents."""
-    n_bits = bits_for(repeated.count())
-    wanted = docs.sparkSession.sparkContext.broadcast(build(repeated.select("recipe"), lambda b: _key(b.column("recipe").to_pylist()), n_bits)[0])
+def _ambiguous(docs: DataFrame, each: DataFrame, repeated: DataFrame, size: int) -> bool:
+    """Whether a digest in a repeated recipe stands for two contents. each: the recipes of docs."""
+    n = repeated.count()
+    wanted, n_bits = None, bits_for(n)
+    if fits(n):
+        wanted = docs.sparkSession.sparkContext.broadcast(build(repeated.select("recipe"), lambda b: _key(b.column("recipe").to_pylist()), n_bits)[0])
+    else:  # the documents are fetched by doc_id instead; those without one all come
+        ids = each.join(repeated.select("recipe"), "recipe", "left_semi").where("doc_id IS NOT NULL").select("doc_id").distinct()
+        docs = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id IS NULL").select("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(n_bits, wanted.value)
+        bloom = Bloom(n_bits, wanted.value) if wanted else None
         for b in batches(it):
             texts = [t.lower() for t in raw_texts(b.column("text"))]
             parts = [[(_digest(c, size), c) for c in cs] for cs in _chunks(texts)]
-            hit = bloom.has(_key([b"".join(d for d, _ in p) for p in parts]))
+            hit = bloom.has(_key([b"".join(d for d, _ in p) for p in parts])) if bloom else [True] * len(parts)
             rows = {x for p, h in zip(parts, hit, strict=True) if h for x in p}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "chunk"])
@@ -107,7 +112,7 @@ def exact_dedup(docs: DataFrame, digest_size: int = 16) -> DataFrame:
     while True:
         each = materialise(recipes(docs, digest_size))
         groups = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        if not _ambiguous(docs, groups.where("group_size > 1"), digest_size):
+        if not _ambiguous(docs, each, groups.where("group_size > 1"), digest_size):
             break
         if digest_size >= 64:
             raise RuntimeError("two chunks share a digest of full length")

@@ -1,10 +1,11 @@
 """Line deduplication with two Bloom filters.
 
 A line's key is the line stripped of white space and with A-Z lower-cased. A first pass over the texts fills
-two filters of fixed size: keys seen in one document, and keys seen in two or more. The second pass asks the
+two filters: keys seen in one document, and keys seen in two or more. The second pass asks the
 second filter, and only what it suspects is shuffled, as digest and doc_id, to count documents exactly and to
 choose the one that keeps its lines. A document without any suspect never moves; the others meet the list of
-their lines to drop in one join on doc_id.
+their lines to drop in one join on doc_id. Where the lines are too many for one filter, digests are dealt by range
+to filters of their own (bloom.twice_seen), and all documents meet their list.
 
 Defined cases: a null or empty text is one empty line. Rows with one doc_id are one document. A row without
 doc_id is left whole and isn't counted. An empty table gives an empty table; other columns are not read.
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bloom import Bloom, bits_for, build
-from corpusloom.llm.common import batches, raw_texts, tune
+from corpusloom.llm.bloom import Bloom, bits_for, build, fits, twice_seen
+from corpusloom.llm.common import batches, materialise, raw_texts, tune
 from corpusloom.llm.hashing import SPACE
 
 #: Bytes of text for which the filters reckon with one line.
@@ -54,7 +55,8 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFra
     tune(spark)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_bits = bits_for(size // BYTES_A_LINE)
+    lines = size // BYTES_A_LINE
+    n_bits = bits_for(lines)
 
     def each(b: pa.RecordBatch) -> list[list[bytes]]:
         return [_keys(t, least) for t in raw_texts(b.column("text"))]
@@ -62,7 +64,17 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFra
     def counted(b: pa.RecordBatch) -> np.ndarray:
         return _hashes([k for keys in each(b) for k in {*keys} - {b""}])
 
-    twice = spark.sparkContext.broadcast(build(docs.where("doc_id IS NOT NULL"), counted, n_bits)[1])
+    def digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            found = [list({*ks} - {b""}) for ks in each(b)]
+            at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array([k for x in found for k in x], pa.binary())], ["doc_id", "key"])
+
+    def repeats(held: DataFrame) -> DataFrame:
+        """doc_id and the digests of its lines to drop."""
+        repeated = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= documents).select("key", "keep_id")
+        return held.join(repeated, "key").where("doc_id < keep_id").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+
 
     def suspects(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
         """Each batch, and of each row the digests that the filter suspects."""
@@ -103,8 +115,10 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
     schema = "doc_id long, text string, n_lines long, n_dropped long"
-    held = docs.mapInArrow(pairs, "doc_id long, key binary").distinct()
-    repeated = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= documents).select("key", "keep_id")
-    drops = held.join(repeated, "key").where("doc_id < keep_id").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+    if not fits(lines):
+        held = twice_seen(docs.where("doc_id IS NOT NULL").mapInArrow(digests, "doc_id long, key binary"), lines)
+        return docs.join(repeats(materialise(held.distinct())), "doc_id", "left").mapInArrow(cut, schema)
+    twice = spark.sparkContext.broadcast(build(docs.where("doc_id IS NOT NULL"), counted, n_bits)[1])
+    drops = repeats(docs.mapInArrow(pairs, "doc_id long, key binary").distinct())
     suspected = docs.mapInArrow(having, "doc_id long, text string").join(drops, "doc_id", "left").mapInArrow(cut, schema)
     return docs.mapInArrow(without, schema).unionByName(suspected)

@@ -13,7 +13,7 @@ Equal sets are one node. Then, without listing the pairs of a band:
 
 So a group whose copies resemble its first one costs one comparison a copy; only nodes that share a band and aren't known to be linked are
 compared with one another, in blocks of bounded size. Whole sets are read again from the texts that need them, found by a
-Bloom filter of bounded size. Components are found by passing labels on and jumping pointers, on tables in the shared folder.
+Bloom filter of bounded size or, where they are too many for it, by a join on doc_id. Components are found by passing labels on and jumping pointers, on tables in the shared folder.
 
 Defined cases: a text without words, or null, has no shingles and is linked with nothing; a text of fewer than five
 words has one shingle, the whole. Rows with one doc_id are one node where they have one text. Empty tables give empty tables;
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bloom import Bloom, bits_for, build
+from corpusloom.llm.bloom import Bloom, bits_for, build, fits
 from corpusloom.llm.common import batches, materialise, raw_texts, tune
 from corpusloom.llm.hashing import Words, mix
 
@@ -147,17 +147,24 @@ def _hash_ids(ids: list[int]) -> np.ndarray:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and shingles (sorted 64-bit hashes as bytes) of the wanted (doc_id; distinct) of docs, once each."""
-    n_bits = bits_for(wanted.count())
+    n = wanted.count()
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        s, first = shingle_sets(raw_texts(b.column("text")))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s[a:e].tobytes() for a, e in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
+
+    docs, schema = docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, shingles binary"
+    if not fits(n):
+        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: map(sets, batches(it)), schema).dropDuplicates(["doc_id"])
+    n_bits = bits_for(n)
     bits = docs.sparkSession.sparkContext.broadcast(build(wanted, lambda b: _hash_ids(b.column("doc_id").to_pylist()), n_bits)[0])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(n_bits, bits.value)
         for b in batches(it):
-            b = b.filter(pa.array(bloom.has(_hash_ids(b.column("doc_id").to_pylist()))))
-            s, first = shingle_sets(raw_texts(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s[a:e].tobytes() for a, e in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
+            yield sets(b.filter(pa.array(bloom.has(_hash_ids(b.column("doc_id").to_pylist())))))
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(run, schema).dropDuplicates(["doc_id"])
 
 
 def _linked(a: int, b: int, both: int, percent: int) -> bool:

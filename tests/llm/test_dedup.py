@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corpusloom.llm import exact_dedup, line_dedup, minhash, queries
+from corpusloom.llm import bloom, exact_dedup, line_dedup, minhash, queries
 from tests.llm.conftest import ROWS
 
 
@@ -142,3 +142,41 @@ def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert minhash.near_duplicates(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+@pytest.fixture
+def no_whole_filter(monkeypatch):
+    """As on an input that no filter of bounded size can serve."""
+    monkeypatch.setattr(bloom, "MOST_BITS", 0)
+    monkeypatch.setattr(bloom, "LEAST_BITS", 1 << 18)
+
+
+def test_exact_beyond_the_filter(no_whole_filter, odd):
+    for size in (1, 16):
+        assert Counter(map(tuple, exact_dedup.exact_dedup(odd, size).collect())) == exact_by_force(ROWS)
+
+
+def test_near_beyond_the_filter(no_whole_filter, odd):
+    rows = [(i, t) for i, t in ROWS if i is not None]
+    got = minhash.near_duplicates(odd).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == near_by_force(rows)
+
+
+def test_lines_beyond_the_filter(no_whole_filter, spark, odd, sf, documents, monkeypatch):
+    monkeypatch.setattr(bloom, "RANGE", 1 << 6)
+    assert Counter(map(tuple, line_dedup.dedup_lines(odd).collect())) == lines_by_force(ROWS)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == lines_by_force(documents)
+
+
+@pytest.mark.parametrize("size", [1 << 12, 1 << 21])
+def test_ranges_suspect_repeated_keys_alone(spark, monkeypatch, size):
+    monkeypatch.setattr(bloom, "RANGE", size)
+    digest = lambda k: hashlib.sha256(str(k).encode()).digest()
+    pairs = [(i, digest(i)) for i in range(20000)] + [(i + 1, digest(i)) for i in range(0, 20000, 100)] + [(i, digest("hot")) for i in range(3000)]
+    got = bloom.twice_seen(spark.createDataFrame(pairs, "doc_id long, key binary").repartition(6), len(pairs)).collect()
+    repeated = {digest(i) for i in range(0, 20000, 100)} | {digest("hot")}
+    found = Counter((r.doc_id, bytes(r.key)) for r in got)
+    assert all(found[p] == 1 for p in pairs if p[1] in repeated)
+    assert sum(bytes(r.key) not in repeated for r in got) < 0.01 * len(pairs)
+    assert bloom.twice_seen(spark.createDataFrame([], "doc_id long, key binary"), 0).count() == 0
