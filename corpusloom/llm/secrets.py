@@ -3,18 +3,18 @@
 Places come from cutting a text at a pattern: the lengths of the pieces and of the matches add up to each match's
 first and last code point.
 
-The battery looks at every run of 20 or more letters, digits and + / _ - =. Its encoding is inferred (hexadecimal,
+The battery looks at every run of 20 or more letters, digits and + / _ - = that no fixed pattern's span overlaps. Its encoding is inferred (hexadecimal,
 base 32, base 64), its characters become values of that alphabet, and three statistics are taken:
 
 * chi-squared against uniform use of the alphabet,
 * the number of runs of values above and below the middle,
 * the correlation of each value with the next.
 
-A run is a candidate if none of the three rejects a uniform source. The p-value of a candidate is that of chi-squared being
-so small for an ordinary word, whose chi-squared grows with its length (non-central, with the excess of
-letter frequencies), so a long run needs far less luck than a short one to stand out. In each band of
-lengths the false discovery rate is held at 1 % by the step-up rule over all candidates of the table; the p-values are counted
-in bins, so the rule costs one small aggregation and no sort.
+A run in which the three, by Bonferroni's rule, reject a uniform source is no candidate. How likely an ordinary run is to look as random is told by three
+p-values: of a chi-squared so small (non-central, since letters are used unevenly; it grows with the length), and of the other two so close to 0. What ordinary runs are like is
+taken from the table's own, those in which chi-squared clearly rejects a uniform source, added to PRIOR runs of fixed values. The three are combined by Fisher's method, and in each band of
+lengths the false discovery rate is held at 1 % by the step-up rule over all such runs of the table. P-values are counted
+in bins, so the rule costs one small aggregation and no sort. Texts are read once; what is found in them is written and read again.
 
 Defined cases: a null or empty text has no spans. Rows are independent but for the thresholds, to which repeated rows
 count each time. An empty table gives an empty table. Other columns are not read.
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import materialise
+
 #: The fixed patterns, by kind: the pattern, the group whose length counts, and its least length. The second and third
 #: take only whole runs of their characters, which their least length then decides at once.
 BASE = {
@@ -35,8 +37,12 @@ BASE = {
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: The alphabets of the encodings in the order of their values, and the excess of ordinary words over uniform use of each.
 ALPHABETS = {"hex": ("0123456789abcdef", 1.0), "b32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2), "b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.2)}
-#: Most of a statistic's standard scores for a uniform source, the false discovery rate, and bins for each factor of ten of p.
-MOST_Z, RATE, BINS = 3.3, 0.01, 4
+#: Below this p the battery rejects a uniform source; the false discovery rate; bins for each factor of ten of p; how many runs the fixed values count for, and their deviation.
+REJECT, RATE, BINS, PRIOR, SPREAD = 1e-3, 0.01, 4, 50, 2.0
+#: The most accepted runs that are broadcast.
+MOST_RUNS = 200_000
+# Chebyshev coefficients of the complementary error function, from the highest power down; the relative error is below 1.2e-7 everywhere.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
 
 
 def _sql(pattern: str) -> str:
@@ -58,13 +64,16 @@ def _with_spans(df: DataFrame, name: str, pattern: str, group: int, least: int)
     return df.withColumn(name, F.expr(spans)).drop("h", "p", "g")
 
 
-def _normal(z: str) -> str:
-    """The normal distribution function, by a logistic curve of its argument."""
-    return f"(1 / (1 + exp(-(1.5976 * ({z}) + 0.07056 * pow({z}, 3)))))"
+def _lower(z: str) -> str:
+    """The normal distribution function of an SQL expression, exact far into the lower tail."""
+    series = f"aggregate(array({', '.join(f'{c}D' for c in ERFC)}), 0D, (a, c) -> c + a * t)"
+    tail = f"transform(array(1 / (1 + abs(zz) / sqrt(8D))), t -> 0.5 * t * exp(-zz * zz / 2 + {series}))[0]"
+    return f"transform(array(CAST({z} AS double)), zz -> CASE WHEN zz <= 0 THEN {tail} ELSE 1 - {tail} END)[0]"
 
 
 def tested(runs: DataFrame) -> DataFrame:
-    """runs (run) with encoding, n, z_uniform, z_runs, z_serial, band (of lengths) and p; p is null for what isn't a candidate."""
+    """runs (run) with encoding, n, z_uniform, z_runs, z_serial, excess (of chi-squared over that of a uniform source, a character), band (of lengths) and random: whether the battery
+    leaves a uniform source possible."""
     one = lambda i: "CASE enc " + " ".join(f"WHEN '{k}' THEN {v[i] if i else _sql(v[0])}" for k, v in ALPHABETS.items()) + " END"
     df = runs.withColumn("enc", F.expr("CASE WHEN run RLIKE '^[0-9a-f]+$' OR run RLIKE '^[0-9A-F]+$' THEN 'hex' WHEN run RLIKE '^[A-Z2-7]+=*$' THEN 'b32' ELSE 'b64' END"))
     df = df.withColumn("bare", F.expr("CASE WHEN enc = 'hex' THEN lower(run) ELSE rtrim('=', translate(run, '-_', '+/')) END"))
@@ -82,10 +91,45 @@ def tested(runs: DataFrame) -> DataFrame:
     df = df.withColumn("rm", F.expr("2 * up * (n - up) / n + 1"))
     df = df.withColumn("z_runs", F.expr("CASE WHEN rm > 2 AND n > 1 THEN (r - rm) / sqrt((rm - 1) * (rm - 2) / (n - 1)) ELSE 99D END"))
     df = df.withColumn("z_serial", F.expr("CASE WHEN var > 0 THEN co / var * sqrt(n) ELSE 99D END"))
-    df = df.withColumn("z_word", F.expr("(chi - (k - 1 + n * excess)) / sqrt(2 * (k - 1) + 4 * n * excess)"))
+    df = df.withColumn("excess", F.expr("(chi - (k - 1)) / n"))
     df = df.withColumn("band", F.expr("least(8, CAST(floor(log2(n)) AS int))"))
-    fits = f"n >= 16 AND z_uniform < {MOST_Z} AND abs(z_runs) < {MOST_Z} AND abs(z_serial) < {MOST_Z}"
-    return df.withColumn("p", F.expr(f"CASE WHEN {fits} THEN greatest(1e-30D, {_normal('greatest(-12D, least(12D, z_word))')}) END")).select(*runs.columns, F.col("enc").alias("encoding"), "n", "z_uniform", "z_runs", "z_serial", "band", "p")
+    each = [_lower("(-z_uniform)"), f"(2 * {_lower('(-abs(z_runs))')})", f"(2 * {_lower('(-abs(z_serial))')})"]
+    df = df.withColumn("random", F.expr(f"n >= 16 AND 3 * least({', '.join(each)}) >= {REJECT}D"))
+    return df.select(*runs.columns, F.col("enc").alias("encoding"), "k", "n", "z_uniform", "z_runs", "z_serial", "excess", "band", "random")
+
+
+#: Statistics whose distribution in ordinary runs is taken from the table.
+OWN = ("z_runs", "z_serial")
+
+
+def ordinary(results: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
+    """Of each encoding (three) the mean excess of ordinary runs, and mean and deviation of the other statistics."""
+    clear = results.where(F.expr(f"{_lower('(-z_uniform)')} < {REJECT}D AND n >= 16"))
+    moments = [f(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col(c)))).alias(f"{c}_{n}") for c in (*OWN, "excess") for n, f in (("sum", F.sum), ("sq", lambda x: F.sum(x * x)))]
+    seen = {r.encoding: r for r in clear.groupBy("encoding").agg(F.count("*").alias("n"), *moments).collect()}
+    out = {}
+    for name, (_, excess) in ALPHABETS.items():
+        r = seen.get(name)
+        n = PRIOR + (r.n if r else 0)
+        own = {"excess": ((PRIOR * excess + (r.excess_sum if r else 0)) / n, 0.0)}
+        for c in OWN:
+            mean = (r[f"{c}_sum"] if r else 0.0) / n
+            own[c] = mean, max(1.0, ((PRIOR * SPREAD**2 + (r[f"{c}_sq"] if r else 0.0)) / n - mean**2) ** 0.5)
+        out[name] = own
+    return out
+
+
+def with_p(results: DataFrame, null: dict[str, dict[str, tuple[float, float]]]) -> DataFrame:
+    """results with p: how likely an ordinary run is to look as random; null for what isn't a candidate."""
+    of = lambda c, i: "CASE encoding " + " ".join(f"WHEN '{k}' THEN {v[c][i]!r}D" for k, v in null.items()) + " END"
+    df = results.withColumn("usual", F.expr(of("excess", 0)))
+    df = df.withColumn("z_word", F.expr("least(0D, (n * excess - n * usual) / sqrt(2 * (k - 1) + 4 * n * usual))"))
+    for c in OWN:
+        df = df.withColumn("m", F.expr(of(c, 0))).withColumn("d", F.expr(of(c, 1)))
+        df = df.withColumn(f"hi_{c}", F.expr(f"(abs({c}) - m) / d")).withColumn(f"lo_{c}", F.expr(f"(-abs({c}) - m) / d"))
+    df = df.withColumn("product", F.expr("greatest(1e-300D, least(1D, " + " * ".join([_lower("z_word"), *(f"greatest(1e-6D, {_lower(f'hi_{c}')} - {_lower(f'lo_{c}')})" for c in OWN)]) + "))"))
+    fisher = "least(1D, product * (1 - ln(product) + pow(ln(product), 2) / 2))"
+    return df.withColumn("p", F.expr(f"CASE WHEN random THEN greatest(1e-30D, {fisher}) END")).select(*results.columns, "p")
 
 
 def thresholds(results: DataFrame) -> dict[int, float]:
@@ -108,22 +152,21 @@ def scan(docs: DataFrame) -> DataFrame:
     Kinds: assign, access and hex from the fixed patterns, random from the battery where no fixed pattern's span overlaps.
     s and e are code points, e exclusive; m is the matched text.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    runs = base.select(F.explode(F.expr(f"regexp_extract_all(text, {_sql(RUN)}, 0)")).alias("run"))
-    limits = thresholds(tested(runs))
-    df = base
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind, (pattern, group, least) in BASE.items():
         df = _with_spans(df, kind, pattern, group, least)
     df = _with_spans(df, "random", RUN, 0, 20)
     df = df.select("doc_id", F.expr("concat(assign, access, hex)").alias("base"), "random")
+    found = materialise(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.expr("filter(random, x -> NOT exists(base, y -> y.s < x.e AND x.s < y.e))").alias("random")))
+    results = materialise(tested(found.select("row", F.explode("random").alias("x")).select("row", "x", F.col("x.m").alias("run"))))
+    results = with_p(results, ordinary(results))
+    limits = thresholds(results)
     if not limits:
-        return df.select("doc_id", _ordered("base"))
-    # a row for each run, gathered again by the row it came from; a task's rows are gathered before the shuffle
-    df = df.withColumn("random", F.expr("filter(random, x -> NOT exists(base, y -> y.s < x.e AND x.s < y.e))"))
-    each = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.explode_outer("random").alias("x")).withColumn("run", F.coalesce("x.m", F.lit("")))
-    accepted = " OR ".join(f"(band = {b} AND p <= {p!r}D)" for b, p in sorted(limits.items()))
-    mine = F.collect_list(F.expr(f"CASE WHEN {accepted} THEN x END")).alias("more")
-    return tested(each).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("base").alias("base"), mine).select("doc_id", _ordered("concat(base, more)"))
+        return found.select("doc_id", _ordered("base"))
+    accepted = results.where(" OR ".join(f"(band = {b} AND p <= {p!r}D)" for b, p in sorted(limits.items())))
+    more = materialise(accepted.groupBy("row").agg(F.collect_list("x").alias("more")))
+    more = F.broadcast(more) if more.count() <= MOST_RUNS else more
+    return found.join(more, "row", "left").select("doc_id", _ordered("concat(base, coalesce(more, filter(base, y -> false)))"))
 
 
 def _ordered(name: str):

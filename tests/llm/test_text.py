@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -64,7 +65,8 @@ SECRETS = [
 def test_secret_patterns(spark, odd):
     got = secrets.scan(spark.createDataFrame(SECRETS, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, tuple(tuple(x) for x in r.spans if x.kind != "random")) for r in got) == Counter((i, tuple(base_spans(t or ""))) for i, t in SECRETS)
-    assert secrets.scan(odd).count() == len(ROWS)
+    odd_rows = Counter((r.doc_id, tuple(tuple(x) for x in r.spans)) for r in secrets.scan(odd).collect())
+    assert odd_rows == Counter((i, tuple(base_spans(t or ""))) for i, t in ROWS)
 
 
 def test_secret_table(spark, sf, documents):
@@ -90,6 +92,36 @@ def test_secret_battery(spark):
     assert all((x.kind, x.s, x.e) == ("random", 2, 2 + len(hidden[i - 400])) for i in caught for x in got[i])
 
 
+def test_lower_tail(spark):
+    for z in (-12.0, -8.0, -6.0, -4.0, -1.0, 0.0, 2.5):
+        got = spark.range(1).select(F.expr(secrets._lower(f"({z}D)"))).first()[0]
+        assert got == pytest.approx(math.erfc(-z / 2**0.5) / 2, rel=1e-6)
+
+
+def test_secret_battery_in_documents(spark, documents):
+    """Random tokens of each encoding, planted in the table's own texts: those long enough are found, and nothing else but one in a hundred."""
+    rng = random.Random(5)
+    make = {
+        "b64": lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)),
+        "b32": lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=n)),
+        "hex": lambda n: "".join(rng.choices("0123456789ABCDEF", k=n)),
+    }
+    lengths = {"b64": (36, 44, 64, 120), "b32": (80, 128), "hex": (96, 160)}
+    planted, rows = {}, []
+    for i, t in documents[:200]:
+        kind = rng.choice(list(make))
+        token = make[kind](rng.choice(lengths[kind]))
+        planted[i] = (len(t) + 1, len(t) + 1 + len(token), kind)
+        rows.append((i, f"{t} {token} end"))
+    rows += documents[200:]
+    got = {r.doc_id: {(x.s, x.e) for x in r.spans if x.kind == "random"} for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: [p[:2] in got[i] for i, p in planted.items() if p[2] == k] for k in make}
+    print({k: (sum(v), len(v)) for k, v in found.items()})
+    assert all(sum(v) >= 0.9 * len(v) for v in found.values())
+    true, all_ = sum(map(sum, found.values())), sum(map(len, got.values()))
+    assert all_ - true <= max(2, 0.02 * all_)
+
+
 URLS = ["http://a.Example.COM/en/7?x", "https://example.com/en/8", "//example.com/en/7", None, "", "x://y://z/en/", "ftp://net/de/1#a", "http://notnet/de/1", "http://m.example.net/de/85", "http://x.org/es/", "http://h?/en/", "http://Example.NET/DE/8", "http://com\n/en/7"]
 
 
