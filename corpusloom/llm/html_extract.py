@@ -1,12 +1,14 @@
 """HTML extraction by wrapper induction.
 
-One page of each host is its reference. Every page of the host is aligned with it by simple tree matching: two nodes
+Of each host some pages are drawn by a hash, and the one that has most nodes in common with the others is its reference, so an error page or an index drawn by chance
+is outvoted. Every page of the host is aligned with it by simple tree matching: two nodes
 match if tag and class agree, and the children of matching nodes are matched in order so that as many nodes as
 possible match. Over all pages of the host this tells, for each node of the reference, how often its text is the
-same and how much text varies. The node that gathers most of the varying text is the host's content slot, but never one of several
-siblings of one tag and class; nodes that say the same on nearly every page are template. A page's text is what its own tree holds in the slot and in
+same and how much text varies. The content slot is found by that alone: from the root down to the child that gathers most of the varying text, but not past a heading
+that varies beside it, and not into one of several siblings of one tag and class unless the pages agree on each of them. Nodes that say the same on nearly every page are
+template. A page's text is what its own tree holds in the slot and in
 the slot's siblings of its tag and class that match nothing, less template and less what
-tag, class or id mark as menu, header, footer, sidebar, notice, advert, form or comments; but a class or id drops only by a name that says nothing else, and
+inside it tag, class or id mark as menu, header, footer, sidebar, notice, advert, form or comments; but a class or id drops only by a name that says nothing else, and
 nothing that holds half or more of the host's varying text.
 
 Pages are read where they lie: the references travel, and they are broadcast only if their counted size is below
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import batches, materialise, tune
 
-#: The references are broadcast up to this many characters.
-MOST_BYTES = 4 << 20
+#: The references are broadcast up to this many characters. Pages drawn of each host to choose its reference from.
+MOST_BYTES, DRAWN = 4 << 20, 5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
@@ -46,6 +48,7 @@ DROPPED_TAGS = frozenset("head nav aside footer form script style noscript templ
 #: Marks in class, id or role of what isn't content: whole names, or names made of these words alone.
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget widgets ad ads adv advert adverts advertisement advertisements banner promo promotion promoted sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments replies reply respond disqus footer foot header masthead topbar toolbar copyright pagination pager skip hidden contentinfo complementary".split())
 HEADER_PARENTS = frozenset(("article", "main", "section"))
+HEADINGS = frozenset(("h1", "h2", "h3", "hgroup", "header"))
 
 
 #: Why a node is dropped: its words, which the host's pages can overrule; its tag, or that it is hidden.
@@ -314,20 +317,19 @@ def slot_and_template(nodes: list[Node], counts: dict[int, tuple[int, int, int,
                 same[x.parent.number] += same[x.number]
     if not varying[0]:
         return None, set(), spared
-    tagged = [x for x in by_tags(nodes) if x.tag in ("main", "article")]
-    if len(tagged) == 1 and varying[tagged[0].number] * 2 >= varying[0]:
-        slot = tagged[0]
-    else:
-        slot = nodes[0]
-        while True:
-            child = max(slot.children, key=lambda x: varying[x.number], default=None)
-            if child is None or child.tag not in BLOCKS or varying[child.number] * 10 < varying[slot.number] * 7:
-                break
-            if sum(x.mark == child.mark for x in slot.children) > 1:  # which of them a page's content is, isn't known
-                break
-            slot = child
-        if slot.tag == "p" and slot.parent is not None:
-            slot = slot.parent
+    slot, pages = nodes[0], lambda x: counts.get(x.number, (0, 0, 0, 0))[0]
+    while True:
+        child = max(slot.children, key=lambda x: varying[x.number], default=None)
+        if child is None or child.tag not in BLOCKS or varying[child.number] * 10 < varying[slot.number] * 7:
+            break
+        if any(x is not child and x.tag in HEADINGS and varying[x.number] for x in slot.children):
+            break
+        alike = [x for x in slot.children if x.mark == child.mark]
+        if len(alike) > 1 and min(map(pages, alike)) * 10 < pages(slot) * 9:  # which of them a page's content is, isn't known
+            break
+        slot = child
+    if slot.tag == "p" and slot.parent is not None:
+        slot = slot.parent
     inside = [x for x in nodes if x is slot or slot in _above(x)]
     fixed = {x.number for x in inside if not x.children and (c := counts.get(x.number)) and c[0] >= 10 and c[1] * 10 >= c[0] * 9}
     few = sum(counts[i][3] for i in fixed) * 5 <= varying[slot.number] + same[slot.number]
@@ -349,6 +351,18 @@ def _reference(page: str) -> tuple[Node, list[Node]]:
     return root, number(root)
 
 
+def _choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pages drawn of a host the one that matches the others best, the first of equals."""
+    for b in batches(it):
+        chosen = []
+        for drawn in b.column("drawn").to_pylist():
+            pages = list(dict.fromkeys(p for p in drawn if p))
+            trees = [parse(p) for p in pages]
+            alike = [sum(len(align(x, y)) for y in trees if y is not x) for x in trees]
+            chosen.append(pages[alike.index(max(alike))] if pages else None)
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(chosen, pa.string())], ["host", "ref"])
+
+
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[str, int], list[int]] = {}
 
@@ -406,8 +420,9 @@ def extract(pages: DataFrame) -> DataFrame:
     tune(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", host.alias("host"), "html")
-    first = F.min(F.when(F.length("html") > 0, F.struct("page_id", "html"))).alias("r")
-    refs = materialise(pages.groupBy("host").agg(first).select("host", F.col("r.html").alias("ref")))
+    page = F.when(F.length("html") > 0, F.col("html"))
+    drawn = F.array(*(F.min_by(page, F.when(page.isNotNull(), F.struct(F.xxhash64("page_id", F.lit(i)), F.col("page_id")))) for i in range(DRAWN))).alias("drawn")
+    refs = materialise(pages.groupBy("host").agg(drawn).mapInArrow(_choose, "host string, ref string"))
     size = refs.agg(F.sum(F.length("ref")), F.count("*")).first()
     near = F.broadcast if (size[0] or 0) + 100 * size[1] <= MOST_BYTES else lambda df: df
     counted = pages.select("host", "html").join(near(refs), "host").mapInArrow(_count, "host string, node int, pages long, equal long, varying long, same long")

@@ -50,3 +50,32 @@ def test_words_do_not_drop_the_article(spark):
         pages = [f"<body><div class=menu>Menu {i}</div>{opening}<div class='entry-header'>Title {i}</div><p>{article(i)}</p><p>more {i}</p></div><div class='cookie-notice'>Cookies {i}</div></body>" for i in range(12)]
         got = extracted(spark, pages)
         assert [got[i] for i in range(12)] == [f"Title {i}\n\n{article(i)}\n\nmore {i}" for i in range(12)]
+
+
+def by_host(spark, pages):
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(df.repartition(3)).collect()}
+
+
+def test_neutral_marks(spark):
+    """No tag or class tells what is content; menus and adverts vary as well."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    pages, want = [], []
+    for i in range(40):
+        parts = [" ".join(word() for _ in range(40)) for _ in range(rng.randrange(1, 6))]
+        title, menu = f"Title {word()}", "".join(f"<div>{word()}</div>" for _ in range(6))
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        pages.append(("h.example", f"<html><body><div><div>{menu}</div></div><div>{word()} {word()}</div><div><h1>{title}</h1>{body}</div><div>&copy; h.example {word()}</div></body></html>"))
+        want.append("\n\n".join([title, *parts]))
+    got = by_host(spark, pages)
+    assert [got[i] for i in range(40)] == want
+
+
+def test_first_page_of_a_host_may_be_broken(spark):
+    article = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    good = [f"<body><div>Menu</div><div><h1>T{i}</h1><p>{article(i)}</p></div><div>Foot</div></body>" for i in range(60)]
+    bad = ["<h1>404", "<body><table><tr><td>Index<td>of</table></body>", "<div><div><div>error</div></div></div>"]
+    got = by_host(spark, [*(("x.example", p) for p in bad), *(("x.example", p) for p in good), *(("y.example", p) for p in good[:3]), ("z.example", good[0]), ("z.example", None), ("", "")])
+    assert all(got[3 + i] == f"T{i}\n\n{article(i)}" for i in range(60))
+    assert all(article(i) in got[63 + i] for i in range(3)) and article(0) in got[66] and got[67] == got[68] == ""
