@@ -25,10 +25,12 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset, as in tests in one process, a temporary folder takes its place.
+    Where that is unset in one process, as in tests, a temporary folder takes its place; on a cluster that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"

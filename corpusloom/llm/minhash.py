@@ -37,7 +37,7 @@ from corpusloom.llm.hashing import Words, mix
 
 #: Words of a shingle.
 WIDTH = 5
-#: Bands and minima in each: at a similarity of 0.85 a pair shares no band once in two million times.
+#: Bands and minima in each: a pair shares no band once in two million times at a similarity of 0.85, and once in 20,000 at 0.8.
 BANDS, ROWS = 25, 5
 #: Minima of a signature, and the low bits kept of each.
 MINIMA, BITS = 128, 4

@@ -6,7 +6,7 @@ hidden layer encodes the description; gated attention weighs the passages; the w
 logistic unit. All weights are learned together from document labels alone.
 
 The model is fitted on the driver to at most `most` labelled documents of at most LONGEST bytes, those first in the
-order of a hash of doc_id; scoring reads every passage of every document.
+order of a hash of doc_id as long as they have at most BYTES in all; of rows with one doc_id the shortest text is learned from. Scoring reads every passage of every document.
 
 Defined cases: a null or empty text is one empty passage and gets a score. Rows without doc_id are scored and never learned from;
 labels without quality are not used; without any label the score is 0.5 for all. An empty table gives an empty table.
@@ -20,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import batches, raw_texts, tune
 from corpusloom.llm.hashing import Words
 
-#: Words of a passage, units of the encoding and of the attention, and the longest text that is learned from.
-PASSAGE, HIDDEN, ATTENTION, LONGEST = 32, 24, 12, 200_000
+#: Words of a passage, units of the encoding and of the attention, the longest text that is learned from, and bytes of all of them.
+PASSAGE, HIDDEN, ATTENTION, LONGEST, BYTES = 32, 24, 12, 200_000, 64 << 20
 
 _PUNCTUATION = [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]
 _CLASS = np.zeros(256, np.int64)  # 0: other controls
@@ -163,7 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
     """The model of the labelled documents: docs (doc_id, text), labels (doc_id, quality), held-out rows left out."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
-    rows = docs.where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
+    text = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))
+    each = text.drop("text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("n", "h")).alias("r"), F.first("quality").alias("quality"))
+    total = F.sum("r.n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `most` rows
+    few = each.withColumn("total", total).where(F.col("total") <= BYTES).select("doc_id", "r.n", "r.h", "quality")
+    rows = text.join(F.broadcast(few), ["doc_id", "n", "h"]).select("doc_id", "text", F.col("quality").cast("double").alias("quality")).dropDuplicates(["doc_id"])
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):

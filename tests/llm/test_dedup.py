@@ -51,7 +51,7 @@ def sets_of(rows):
     return out
 
 
-def near_by_force(rows):
+def near_by_force(rows, percent=85):
     sets = sets_of(rows)
     up = {i: i for i in sets}
 
@@ -64,7 +64,7 @@ def near_by_force(rows):
     for i in sorted(sets):
         both = Counter(j for x in sets[i] for j in by[x])
         for j, n in both.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
         for x in sets[i]:

@@ -197,7 +197,7 @@ def test_pipeline(spark, sf, documents):
         elif name == "exact_dedup":
             left = {i: left[i] for i, _, _, stays, _ in exact_by_force(left.items()) if stays}
         elif name == "near_dedup":
-            left = {i: left[i] for i, (_, _, stays) in near_by_force(left.items()).items() if stays}
+            left = {i: left[i] for i, (_, _, stays) in near_by_force(left.items(), 80).items() if stays}
         else:
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             left = {r[0]: left[r[0]] for r in contaminated_by_force(left.items(), items) if not r[5]}
@@ -213,7 +213,28 @@ def test_pipeline_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1), (5, 1), (6, 0)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "short")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
-    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() <= len(ROWS)
+    out = [r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()]
+    assert out and len(out) <= len(ROWS) and {*out} <= {i for i, _ in ROWS}
+    texts = {i: t for i, t in ROWS}
+    assert len({(texts[i] or "").encode().lower() for i in out if i is not None}) == len({i for i in out if i is not None})
+    for name in ("labels", "benchmark"):
+        assert os.path.isdir(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"file://{tmp_path}/{name}.parquet").write.parquet(f"file://{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_quality_learns_from_bounded_bytes(spark, monkeypatch):
+    rows = [(i, f"{'good words here' if i % 2 else '#### 0000'} {i} " * 20) for i in range(200)] + [(1, "long " * 100), (1, "good words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, n, y, real=quality.fit: seen.append(n) or real(x, n, y))
+    quality.learn(docs, labels)
+    monkeypatch.setattr(quality, "BYTES", 4000)
+    quality.learn(docs, labels)
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200)) and 0 < len(seen[1]) <= 20
 
 
 def test_nothing_else_imports_the_subpackage():
