@@ -26,8 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that of the smallest doc_id."""
-    return without(docs, minhash.near_duplicates(docs).where("NOT kept"))
+    """One document of each component of near duplicates (five words, a similarity of 0.8 or more), that of the smallest doc_id."""
+    return without(docs, minhash.near_duplicates(docs, 80).where("NOT kept"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
