@@ -132,23 +132,27 @@ def near(index: DataFrame, pairs: DataFrame, span: int) -> DataFrame:
     return close.join(_small(named, named.count()), "pair").select(*KEY, "item").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, span: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, span: int | None = 20) -> DataFrame:
     """For every row of docs (doc_id, text): n_words, n_hit (words inside an exact match), n_items and items (with exact
-    matches; sorted), n_near (items with near matches) and contaminated."""
+    matches; sorted), n_near (items with near matches; null without span) and contaminated."""
     docs = docs.select("doc_id", "text")
     windows = materialise(item_windows(items, length))
     counts = materialise(term_counts(docs, windows.select(F.explode("window").alias("term")).distinct()))
     places = materialise(ranked(windows, counts))
-    pairs = materialise(rare_pairs(places))
-    index = materialise(postings(docs, places.where("rank <= 1").select("term").union(pairs.select("term")).distinct()))
+    pairs = materialise(rare_pairs(places)) if span is not None else None
+    rare = places.where("rank <= 1").select("term")
+    index = materialise(postings(docs, (rare if pairs is None else rare.union(pairs.select("term"))).distinct()))
     covered = F.expr(
         """aggregate(array_sort(collect_set(struct(CAST(start AS BIGINT) AS s, CAST(start + n AS BIGINT) AS e))),
              named_struct('n', 0L, 'to', 0L),
              (a, x) -> named_struct('n', a.n + greatest(0L, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.n)"""
     )
     exact = phrases(docs, index, places).groupBy(*KEY).agg(covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    close = near(index, pairs, span).groupBy(*KEY).agg(F.count("*").alias("n_near"))
-    both = exact.unionByName(close, allowMissingColumns=True).groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("n_hit", "items", "n_near")))
+    if pairs is None:
+        both = exact.withColumn("n_near", F.lit(None).cast("long"))
+    else:
+        close = near(index, pairs, span).groupBy(*KEY).agg(F.count("*").alias("n_near"))
+        both = exact.unionByName(close, allowMissingColumns=True).groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("n_hit", "items", "n_near")))
     found = both.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_hit", "items", "n_near")
     base = index.where(F.col("term") == END).select(*KEY, F.col("position").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
@@ -158,6 +162,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, span: int
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        (F.lit(None) if pairs is None else F.coalesce("n_near", F.lit(0))).cast("long").alias("n_near"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

@@ -289,6 +289,12 @@ def test_near_matches(spark):
     assert got == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 0), 6: (0, 0), 7: (0, 3), 8: (1, 0)}
 
 
+def test_contamination_without_nearness(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    a, b = (decontaminate.decontaminate(docs, items, span=s) for s in (20, None))
+    assert Counter(map(str, a.drop("n_near").collect())) == Counter(map(str, b.drop("n_near").collect())) and b.where("n_near IS NOT NULL").isEmpty()
+
+
 def test_empty_tables(spark, empty):
     assert bpe.encode(empty, PATH, PATTERN).count() == 0
     assert secrets.scan(empty).count() == 0
