@@ -12,9 +12,11 @@ from corpusloom.functions import vector as V
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir; where that is unset, as in one process, to a temporary one."""
+    """The rows, written to the folder in spark.checkpoint.dir; where that is unset in one process, to a temporary one, and on a cluster that is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}")
     return df.checkpoint()
 

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusloom.functions import special
+
 PAIR = ["anchor", "window"]
 
 
@@ -76,11 +78,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return w
 
 
-def two_sample_auc(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, dims: int = 32, folds: int = 5) -> float:
-    """How well a classifier tells the sides apart: mean area under the curve over stratified folds, after principal components."""
+def fold_aucs(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, dims: int = 32, folds: int = 5) -> np.ndarray:
+    """How well a classifier tells the sides apart: the area under the curve of each stratified fold, after principal components."""
     both, label = np.vstack([x, y]), np.r_[np.zeros(len(x), bool), np.ones(len(y), bool)]
     if min(len(x), len(y)) < folds:
-        return np.nan
+        return np.zeros(0)
     centred = both - both.mean(axis=0)
     _, _, axes = np.linalg.svd(centred, full_matrices=False)
     z = centred @ axes[:dims].T
@@ -92,7 +94,34 @@ def two_sample_auc(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, dims:
     for f in range(folds):
         w = logistic(z[fold != f], label[fold != f])
         out.append(_auc(z[fold == f] @ w[:-1] + w[-1], label[fold == f]))
-    return float(np.mean(out))
+    return np.array(out)
+
+
+def two_sample_auc(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> float:
+    """The mean area under the curve over folds."""
+    each = fold_aucs(x, y, rng)
+    return float(each.mean()) if len(each) else np.nan
+
+
+def auc_spread(each: np.ndarray) -> tuple[float, float, float, float, int, float | None]:
+    """Mean, deviation, 95 % interval and number of the folds' areas, and the one-sided p of a mean above one half, by Student's t."""
+    n, mean, sd = len(each), float(each.mean()), float(each.std(ddof=1)) if len(each) > 1 else 0.0
+    if n < 2 or sd == 0:
+        return mean, sd, mean, mean, n, None
+    half = special.t_quantile(0.975, n - 1) * sd / n**0.5
+    return mean, sd, max(0.0, mean - half), min(1.0, mean + half), n, special.t_sf((mean - 0.5) / (sd / n**0.5), n - 1)
+
+
+def two_sample(pairs: DataFrame, vector: str, seed: int = 42) -> DataFrame:
+    """anchor, window, value (the mean area under the curve), auc_std, auc_q025, auc_q975, n_folds and p_value_vs_chance; null where a side is too small."""
+    names = ["value", "auc_std", "auc_q025", "auc_q975", "n_folds", "p_value_vs_chance"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = _split(rows, vector)
+        each = fold_aucs(x, y, _rng(seed, *key))
+        return pd.DataFrame([(*key, *(auc_spread(each) if len(each) else [None] * 6))], columns=[*PAIR, *names]).astype({"n_folds": "Int32"})
+
+    return pairs.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, value double, auc_std double, auc_q025 double, auc_q975 double, n_folds int, p_value_vs_chance double")
 
 
 def energy(x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None) -> float:
@@ -313,22 +342,35 @@ def rank_shift(pairs: DataFrame, bins: int = 20) -> DataFrame:
     return pairs.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, value double")
 
 
-def best_splits(y: np.ndarray, k: int) -> list[int]:
-    """Where k breaks leave the least squared deviation from the parts' means: the places where parts begin."""
-    n = len(y)
+def squares(y: np.ndarray) -> Callable[[int, int], float]:
+    """The cost of a part: squared deviation from its mean."""
     s, q = np.r_[0, np.cumsum(y)], np.r_[0, np.cumsum(y * y)]
-    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+    return lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+
+
+def gaussian(y: np.ndarray) -> Callable[[int, int], float]:
+    """The cost of a part: squared deviation from its mean in the space of a Gaussian kernel, whose width is the median distance."""
+    d2 = (y[:, None] - y[None, :]) ** 2
+    apart = d2[np.triu_indices(len(y), 1)]
+    middle = np.median(apart) if len(apart) else 0.0
+    k = np.exp(-d2 / (middle or 1.0))
+    sums = np.zeros((len(y) + 1, len(y) + 1))
+    sums[1:, 1:] = k.cumsum(axis=0).cumsum(axis=1)
+    return lambda a, b: (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a)
+
+
+def best_splits(y: np.ndarray, k: int, cost: Callable[[int, int], float] | None = None) -> list[int]:
+    """Where k breaks leave the least cost (squares) of the parts: the places where parts begin."""
+    n, cost = len(y), cost or squares(y)
     best = [[(cost(0, b), []) if b else (0.0, []) for b in range(n + 1)]]
     for j in range(1, k + 1):
         best.append([min(((best[j - 1][a][0] + cost(a, b), [*best[j - 1][a][1], a]) for a in range(j, b)), default=(np.inf, [])) for b in range(n + 1)])
     return best[k][n][1]
 
 
-def penalised_splits(y: np.ndarray, penalty: float, least: int = 2) -> list[int]:
-    """Breaks of least cost plus a penalty for each, with parts of at least so many points; candidates that can't win are pruned."""
-    n = len(y)
-    s, q = np.r_[0, np.cumsum(y)], np.r_[0, np.cumsum(y * y)]
-    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+def penalised_splits(y: np.ndarray, penalty: float, least: int = 2, cost: Callable[[int, int], float] | None = None) -> list[int]:
+    """Breaks of least cost (squares) plus a penalty for each, with parts of at least so many points; candidates that can't win are pruned."""
+    n, cost = len(y), cost or squares(y)
     f, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
     f[0] = -penalty
     for b in range(least, n + 1):
@@ -347,14 +389,18 @@ def penalised_splits(y: np.ndarray, penalty: float, least: int = 2) -> list[int]
 
 
 def change_points(series: DataFrame, year: str, value: str, by: Sequence[str], ks: Sequence[int] = (1, 2, 3), penalties: Sequence[float] = (1.0, 3.0, 5.0)) -> DataFrame:
-    """by, detector, parameter and break_years (joined by ;) of each series of at least five known values, scaled to mean 0 and deviation 1."""
+    """by, detector, parameter and break_years (joined by ;) of each series of at least five known values, scaled to mean 0 and deviation 1.
+
+    dynp: so many breaks, squares; kernelcpd: so many breaks, Gaussian kernel; pelt: a penalty for each break, Gaussian kernel."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[value]).sort_values(year)
         y, years, out = rows[value].to_numpy(float), rows[year].to_numpy(), []
         if len(y) >= 5:
             y = (y - y.mean()) / (y.std() or 1.0)
-            found = [("dynp", f"k={k}", best_splits(y, k)) for k in ks if k < len(y)] + [("pelt", f"pen={p:g}", penalised_splits(y, p)) for p in penalties]
+            kernel = gaussian(y)
+            found = [(name, f"k={k}", best_splits(y, k, cost)) for name, cost in (("dynp", None), ("kernelcpd", kernel)) for k in ks if k < len(y)]
+            found += [("pelt", f"pen={p:g}", penalised_splits(y, p, cost=kernel)) for p in penalties]
             out = [(*key, d, p, ";".join(str(years[i]) for i in at)) for d, p, at in found]
         return pd.DataFrame(out, columns=[*by, "detector", "parameter", "break_years"])
 

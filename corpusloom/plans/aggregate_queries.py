@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import special
 from corpusloom.operators import describe as D
 from corpusloom.operators import quality_flags as Q
 from corpusloom.plans.flag_queries import JUDGED, judged
@@ -187,6 +191,24 @@ def agg_chow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.round(((C("r") - C("a") - C("b")) / 2) / ((C("a") + C("b")) / (C("n") - 4)), 4).alias("f"))
 
 
+@query("agg_p_values")
+def agg_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """test, statistic and p of agg_chi2 (of the whole table), agg_share_break and agg_chow. Each is one row, whose tail a function of that row gives."""
+    x = D.chi_squared(table(spark, sf_dir, "documents"), "lang", "source")
+    free = (F.count_distinct("lang") - 1) * (F.count_distinct("source") - 1)
+    chi = x.agg(F.lit("chi2").alias("test"), F.sum(F.pow(C("observed") - C("expected"), 2) / C("expected")).alias("statistic"), free.cast("double").alias("df1"), F.lit(None).cast("double").alias("df2"))
+    share = agg_share_break(spark, sf_dir).selectExpr("'share_break' AS test", "chi2 AS statistic", "1D AS df1", "CAST(null AS double) AS df2")
+    years = _year(spark, sf_dir).agg((F.count_distinct("year") - 4).cast("double").alias("df2"))
+    chow = agg_chow(spark, sf_dir).crossJoin(years).selectExpr("'chow' AS test", "f AS statistic", "2D AS df1", "df2")  # one row each
+
+    def tails(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in it:
+            p = [special.chi2_sf(s, a) if pd.isna(b) else special.f_sf(s, a, b) for s, a, b in zip(rows["statistic"], rows["df1"], rows["df2"], strict=True)]
+            yield rows[["test", "statistic"]].assign(p=p)
+
+    return chi.unionByName(share).unionByName(chow).where("statistic IS NOT NULL AND df1 > 0").mapInPandas(tails, "test string, statistic double, p double")
+
+
 @query("agg_adapt", "WITH t AS (SELECT contains(lower(text), 'hand') AS a, contains(lower(text), 'thing') AS b FROM documents) SELECT count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only FROM t")
 def agg_adapt(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.contains(F.lower("text"), F.lit(t)) for t in ("hand", "thing"))

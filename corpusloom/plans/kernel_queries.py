@@ -30,7 +30,7 @@ def div_s4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("div_c2st_emb")
 def div_c2st_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.by_pair(drawn(spark, sf_dir), "v", kernels.two_sample_auc)
+    return kernels.two_sample(drawn(spark, sf_dir), "v")
 
 
 @query("div_c2st_lex")
@@ -46,7 +46,7 @@ def div_c2st_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = best.agg(F.array_sort(F.collect_list("term")).alias("names"))
     v = v.crossJoin(F.broadcast(names)).select("doc_id", F.transform("names", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("v"))
     p = W.sliding_pairs(t.select("doc_id", "year").distinct(), "year", (2,)).join(v, "doc_id")
-    return kernels.by_pair(W.equal_n(p, "doc_id", 42, 2000).select("anchor", C("window").cast("int").alias("window"), "side", "doc_id", "v"), "v", kernels.two_sample_auc)
+    return kernels.two_sample(W.equal_n(p, "doc_id", 42, 2000).select("anchor", C("window").cast("int").alias("window"), "side", "doc_id", "v"), "v")
 
 
 @query("div_g1")

@@ -156,3 +156,13 @@ def smoke_sample(works: DataFrame, key: str, core: Column, n_core: int, n_rest:
     w = works.withColumn("core", F.coalesce(core, F.lit(False)))
     ranked = top_per_group(w, max(n_core, n_rest), [F.md5(F.col(key).cast("string")), F.col(key)], "core")
     return ranked.where(F.when(F.col("core"), F.col("place") <= n_core).otherwise(F.col("place") <= n_rest)).drop("place")
+
+
+def manifest(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """input: the paths that a stage of a pipeline file (YAML: stages, each with deps as a list) reads, in no order."""
+    text = spark.read.text(path, wholetext=True).select("value")
+    name = "".join(f"\\{c}" if not c.isalnum() and c != "_" else c for c in stage)
+    block = F.regexp_extract("value", rf"(?m)^  {name}:[ \t]*\n((?:^(?:    .*|[ \t]*)\n?)*)", 1)
+    deps = F.regexp_extract(block, r"(?m)^    deps:[ \t]*\n((?:^ {4,}- .*\n?)*)", 1)
+    each = F.explode(F.regexp_extract_all(deps, F.lit(r"(?m)^ +- +(.*?)[ \t:]*$"), F.lit(1)))
+    return text.select(each.alias("input")).select(F.regexp_replace("input", "^[\"']|[\"']$", "").alias("input"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,3 +47,11 @@ def markdown(rows: DataFrame, most: int = 500) -> str:
         raise ValueError(f"more than {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", r"\|") for c in cells) + " |"
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *map(line, got)])
+
+
+def yaml_vars(rows: DataFrame, most: int = 500) -> str:
+    """The lines of a YAML mapping from a small table of metric and value, in the order of the metrics; raises beyond so many rows."""
+    got = rows.select("metric", "value").orderBy("metric").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    return "".join(f"{json.dumps(str(r.metric), ensure_ascii=False)}: {json.dumps(r.value, ensure_ascii=False)}\n" for r in got)

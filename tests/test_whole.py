@@ -138,3 +138,50 @@ def test_numbered_and_equal_samples(spark):
     p = spark.range(300).selectExpr("1 AS anchor", "1 AS window", "CASE WHEN id < 100 THEN 'before' ELSE 'after' END AS side", "id AS k")
     for most, n in ((30, 30), (500, 100)):
         assert {r.side: r["count"] for r in windows.equal_n(p, "k", 1, most).groupBy("side").count().collect()} == {"before": n, "after": n}
+
+
+def test_tails():
+    from corpusloom.functions import special
+
+    for got, want in (
+        (special.chi2_sf(3.841458820694124, 1), 0.05), (special.chi2_sf(18.307038053275146, 10), 0.05), (special.chi2_sf(2.0, 2), np.exp(-1)), (special.chi2_sf(200.0, 100), 1.2e-8),
+        (special.f_sf(4.102821015, 2, 10), 0.05), (special.f_sf(1.0, 7, 7), 0.5), (special.t_sf(2.776445105, 4), 0.025), (special.t_sf(-2.776445105, 4), 0.975),
+        (special.t_sf(1.0, 1), 0.25), (special.t_quantile(0.975, 4), 2.776445105), (special.t_quantile(0.5, 9), 0.0),
+    ):
+        assert got == pytest.approx(want, rel=0.05 if want == 1.2e-8 else 1e-6, abs=1e-6 if want != 1.2e-8 else 0)
+
+
+def test_fold_spread():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5))
+    apart, alike = (kernels.auc_spread(kernels.fold_aucs(x, y, np.random.default_rng(1))) for y in (x + 1.5, rng.normal(size=(60, 5))))
+    assert apart[0] > 0.9 and apart[2] <= apart[0] <= apart[3] and apart[5] < 0.01 and apart[4] == 5
+    assert alike[5] > 0.05
+    assert kernels.auc_spread(np.array([0.7, 0.7])) == (0.7, 0.0, 0.7, 0.7, 2, None)
+
+
+def test_kernel_change_points():
+    rng = np.random.default_rng(9)
+    y = np.r_[rng.normal(0, 0.1, 12), rng.normal(3, 0.1, 12), rng.normal(0, 0.1, 12)]
+    y = (y - y.mean()) / y.std()
+    cost = kernels.gaussian(y)
+    k = np.exp(-((y[:, None] - y[None, :]) ** 2) / np.median([(a - b) ** 2 for i, a in enumerate(y) for b in y[:i]]))
+    assert cost(3, 9) == pytest.approx(6 - k[3:9, 3:9].sum() / 6)
+    assert kernels.best_splits(y, 2, cost) == [12, 24] == kernels.penalised_splits(y, 1.0, cost=cost)
+    assert kernels.penalised_splits(rng.normal(size=30), 5.0, cost=kernels.gaussian(rng.normal(size=30))) == []
+
+
+def test_files(spark, tmp_path):
+    from corpusloom.sources import readers, sinks
+
+    df = spark.createDataFrame([(1, 'a "quoted", line\nbroken'), (2, None)], "id int, t string")
+    sinks.write_csv(df, f"file://{tmp_path}/c")
+    assert spark.read.csv(f"file://{tmp_path}/c", header=True, multiLine=True, escape='"').count() == 2
+    sinks.write_parquet(df, f"file://{tmp_path}/p", "id")
+    assert {(r.id, r.t) for r in spark.read.parquet(f"file://{tmp_path}/p").collect()} == {(r.id, r.t) for r in df.collect()}
+    rows = spark.createDataFrame([("b", 1.5), ("a: x", None)], "metric string, value double")
+    assert sinks.yaml_vars(rows) == '"a: x": null\n"b": 1.5\n'
+    (tmp_path / "m.yaml").write_text("stages:\n  first:\n    cmd: run\n    deps:\n      - x.csv\n  merge-all:\n    cmd: run\n    deps:\n    - data/a.csv\n    - 'data/b.csv'\n    outs:\n    - out.csv\n")
+    assert {r.input for r in readers.manifest(spark, f"file://{tmp_path}/m.yaml", "merge-all").collect()} == {"data/a.csv", "data/b.csv"}
+    assert {r.input for r in readers.manifest(spark, f"file://{tmp_path}/m.yaml", "first").collect()} == {"x.csv"}
+    assert readers.manifest(spark, f"file://{tmp_path}/m.yaml", "none").count() == 0
