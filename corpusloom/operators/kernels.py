@@ -489,20 +489,26 @@ def community_divergence(pairs: DataFrame, edges: DataFrame, resolution: float =
 
 def rewire(pairs: np.ndarray, swaps: int, rng: np.random.Generator) -> np.ndarray:
     """Undirected edges after swaps of ends that keep every degree and make neither loops nor repeated edges."""
-    e = pairs.copy()
-    there = {tuple(sorted(x)) for x in e.tolist()}
-    for _ in range(swaps):
-        i, j = rng.integers(0, len(e), 2)
-        (a, b), (c, d) = e[i], e[j]
-        if rng.random() < 0.5:
+    if not len(pairs):
+        return pairs.copy()
+    left, right = pairs[:, 0].tolist(), pairs[:, 1].tolist()
+    top = int(pairs.max()) + 1
+    code = lambda a, b: a * top + b if a < b else b * top + a
+    there = {code(a, b) for a, b in zip(left, right, strict=True)}
+    chosen, turned = rng.integers(0, len(left), (swaps, 2)), rng.random(swaps) < 0.5
+    for (i, j), turn in zip(chosen.tolist(), turned.tolist(), strict=True):
+        a, b, c, d = left[i], right[i], left[j], right[j]
+        if turn:
             c, d = d, c
-        x, y = tuple(sorted((a, d))), tuple(sorted((c, b)))
-        if i == j or a == d or c == b or x in there or y in there:
+        if i == j or a == d or c == b:
             continue
-        there -= {tuple(sorted(e[i])), tuple(sorted(e[j]))}
-        there |= {x, y}
-        e[i], e[j] = (a, d), (c, b)
-    return e
+        x, y = code(a, d), code(c, b)
+        if x in there or y in there:
+            continue
+        there.difference_update((code(a, b), code(c, d)))
+        there.update((x, y))
+        left[i], right[i], left[j], right[j] = a, d, c, b
+    return np.stack([left, right], axis=1)
 
 
 def rewiring_null(edges: DataFrame, labels: DataFrame, replicates: int = 100, seed: int = 42, factor: int = 10) -> DataFrame:
@@ -515,11 +521,11 @@ def rewiring_null(edges: DataFrame, labels: DataFrame, replicates: int = 100, se
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["a", "b"])
-        label = dict(zip(rows["a"], rows["la"], strict=True)) | dict(zip(rows["b"], rows["lb"], strict=True))
-        e = rows[["a", "b"]].to_numpy()
+        named, e = pd.concat([rows[["a", "la"]].set_axis(["node", "label"], axis=1), rows[["b", "lb"]].set_axis(["node", "label"], axis=1)]).drop_duplicates("node").set_index("node")["label"], rows[["a", "b"]].to_numpy()
+        label = pd.Series(pd.factorize(named)[0], index=named.index)
         if key[0]:
             e = rewire(e, factor * len(e), _rng(seed, *key))
-        return pd.DataFrame({"replicate": [key[0]], "share": [float(np.mean([label[a] == label[b] for a, b in e.tolist()]))]})
+        return pd.DataFrame({"replicate": [key[0]], "share": [float((label.loc[e[:, 0]].to_numpy() == label.loc[e[:, 1]].to_numpy()).mean())]})
 
     s = each.groupBy("replicate").applyInPandas(run, "replicate int, share double")
     observed, null = F.max(F.when(F.col("replicate") == 0, F.col("share"))), F.when(F.col("replicate") > 0, F.col("share"))
