@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, lm, minhash, quality, secrets, url_filter
+from corpusloom.llm import bpe, decontaminate, exact_dedup, html_extract, line_dedup, lm, minhash, neighbours, periodic, quality, secrets, spelling, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of the documents, their near words and the forms they are variants of."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of each vector whose id divides by 20."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document."""
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -93,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling": op11_spelling,
+    "op12_neighbours": op12_neighbours,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: A-Z lower-cased, in DuckDB.
@@ -135,4 +153,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    "op11_spelling": r"""
+        WITH c AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS v FROM range(256) r(i))),
+        b AS (SELECT chr(i::INTEGER) AS x, CASE WHEN i < 128 THEN [i] ELSE [192 + i // 64, 128 + i % 64] END AS u FROM range(1, 256) r(i)),
+        r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        d AS (SELECT doc_id, run, count(*) AS m FROM r GROUP BY 1, 2),
+        k AS (SELECT doc_id, run, m, list_transform(range(length(hex(encode(concat(doc_id, ':', run)))) // 2), lambda i: CAST(concat('0x', substr(hex(encode(concat(doc_id, ':', run))), 2 * i + 1, 2)) AS BIGINT)) AS u FROM d),
+        h AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295, u), lambda a, y: xor(t[xor(a % 256, y) + 1], a // 256)), 4294967295) AS h FROM k, c),
+        s AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, m FROM h),
+        v AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM s GROUP BY 1 HAVING length(word) >= 6 AND sum(m) >= 5),
+        g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        x AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS w FROM g),
+        p AS (SELECT DISTINCT * FROM (
+          SELECT x.word, x.n, y.word AS other, y.n AS m FROM x JOIN x y USING (i, w) WHERE x.word <> y.word
+          UNION ALL SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON x.w = v.word
+          UNION ALL SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON x.w = v.word)),
+        q AS (SELECT word, n, count(*) AS n_near, min((-m, other)) AS best FROM p GROUP BY 1, 2),
+        f AS (SELECT word, n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n FROM q),
+        z AS (SELECT * FROM (WITH RECURSIVE z(word, root, i) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT z.word, f.form, i + 1 FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL) SELECT word, max_by(root, i) AS root FROM z GROUP BY 1))
+        SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN f USING (word) LEFT JOIN z USING (word)""",
 }
