@@ -120,12 +120,6 @@ def gr_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.top_per_group(n, 50, [F.desc("n"), C("ref")], "cut").drop("place")
 
 
-@query("gr_citer_limited", f"WITH {EDGES}, o AS (SELECT o_orderkey AS src FROM orders WHERE o_totalprice > 400000 AND year(o_orderdate) <= 1998) SELECT ref, count(*) AS n FROM edges WHERE src IN (SELECT src FROM o) GROUP BY 1 HAVING count(*) >= 3")
-def gr_citer_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000 AND year(o_orderdate) <= 1998").select(C("o_orderkey").alias("src"))
-    return edges(spark, sf_dir).join(o, "src", "left_semi").groupBy("ref").agg(F.count("*").alias("n")).where("n >= 3")
-
-
 @query("gr_dag", f"WITH {EDGES}, t AS (SELECT ref FROM edges GROUP BY ref ORDER BY count(*) DESC, ref LIMIT 300) SELECT DISTINCT ref AS cited, src AS citing FROM edges WHERE ref IN (SELECT ref FROM t) AND src IN (SELECT ref FROM t) AND src > ref")
 def gr_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from cited to citing among a backbone; they rise, so there is no cycle."""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import clusters, graph, kernels
+from corpusloom.operators import clusters, graph, kernels, modes
 from corpusloom.operators import windows as W
 from corpusloom.plans.divergence_queries import WHOLE, brands, drawn, whole
 from corpusloom.plans.registry import query
@@ -104,12 +104,6 @@ def rs_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.crossJoin(F.broadcast(b.agg(F.count("*").alias("t")))).select("year", "n_total", F.round(100 * C("n_total") / C("t"), 4).alias("pct_total"), "methods")
 
 
-@query("rs_cp_scout", f"WITH {DATED} SELECT status, round(avg(price) FILTER (WHERE year >= 1998) - avg(price) FILTER (WHERE year < 1998), 4) AS change FROM dated GROUP BY status")
-def rs_cp_scout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = lambda c: F.avg(F.when(c, C("price")))
-    return dated(spark, sf_dir).groupBy("status").agg(F.round(mean(C("year") >= 1998) - mean(C("year") < 1998), 4).alias("change"))
-
-
 @query("rs_sample", f"WITH {DATED}, n AS (SELECT status, greatest(1, CAST(floor(100.0 * count(*) / (SELECT count(*) FROM dated)) AS BIGINT)) AS k FROM dated GROUP BY 1), r AS (SELECT id, status, row_number() OVER (PARTITION BY status ORDER BY md5(concat('7|', id)), id) AS r FROM dated) SELECT id, status FROM r JOIN n USING (status) WHERE r <= k")
 def rs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About 100 rows, by share of status and at least one of each, drawn by a hash."""
@@ -192,15 +186,9 @@ def ml_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ml_dip")
 def ml_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hartigan's dip of a coordinate by label, from at most 2,000 values each, drawn by a hash."""
-    v = W.top_per_group(vectors(spark, sf_dir).select("vec_id", "label", C("v")[0].alias("x")), 2000, [F.md5(C("vec_id").cast("string"))], "label")
-    return v.groupBy("label").applyInPandas(lambda k, r: pd.DataFrame({"label": [k[0]], "n": [len(r)], "dip": [kernels.dip(r["x"].to_numpy())]}), "label long, n long, dip double")
-
-
-@query("ml_lexaxis", f"WITH {VECTORS} SELECT round(corr(v[1], v[2]), 6) AS r FROM vectors")
-def ml_lexaxis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of two axes."""
-    return vectors(spark, sf_dir).agg(F.round(F.corr(C("v")[0], C("v")[1]), 6).alias("r"))
+    """Hartigan's dip of a coordinate of every vector and its p, by label, over all years and by period."""
+    v = vectors(spark, sf_dir).select("label", C("v")[0].alias("x"), F.explode(F.array(F.lit("all"), F.when(C("year") <= 1997, "to 1997").otherwise("from 1998"))).alias("period"))
+    return modes.dips(v, "x", ["label", "period"])
 
 
 @query("ml_grid", f"WITH {VECTORS}, g AS (SELECT w, k FROM (VALUES (1), (2)) t(w), (VALUES (1), (2)) s(k) WHERE k <= w), e AS (SELECT min(year) AS lo, max(year) AS hi FROM vectors), a AS (SELECT w, k, unnest(range(lo + w, hi - w)) AS anchor FROM e, g) SELECT CAST(w AS INTEGER) AS \"window\", CAST(k AS INTEGER) AS gap, anchor, count(*) FILTER (WHERE year < anchor) AS n_before, count(*) FILTER (WHERE year > anchor) AS n_after FROM a JOIN vectors ON year BETWEEN anchor - w AND anchor - k OR year BETWEEN anchor + k AND anchor + w GROUP BY ALL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import resolve as R
+from corpusloom.operators import similar as S
 from corpusloom.plans.registry import query
 from corpusloom.plans.session import table
 from corpusloom.plans.standins import EDGES, RECORDS, VECTORS, WORKS, edges, records, vectors, works
@@ -101,16 +102,13 @@ def ded_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.near_groups(df, "id", [C("k1"), C("k2")], 5)
 
 
-@query(
-    "ded_fuzzy_group",
-    rf"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, list_distinct(string_split({_NORM}, ' ')) AS w FROM records), p AS (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.id < y.id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.8 AND len(list_intersect(list_filter(x.w, lambda z: z <> ''), y.w)) > 0),
-        s AS (SELECT a, b FROM p UNION SELECT b, a FROM p), {_CC} SELECT a AS id, min(b) AS component FROM r GROUP BY a""",
-)
+@query("ded_fuzzy_group")
 def ded_fuzzy_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.operators import graph
-
-    pairs = R.similar_pairs(records(spark, sf_dir), "id", F.split(T.norm_title(C("title")), " "), 0.8)
-    return graph.components(pairs.select("a", "b")).toDF("id", "component")
+    """Works without identifier whose titles are alike, merged: the longest title, and the union of what the rows list."""
+    w = works(spark, sf_dir).where("doi IS NULL")
+    w = w.select(C("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.expr("concat('course ', doc_id % 7, '; course ', doc_id % 11)").alias("courses"), C("source").alias("institutions"), C("lang").alias("countries"))
+    groups = S.title_groups(w.select("id", S.sorted_words(C("title")).alias("s")))
+    return S.merge_groups(w, groups, "title", ["courses", "institutions", "countries"])
 
 
 @query("ded_courses", "WITH e AS (SELECT DISTINCT concat(o_orderpriority, '/', o_orderstatus) AS c, l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT c, count(*) AS n FROM e GROUP BY c), b AS (SELECT x.c AS a, y.c AS b, count(*) AS n FROM e x JOIN e y ON x.i = y.i AND x.c < y.c GROUP BY 1, 2) SELECT a, b, b.n, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS canonical FROM b JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE b.n >= 10 AND b.n / least(p.n, q.n) > 0.8")
@@ -201,18 +199,11 @@ def jn_crossfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.crossfill(records(spark, sf_dir), "doi", "title", "id").select("id", "title")
 
 
-_SORTED = r"array_to_string(list_sort(string_split(trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')), ' ')), ' ')"
-
-
-@query(
-    "jn_fuzzy",
-    rf"""WITH d AS (SELECT doc_id AS id, regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7f]', '', 'g') AS t, 1995 + doc_id % 2 AS year FROM documents), w AS (SELECT id, {_SORTED} AS s, year FROM d WHERE length(t) > 10),
-        p AS (SELECT r.id AS ref, w.id AS work, 1 - levenshtein(r.s, w.s) / greatest(length(r.s), length(w.s)) AS similarity FROM w r JOIN w ON abs(w.year - r.year) <= 1 AND r.id <> w.id AND split_part(r.s, ' ', 1) = split_part(w.s, ' ', 1) WHERE r.id % 50 = 0 AND least(length(r.s), length(w.s)) >= 0.6 * greatest(length(r.s), length(w.s))),
-        b AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY similarity DESC, work) AS n FROM p WHERE similarity >= 0.6) SELECT ref, work, round(similarity, 6) AS similarity FROM b WHERE n = 1""",
-)
+@query("jn_fuzzy")
 def jn_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), F.regexp_replace(F.split("text", "\n")[0], r"[^\x00-\x7f]", "").alias("title"), (1995 + C("doc_id") % 2).alias("year"))
-    return R.link_titles(d.where("id % 50 = 0"), d, 0.6).withColumn("similarity", F.round("similarity", 6))
+    """Of each work whose id is divisible by 50 the other work, within a year, whose sorted title words are most alike, at 85 % or more."""
+    d = works(spark, sf_dir).select(C("doc_id").alias("id"), T.token_sorted(C("title")).alias("s"), (1995 + C("doc_id") % 2).alias("year"))
+    return S.link_titles(d.where("id % 50 = 0"), d)
 
 
 @query("jn_nn", f"WITH {VECTORS}, d AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.v, b.v) AS d FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM d) SELECT vec_id AS id, round(avg(d), 6) AS distance FROM r WHERE n <= 5 GROUP BY 1")
