@@ -6,7 +6,7 @@ bounded equal samples beforehand where the sides are large (windows.equal_n); te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -65,33 +65,51 @@ def centroid_shift(pairs: DataFrame, vector: str) -> DataFrame:
 def share_divergence(pairs: DataFrame, label: str) -> DataFrame:
     """Jensen-Shannon divergence, in bits, of the sides' shares of labels."""
     n = pairs.groupBy(*PAIR, label).agg(F.count_if(F.col("side") == "before").alias("b"), F.count_if(F.col("side") == "after").alias("a"))
-    return _js(n, "b", "a", 0.0, F.log2, 1.0)
+    return _js(n, "b", "a", 0.0, F.log2)
 
 
-def _js(n: DataFrame, b: str, a: str, epsilon: float, log, floor: float) -> DataFrame:
-    t = n.groupBy(*PAIR).agg(F.sum(b).alias("tb"), F.sum(a).alias("ta"), F.count("*").alias("k"))
+def _js(n: DataFrame, b: str, a: str, epsilon: float, log, size: int | None = None) -> DataFrame:
+    t = n.groupBy(*PAIR).agg(F.sum(b).alias("tb"), F.sum(a).alias("ta"), (F.count("*") if size is None else F.lit(size)).alias("k"))
     j = n.join(F.broadcast(t), PAIR)  # one row a pair
     p, q = (F.col(b) + epsilon) / (F.col("tb") + epsilon * F.col("k")), (F.col(a) + epsilon) / (F.col("ta") + epsilon * F.col("k"))
     part = lambda x: F.when(x > 0, x * log(x / ((p + q) / 2))).otherwise(0.0)
     return j.groupBy(*PAIR).agg((F.sum(part(p) + part(q)) / 2).alias("value"))
 
 
-def tfidf(terms: DataFrame, doc: str, term: str) -> DataFrame:
-    """doc, term, w: sublinear counts by smooth inverse document frequency, each document of length one. terms: a row each time a term occurs."""
+def vocabulary(terms: DataFrame, doc: str, term: str, stops: Sequence[str], least: int = 3, most: int = 5000) -> DataFrame:
+    """term and i, its place from 0: the terms of most occurrences, so many at most, that stand in least documents or more and aren't stop words; ties go to the smaller term."""
+    n = terms.where(~F.col(term).isin(*stops)).groupBy(doc, term).agg(F.count("*").alias("n")).groupBy(term).agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    best = n.where(F.col("docs") >= least).orderBy(F.desc("n"), term).limit(most)
+    return best.select(term, (F.row_number().over(Window.orderBy(F.desc("n"), term)) - 1).alias("i"))  # no more rows than `most`
+
+
+def tfidf(terms: DataFrame, doc: str, term: str, docs: DataFrame | None = None) -> DataFrame:
+    """doc, term, w: sublinear counts by smooth inverse document frequency, each document of length one. terms: a row each time a term occurs.
+
+    docs: all documents, those without any of the terms included; where it isn't given, those of terms.
+    """
     tf = terms.groupBy(doc, term).agg(F.count("*").alias("tf"))
     df = tf.groupBy(term).agg(F.count("*").alias("df"))
-    n = tf.select(doc).distinct().agg(F.count("*").alias("n"))
+    n = (tf.select(doc).distinct() if docs is None else docs).agg(F.count("*").alias("n"))
     raw = tf.join(df, term).crossJoin(F.broadcast(n)).select(doc, term, ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(length, doc).select(doc, term, (F.col("w") / F.col("length")).alias("w"))
 
 
-def lexical_js(pairs: DataFrame, weights: DataFrame, key: str, term: str) -> DataFrame:
-    """Jensen-Shannon distance (the root, in natural units) of the sides' mean weights over the pair's terms, smoothed by EPSILON."""
+def sparse_vectors(works: DataFrame, weights: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """works with ix and w: the places of a work's terms in a vocabulary (term, i; of bounded size) and their weights, in order; empty for a work without any."""
+    each = weights.join(F.broadcast(names), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x"))
+    out = works.join(each, key, "left")
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    return out.withColumns({"ix": empty("x.i", "array<int>"), "w": empty("x.w", "array<double>")}).drop("x")
+
+
+def lexical_js(pairs: DataFrame, weights: DataFrame, key: str, term: str, size: int | None = None) -> DataFrame:
+    """Jensen-Shannon distance (the root, in natural units) of the sides' mean weights, smoothed by EPSILON over a vocabulary of so many terms, or over the pair's own."""
     n = pairs.groupBy(*PAIR).agg(F.count_if(F.col("side") == "before").alias("nb"), F.count_if(F.col("side") == "after").alias("na"))
     w = pairs.join(weights, key).groupBy(*PAIR, term).agg(F.sum(F.when(F.col("side") == "before", F.col("w")).otherwise(0.0)).alias("sb"), F.sum(F.when(F.col("side") == "after", F.col("w")).otherwise(0.0)).alias("sa"))
     m = w.join(F.broadcast(n), PAIR).withColumns({"b": F.col("sb") / F.col("nb"), "a": F.col("sa") / F.col("na")})
-    return _js(m.select(*PAIR, term, "b", "a"), "b", "a", EPSILON, F.ln, 0.0).withColumn("value", F.sqrt(F.greatest(F.lit(0.0), F.col("value"))))
+    return _js(m.select(*PAIR, term, "b", "a"), "b", "a", EPSILON, F.ln, size).withColumn("value", F.sqrt(F.greatest(F.lit(0.0), F.col("value"))))
 
 
 def novelty(works: DataFrame, weights: DataFrame, key: str, year: str, window: int, clip: float = 50.0) -> DataFrame:
@@ -137,11 +155,12 @@ def log_odds(terms: DataFrame, term: str, before: Column) -> DataFrame:
 
 
 def mean_shift(works: DataFrame, weights: DataFrame, key: str, term: str, side: str) -> DataFrame:
-    """term and diff: mean weight after less mean weight before."""
+    """term, diff (mean weight after less mean weight before), and docs_before and docs_after, the works that have the term."""
     n = works.groupBy(side).agg(F.count("*").alias("n"))
-    w = works.join(weights, key).groupBy(side, term).agg(F.sum("w").alias("s")).join(F.broadcast(n), side).withColumn("m", F.col("s") / F.col("n"))
+    w = works.join(weights, key).groupBy(side, term).agg(F.sum("w").alias("s"), F.count("*").alias("docs")).join(F.broadcast(n), side).withColumn("m", F.col("s") / F.col("n"))
     sign = F.when(F.col(side) == "after", F.col("m")).otherwise(-F.col("m"))
-    return w.groupBy(term).agg(F.sum(sign).alias("diff"))
+    docs = [F.coalesce(F.sum(F.when(F.col(side) == k, F.col("docs"))), F.lit(0)).alias(f"docs_{k}") for k in ("before", "after")]
+    return w.groupBy(term).agg(F.sum(sign).alias("diff"), *docs)
 
 
 def age_shift(edges: DataFrame, least: int) -> DataFrame:
@@ -186,12 +205,3 @@ def distinctive_terms(works: DataFrame, weights: DataFrame, key: str, cluster: s
     each = w.join(F.broadcast(size), cluster).join(whole, "term").crossJoin(F.broadcast(total)).select(cluster, "term", score.alias("score"))
     place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("score"), "term"))
     return each.withColumn("place", place).where(F.col("place") <= k)
-
-
-def term_vectors(works: DataFrame, weights: DataFrame, key: str, top: int) -> DataFrame:
-    """works with v: the weights of the terms with most weight in all, in alphabetical order."""
-    best = weights.groupBy("term").agg(F.round(F.sum("w"), 6).alias("s")).orderBy(F.desc("s"), "term").limit(top).select("term")
-    names = best.agg(F.array_sort(F.collect_list("term")).alias("names"))
-    m = weights.join(F.broadcast(best), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
-    v = F.transform("names", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)))
-    return works.join(m, key).crossJoin(F.broadcast(names)).withColumn("v", v).drop("m", "names")

@@ -641,16 +641,149 @@ def degree_entropy(a: Graph | np.ndarray) -> float:
     return float(-(p * np.log(p)).sum())
 
 
-def shift_limits(works: DataFrame, vector: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: the 95th and 99th percentile of the largest mean difference of any term when works change sides. works: side and a
-    vector of weights of chosen terms, drawn to a bounded sample beforehand."""
+class Sparse:
+    """Rows of a matrix by the places and values of what isn't 0."""
+
+    def __init__(self, ix: Sequence[np.ndarray], w: Sequence[np.ndarray], width: int) -> None:
+        n = np.array([len(x) for x in ix], np.int64)
+        self.row, self.width, self.n = np.repeat(np.arange(len(n)), n), width, len(n)
+        self.ix = np.concatenate([np.asarray(x, np.int64) for x in ix]) if len(n) else np.zeros(0, np.int64)
+        self.w = np.concatenate([np.asarray(x, float) for x in w]) if len(n) else np.zeros(0)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.w * v[self.ix], self.n)
+
+    def turned(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ix, self.w * u[self.row], self.width)
+
+    def rows(self, keep: np.ndarray) -> Sparse:
+        """The rows where keep holds."""
+        out, at = Sparse([], [], self.width), np.cumsum(keep) - 1
+        mine = keep[self.row]
+        out.row, out.ix, out.w, out.n = at[self.row[mine]], self.ix[mine], self.w[mine], int(keep.sum())
+        return out
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, self.width))
+        out[self.row, self.ix] = self.w
+        return out
+
+
+def sparse_logistic(x: Sparse, y: np.ndarray, ridge: float = 1.0, steps: int = 20) -> np.ndarray:
+    """As logistic, for sparse rows: each Newton step is solved by conjugate gradients, so only products with the rows are taken."""
+    weight = np.where(y, len(y) / (2 * y.sum()), len(y) / (2 * (~y).sum()))
+    penalty = np.full(x.width + 1, ridge)
+    penalty[-1] = 1e-9
+    w = np.zeros(x.width + 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -30, 30)))
+        curve, error = weight * p * (1 - p), weight * (y - p)
+
+        def hessian(v: np.ndarray, curve: np.ndarray = curve) -> np.ndarray:
+            u = curve * (x.times(v[:-1]) + v[-1])
+            return np.append(x.turned(u), u.sum()) + penalty * v
+
+        rest = np.append(x.turned(error), error.sum()) - penalty * w
+        step, way, size = np.zeros_like(w), rest, rest @ rest
+        least = size * 1e-12
+        for _ in range(200):
+            if size <= least or size == 0:
+                break
+            h = hessian(way)
+            far = size / (way @ h)
+            step, rest = step + far * way, rest - far * h
+            size, before = rest @ rest, size
+            way = rest + size / before * way
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _split_sparse(rows: pd.DataFrame, key: str, width: int) -> tuple[Sparse, np.ndarray]:
+    """All rows of a pair (ix, w), in the order of key, and which are of the later side."""
+    rows = rows.sort_values(["side", key])
+    return Sparse(rows["ix"].tolist(), rows["w"].tolist(), width), (rows["side"] == "after").to_numpy()
+
+
+def sparse_two_sample(pairs: DataFrame, key: str, width: int, folds: int = 5, seed: int = 42) -> DataFrame:
+    """As two_sample, for works as sparse rows (ix, w) of so many features, all of them used."""
+    names = ["value", "auc_std", "auc_q025", "auc_q975", "n_folds", "p_value_vs_chance"]
+
+    def run(pair: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, label = _split_sparse(rows, key, width)
+        each = []
+        if min(label.sum(), (~label).sum()) >= folds:
+            rng, fold = _rng(seed, *pair), np.empty(len(label), int)
+            for c in (False, True):
+                at = rng.permutation(np.flatnonzero(label == c))
+                fold[at] = np.arange(len(at)) % folds
+            for f in range(folds):
+                w = sparse_logistic(x.rows(fold != f), label[fold != f])
+                each.append(_auc(x.rows(fold == f).times(w[:-1]) + w[-1], label[fold == f]))
+        out = auc_spread(np.array(each)) if each else [None] * 6
+        return pd.DataFrame([(*pair, *out)], columns=[*PAIR, *names]).astype({"n_folds": "Int32"})
+
+    return pairs.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, value double, auc_std double, auc_q025 double, auc_q975 double, n_folds int, p_value_vs_chance double")
+
+
+def _js_rows(p: np.ndarray, q: np.ndarray, epsilon: float = 1e-10) -> np.ndarray:
+    """Jensen-Shannon distances of the rows of two matrices of mean weights, smoothed."""
+    p, q = p + epsilon, q + epsilon
+    p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
+    m = (p + q) / 2
+    return np.sqrt(np.maximum(0, ((p * np.log(p / m)).sum(axis=1) + (q * np.log(q / m)).sum(axis=1)) / 2))
+
+
+#: Rounds of a permutation that one task draws.
+ROUNDS = 125
+
+
+def _rounds(pairs: DataFrame, rounds: int) -> DataFrame:
+    """pairs once for each chunk of rounds."""
     from pyspark.sql import functions as F
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = _split(rows, vector)
-        rng, both = _rng(seed, "shift"), np.vstack([x, y])
-        c = np.r_[np.full(len(x), -1 / len(x)), np.full(len(y), 1 / len(y))]
-        top = [np.abs(rng.permutation(c) @ both).max() for _ in range(rounds)]
-        return pd.DataFrame([tuple(np.quantile(top, (0.95, 0.99)))], columns=["p95", "p99"])
+    return pairs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // ROUNDS) - 1))))
+
+
+def _sides(rng: np.random.Generator, label: np.ndarray, n: int) -> np.ndarray:
+    """n draws of which works are of the later side, as rows of 0 and 1."""
+    return np.array([rng.permutation(label) for _ in range(n)], float).reshape(n, len(label))
+
+
+def sparse_permutation(pairs: DataFrame, key: str, width: int, rounds: int = 500, seed: int = 42) -> DataFrame:
+    """The Jensen-Shannon distance of the sides' mean weights against works (ix, w) that change sides. Chunks of rounds are drawn in tasks of their own, with random streams of their own."""
+    from pyspark.sql import functions as F
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *pair, chunk = group
+        x, label = _split_sparse(rows, key, width)
+        n = min(ROUNDS, rounds - ROUNDS * int(chunk))
+        drawn = np.vstack([label.astype(float), _sides(_rng(seed, *pair, chunk), label, n)])
+        dense = x.dense()
+        after, whole = drawn @ dense, dense.sum(axis=0)
+        late = label.sum()
+        values = _js_rows((whole - after) / (len(label) - late), after / late)
+        return pd.DataFrame({"anchor": pair[0], "window": pair[1], "observed": values[0], "value": values[1:]})
+
+    each = _rounds(pairs, rounds).groupBy(*PAIR, "chunk").applyInPandas(run, "anchor long, window int, observed double, value double")
+    sd = F.stddev_pop("value")
+    out = each.groupBy(*PAIR).agg(F.max("observed").alias("observed"), F.avg("value").alias("null_mean"), sd.alias("null_std"), (F.count_if(F.col("value") >= F.col("observed")) / F.count("*")).alias("p_value"))
+    z = F.when(F.col("null_std") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).otherwise(0.0)
+    return out.select(*PAIR, "observed", "null_mean", "null_std", z.alias("z_score"), "p_value")
+
+
+def shift_limits(works: DataFrame, key: str, width: int, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: the 95th and 99th percentile of the largest mean difference of any term when works change sides. works: side and
+    sparse rows (ix, w), drawn to a bounded sample beforehand; chunks of rounds are drawn in tasks of their own."""
+    from pyspark.sql import functions as F
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, label = _split_sparse(rows, key, width)
+        drawn = _sides(_rng(seed, "shift", *group), label, min(ROUNDS, rounds - ROUNDS * int(group[0])))
+        late, dense = label.sum(), x.dense()
+        after = drawn @ dense
+        return pd.DataFrame({"top": np.abs(after / late - (dense.sum(axis=0) - after) / (len(label) - late)).max(axis=1)})
 
-    return works.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "p95 double, p99 double")
+    tops = _rounds(works, rounds).groupBy("chunk").applyInPandas(run, "top double")
+    return tops.agg(F.percentile("top", F.lit(0.95)).alias("p95"), F.percentile("top", F.lit(0.99)).alias("p99"))

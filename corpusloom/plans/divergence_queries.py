@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.functions import vector as V
+from corpusloom.functions.vocabulary import STOPS
 from corpusloom.operators import divergence as D
 from corpusloom.operators import clusters, kernels
 from corpusloom.operators import graph as G
@@ -199,61 +201,127 @@ def ml_embed_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.cosine_moments(vectors(spark, sf_dir), "label", "v").select("same", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-#: terms: words of three letters or more of every document, with its year.
-TERMS = r"""docs AS (SELECT doc_id, 1995 + doc_id % 10 AS year, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents), terms AS (SELECT doc_id, year, unnest(w) AS term FROM docs),
-  tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+#: Terms of the vocabulary, documents that hold each at least, and works that a side has at least: 5 in a corpus of fewer than 200.
+MOST_TERMS, LEAST_DOCS, LEAST_WORKS, FEW = 5000, 3, 30, 5
+_WORD = r"[\p{L}\p{N}_]{2,}"
+#: every: the words of every document with its year; terms: those of the vocabulary; weights: their weights in each document.
+TERMS = rf"""docs AS (SELECT doc_id, 1995 + doc_id % 10 AS year, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE text IS NOT NULL), every AS (SELECT doc_id, year, unnest(w) AS term FROM docs),
+  vocab AS (SELECT term FROM every WHERE term NOT IN ({', '.join(f"'{w}'" for w in STOPS)}) GROUP BY term HAVING count(DISTINCT doc_id) >= {LEAST_DOCS} ORDER BY count(*) DESC, term LIMIT {MOST_TERMS}), terms AS (SELECT * FROM every WHERE term IN (SELECT term FROM vocab)),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
   weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)"""
-LEX = f"""{TERMS}, a AS (SELECT w AS "window", unnest(range(1995 + w, 2004 - w)) AS anchor FROM (VALUES (2)) t(w)), d AS (SELECT DISTINCT doc_id, year FROM terms),
-  pairs AS (SELECT anchor, "window", doc_id, CASE WHEN year < anchor THEN 'before' ELSE 'after' END AS side FROM a JOIN d ON year BETWEEN anchor - "window" AND anchor - 1 OR year BETWEEN anchor + 1 AND anchor + "window")"""
+LEX = f"""{TERMS}, a AS (SELECT w AS "window", unnest(range(1995 + w, 2004 - w)) AS anchor FROM (VALUES (2), (3), (4)) t(w)), d AS (SELECT doc_id, year FROM docs),
+  every_pair AS (SELECT anchor, "window", doc_id, CASE WHEN year < anchor THEN 'before' ELSE 'after' END AS side FROM a JOIN d ON year BETWEEN anchor - "window" AND anchor - 1 OR year BETWEEN anchor + 1 AND anchor + "window"),
+  enough AS (SELECT anchor, "window" FROM every_pair GROUP BY ALL HAVING least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after')) >= (SELECT CASE WHEN count(*) < 200 THEN {FEW} ELSE {LEAST_WORKS} END FROM docs)),
+  pairs AS (SELECT p.* FROM every_pair p JOIN enough USING (anchor, "window"))"""
 
 
-def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terms of every document's whole text."""
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has a text, and its year."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (1995 + C("doc_id") % 10).alias("year"))
+
+
+def every_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document's whole text."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", (1995 + C("doc_id") % 10).alias("year"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
+    return d.select("doc_id", (1995 + C("doc_id") % 10).alias("year"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("term"))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that documents are weighed by: of bounded number."""
+    return G.settle(D.vocabulary(every_term(spark, sf_dir), "doc_id", "term", STOPS, LEAST_DOCS, MOST_TERMS))
+
+
+def terms(spark: SparkSession, sf_dir: str, names: DataFrame | None = None) -> DataFrame:
+    """The terms of the vocabulary in every document's whole text."""
+    names = vocabulary(spark, sf_dir) if names is None else names
+    return every_term(spark, sf_dir).join(F.broadcast(names.select("term")), "term", "left_semi").select("doc_id", "year", "term")
+
+
+def weights(spark: SparkSession, sf_dir: str, names: DataFrame | None = None) -> DataFrame:
+    return D.tfidf(terms(spark, sf_dir, names), "doc_id", "term", docs(spark, sf_dir))
+
+
+def least_works(d: DataFrame) -> int:
+    """How many works a side must have, by the size of the corpus."""
+    return FEW if d.count() < 200 else LEAST_WORKS
 
 
-def _lex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = terms(spark, sf_dir)
-    return W.sliding_pairs(t.select("doc_id", "year").distinct(), "year", (2,)), D.tfidf(t, "doc_id", "term")
+def lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return W.sliding_pairs(d, "year", (2, 3, 4), least=least_works(d))
+
+
+def lexical_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same number of works on both sides, 2,000 at most, with their weights by place in the vocabulary."""
+    names = vocabulary(spark, sf_dir)
+    v = D.sparse_vectors(docs(spark, sf_dir), weights(spark, sf_dir, names), names, "doc_id")
+    p = W.equal_n(lexical_pairs(spark, sf_dir), "doc_id", 42, 2000)
+    return p.select("anchor", C("window").cast("int").alias("window"), "side", "doc_id").join(v.select("doc_id", "ix", "w"), "doc_id")
 
 
 @query("fn_tfidf", f"WITH {TERMS} SELECT doc_id, term, round(w, 6) AS w FROM weights")
 def fn_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.tfidf(terms(spark, sf_dir), "doc_id", "term").withColumn("w", F.round("w", 6))
+    return weights(spark, sf_dir).withColumn("w", F.round("w", 6))
 
 
-@query("div_l1", f"""WITH {LEX}, n AS (SELECT anchor, "window", count(*) FILTER (WHERE side = 'before') AS nb, count(*) FILTER (WHERE side = 'after') AS na FROM pairs GROUP BY ALL), m AS (SELECT anchor, "window", term, coalesce(sum(w) FILTER (WHERE side = 'before'), 0) / max(nb) AS b, coalesce(sum(w) FILTER (WHERE side = 'after'), 0) / max(na) AS a FROM pairs JOIN weights USING (doc_id) JOIN n USING (anchor, "window") GROUP BY ALL),
-  s AS (SELECT anchor, "window", (b + 1e-10) / (sum(b) OVER w + 1e-10 * count(*) OVER w) AS p, (a + 1e-10) / (sum(a) OVER w + 1e-10 * count(*) OVER w) AS q FROM m WINDOW w AS (PARTITION BY anchor, "window")) SELECT anchor, "window", round(sqrt(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2), 6) AS value FROM s GROUP BY 1, 2""")
+@query(
+    "div_l1",
+    f"""WITH {LEX}, n AS (SELECT anchor, "window", count(*) FILTER (WHERE side = 'before') AS nb, count(*) FILTER (WHERE side = 'after') AS na FROM pairs GROUP BY ALL),
+    m AS (SELECT anchor, "window", term, coalesce(sum(w) FILTER (WHERE side = 'before'), 0) / max(nb) AS b, coalesce(sum(w) FILTER (WHERE side = 'after'), 0) / max(na) AS a FROM pairs JOIN weights USING (doc_id) JOIN n USING (anchor, "window") GROUP BY ALL),
+    s AS (SELECT anchor, "window", (b + 1e-10) / (sum(b) OVER w + 1e-10 * (SELECT count(*) FROM vocab)) AS p, (a + 1e-10) / (sum(a) OVER w + 1e-10 * (SELECT count(*) FROM vocab)) AS q FROM m WINDOW w AS (PARTITION BY anchor, "window"))
+    SELECT anchor, "window", round(sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2)), 6) AS value FROM s GROUP BY 1, 2""",
+)
 def div_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, w = _lex(spark, sf_dir)
-    return D.lexical_js(p, w, "doc_id", "term").withColumn("value", F.round("value", 6))
+    names = vocabulary(spark, sf_dir)
+    return D.lexical_js(lexical_pairs(spark, sf_dir), weights(spark, sf_dir, names), "doc_id", "term", names.count()).withColumn("value", F.round("value", 6))
 
 
-@query("div_l2", f"""WITH {TERMS}, y AS (SELECT DISTINCT doc_id, year AS y FROM terms), ab AS (SELECT doc_id, y - k AS anchor, CASE WHEN k < 0 THEN 'past' ELSE 'future' END AS side FROM y, (VALUES (-3), (-2), (-1), (1), (2), (3)) t(k)), g AS (SELECT anchor, side, term, sum(w) AS g FROM ab JOIN weights USING (doc_id) GROUP BY ALL), t AS (SELECT anchor, side, sum(g) AS t FROM g GROUP BY ALL),
-  d AS (SELECT doc_id, y AS anchor, term, w / sum(w) OVER (PARTITION BY doc_id) AS p FROM y JOIN weights USING (doc_id) WHERE y BETWEEN 1998 AND 2001), k AS (SELECT anchor, t.side, doc_id, least(50, sum(p * ln(p / (coalesce(g, 0) / t + 1e-10)))) AS kl FROM d JOIN t USING (anchor) LEFT JOIN g ON g.anchor = d.anchor AND g.side = t.side AND g.term = d.term GROUP BY ALL)
-  SELECT anchor, round(avg(kl) FILTER (WHERE side = 'past'), 5) AS novelty, round(avg(kl) FILTER (WHERE side = 'future'), 5) AS transience, round(avg(kl) FILTER (WHERE side = 'past') - avg(kl) FILTER (WHERE side = 'future'), 5) AS resonance FROM k GROUP BY anchor""")
-def div_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = terms(spark, sf_dir)
-    out = D.novelty(t.select("doc_id", "year").distinct(), D.tfidf(t, "doc_id", "term"), "doc_id", "year", 3)
-    return out.select("anchor", *(F.round(c, 5).alias(c) for c in ("novelty", "transience", "resonance")))
+_PAST = (3, 5)
 
 
-@query("div_l3", f"WITH {TERMS}, best AS (SELECT term FROM terms GROUP BY term ORDER BY count(*) DESC, term LIMIT 100), docs_ AS (SELECT year, count(DISTINCT doc_id) AS docs FROM terms GROUP BY 1), n AS (SELECT term, year, count(*) AS n FROM terms GROUP BY 1, 2), g AS (SELECT term, year, coalesce(n, 0) / docs AS m FROM (SELECT * FROM best, docs_) LEFT JOIN n USING (term, year)), z AS (SELECT year, (m - avg(m) OVER w) / nullif(stddev_pop(m) OVER w, 0) AS z FROM g WINDOW w AS (PARTITION BY term)) SELECT year, count(*) FILTER (WHERE z > 1.5) AS value FROM z GROUP BY year")
+@query(
+    "div_l2",
+    f"""WITH {TERMS}, y AS (SELECT doc_id, year AS y FROM docs), v AS (SELECT w AS "window", k FROM (VALUES {', '.join(f'({w})' for w in _PAST)}) t(w), (SELECT unnest(range(-5, 6)) AS k) WHERE k <> 0 AND abs(k) <= w),
+    ab AS (SELECT doc_id, "window", y - k AS anchor, CASE WHEN k < 0 THEN 'past' ELSE 'future' END AS side FROM y, v), g AS (SELECT "window", anchor, side, term, sum(w) AS g FROM ab JOIN weights USING (doc_id) GROUP BY ALL), t AS (SELECT "window", anchor, side, sum(g) AS t FROM g GROUP BY ALL),
+    d AS (SELECT doc_id, y AS anchor, term, w / sum(w) OVER (PARTITION BY doc_id) AS p FROM y JOIN weights USING (doc_id)), e AS (SELECT min(y) AS lo, max(y) AS hi FROM y),
+    k AS (SELECT t."window", anchor, t.side, doc_id, least(50, sum(p * ln(p / (coalesce(g, 0) / t + 1e-10)))) AS kl FROM d JOIN t USING (anchor) JOIN e ON anchor BETWEEN lo + t."window" AND hi - t."window" LEFT JOIN g ON g."window" = t."window" AND g.anchor = d.anchor AND g.side = t.side AND g.term = d.term GROUP BY ALL)
+    SELECT CAST("window" AS INTEGER) AS "window", anchor, round(avg(kl) FILTER (WHERE side = 'past'), 5) AS novelty, round(avg(kl) FILTER (WHERE side = 'future'), 5) AS transience, round(avg(kl) FILTER (WHERE side = 'past') - avg(kl) FILTER (WHERE side = 'future'), 5) AS resonance FROM k GROUP BY 1, 2""",
+)
+def div_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By window, for the years that have whole windows on both sides."""
+    w, d = G.settle(weights(spark, sf_dir)), docs(spark, sf_dir)
+    each = [D.novelty(d, w, "doc_id", "year", n).withColumn("window", F.lit(n)) for n in _PAST]
+    out = each[0].unionByName(each[1])
+    return out.select("window", "anchor", *(F.round(c, 5).alias(c) for c in ("novelty", "transience", "resonance")))
+
+
+@query(
+    "div_l3",
+    f"""WITH {TERMS}, best AS (SELECT term FROM terms GROUP BY term ORDER BY count(*) DESC, term LIMIT 100), docs_ AS (SELECT year, count(DISTINCT doc_id) AS docs FROM terms GROUP BY 1), n AS (SELECT term, year, count(*) AS n FROM terms GROUP BY 1, 2),
+    g AS (SELECT term, year, coalesce(n, 0) / docs AS m FROM (SELECT * FROM best, docs_) LEFT JOIN n USING (term, year)), z AS (SELECT year, (m - avg(m) OVER w) / nullif(stddev_pop(m) OVER w, 0) AS z FROM g WINDOW w AS (PARTITION BY term))
+    SELECT year, count(*) FILTER (WHERE z > 2) AS value FROM z GROUP BY year""",
+)
 def div_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.bursts(terms(spark, sf_dir), "doc_id", "term", "year", 100, 1.5)
+    return D.bursts(terms(spark, sf_dir), "doc_id", "term", "year", 100, 2.0)
 
 
-@query("st_logodds", f"WITH {TERMS}, n AS (SELECT term, count(*) FILTER (WHERE year < 2000) AS b, count(*) FILTER (WHERE year >= 2000) AS a FROM terms GROUP BY 1), t AS (SELECT sum(b) AS tb, sum(a) AS ta, count(*) AS v FROM n), p AS (SELECT *, v * (a + b) / (ta + tb) AS prior FROM n, t) SELECT term, round(ln((a + prior) / (ta + v - a - prior)) - ln((b + prior) / (tb + v - b - prior)), 6) AS log_odds, b AS before, a AS after FROM p WHERE a + b >= 5")
+@query("st_logodds", f"WITH {TERMS}, n AS (SELECT term, count(*) FILTER (WHERE year < 2000) AS b, count(*) FILTER (WHERE year >= 2000) AS a FROM every GROUP BY 1), t AS (SELECT sum(b) AS tb, sum(a) AS ta, count(*) AS v FROM n), p AS (SELECT *, v * (a + b) / (ta + tb) AS prior FROM n, t) SELECT term, round(ln((a + prior) / (ta + v - a - prior)) - ln((b + prior) / (tb + v - b - prior)), 6) AS log_odds, b AS before, a AS after FROM p WHERE a + b >= 5")
 def st_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.log_odds(terms(spark, sf_dir), "term", C("year") < 2000).where("before + after >= 5").withColumn("log_odds", F.round("log_odds", 6))
+    return D.log_odds(every_term(spark, sf_dir), "term", C("year") < 2000).where("before + after >= 5").withColumn("log_odds", F.round("log_odds", 6))
 
 
-@query("st_tfidf_shift", f"WITH {TERMS}, s AS (SELECT DISTINCT doc_id, year < 2000 AS early FROM terms), n AS (SELECT early, count(*) AS n FROM s GROUP BY 1), m AS (SELECT term, early, sum(w) / max(n) AS m FROM s JOIN weights USING (doc_id) JOIN n USING (early) GROUP BY 1, 2) SELECT term, round(sum(CASE WHEN early THEN -m ELSE m END), 6) AS diff FROM m GROUP BY term HAVING abs(sum(CASE WHEN early THEN -m ELSE m END)) > 0.001")
+@query(
+    "st_tfidf_shift",
+    f"""WITH {TERMS}, s AS (SELECT doc_id, year < 2000 AS early FROM docs), n AS (SELECT early, count(*) AS n FROM s GROUP BY 1), m AS (SELECT term, early, count(*) AS docs, sum(w) / max(n) AS m FROM s JOIN weights USING (doc_id) JOIN n USING (early) GROUP BY 1, 2)
+    SELECT term, round(sum(CASE WHEN early THEN -m ELSE m END), 6) + 0.0 AS diff, coalesce(CAST(sum(docs) FILTER (WHERE early) AS BIGINT), 0) AS docs_before, coalesce(CAST(sum(docs) FILTER (WHERE NOT early) AS BIGINT), 0) AS docs_after
+    FROM m WHERE length(term) >= 3 AND NOT regexp_matches(term, '[0-9]') GROUP BY term""",
+)
 def st_tfidf_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = terms(spark, sf_dir)
-    w = t.select("doc_id", F.when(C("year") < 2000, "before").otherwise("after").alias("side")).distinct()
-    return D.mean_shift(w, D.tfidf(t, "doc_id", "term"), "doc_id", "term", "side").where("abs(diff) > 0.001").withColumn("diff", F.round("diff", 6))
+    """How far each clean term's mean weight moves, and how many documents have it."""
+    w = docs(spark, sf_dir).select("doc_id", F.when(C("year") < 2000, "before").otherwise("after").alias("side"))
+    out = D.mean_shift(w, weights(spark, sf_dir), "doc_id", "term", "side").where(T.clean_term(C("term"), STOPS))
+    return out.withColumn("diff", F.round("diff", 6) + 0.0)
+
 
 
 @query("div_g3", f"WITH {EDGES} SELECT year, CASE WHEN count(*) >= 3 THEN median(1990 + ref % 12) END AS value FROM edges GROUP BY year")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import clusters, graph, kernels, modes
 from corpusloom.operators import windows as W
-from corpusloom.plans.divergence_queries import WHOLE, brands, drawn, whole
+from corpusloom.plans.divergence_queries import MOST_TERMS, WHOLE, brands, drawn, lexical_sample, whole
 from corpusloom.plans.registry import query
 from corpusloom.plans.session import table
 from corpusloom.plans.standins import VECTORS, edges, vectors
@@ -35,18 +35,8 @@ def div_c2st_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("div_c2st_lex")
 def div_c2st_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As div_c2st_emb on the weights of the 50 commonest terms."""
-    from corpusloom.operators import divergence
-    from corpusloom.plans.divergence_queries import terms
-
-    t = terms(spark, sf_dir)
-    best = t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50).select("term")
-    w = divergence.tfidf(t, "doc_id", "term").join(F.broadcast(best), "term")
-    v = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
-    names = best.agg(F.array_sort(F.collect_list("term")).alias("names"))
-    v = v.crossJoin(F.broadcast(names)).select("doc_id", F.transform("names", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("v"))
-    p = W.sliding_pairs(t.select("doc_id", "year").distinct(), "year", (2,)).join(v, "doc_id")
-    return kernels.two_sample(W.equal_n(p, "doc_id", 42, 2000).select("anchor", C("window").cast("int").alias("window"), "side", "doc_id", "v"), "v")
+    """As div_c2st_emb on the weights of the whole vocabulary."""
+    return kernels.sparse_two_sample(lexical_sample(spark, sf_dir), "doc_id", MOST_TERMS)
 
 
 @query("div_g1")

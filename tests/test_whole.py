@@ -48,12 +48,12 @@ def test_kernels_of_edges():
 
 def test_lexical_samples_come_from_every_document(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    worded = {d.doc_id for d in docs if re.search("[a-z]{3}", (d.text or "").lower())}
-    assert {r.doc_id for r in divergence_queries.terms(spark, SF).select("doc_id").distinct().collect()} == worded
+    worded = {d.doc_id for d in docs if re.search(r"\w\w", (d.text or "").lower())}
+    assert {r.doc_id for r in divergence_queries.every_term(spark, SF).select("doc_id").distinct().collect()} == worded
     seen = []
     keep = lambda p, *_: seen.append(p) or p
-    monkeypatch.setattr(inference_queries.W, "equal_n", keep)
-    inference_queries._lexical(spark, SF)
+    monkeypatch.setattr(divergence_queries.W, "equal_n", keep)
+    divergence_queries.lexical_sample(spark, SF)
     catalog.QUERIES["div_c2st_lex"](spark, SF)
     long = {d.doc_id for d in docs if len(d.text or "") >= 1500}
     for p in seen:
