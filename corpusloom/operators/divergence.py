@@ -175,18 +175,75 @@ def degree_entropy_shift(pairs: DataFrame, ref: str) -> DataFrame:
     return h.groupBy(*PAIR).agg(F.abs(F.sum(F.when(F.col("side") == "after", F.col("h")).otherwise(-F.col("h")))).alias("value"))
 
 
-def disruption(edges: DataFrame) -> DataFrame:
+def exponent_shift(pairs: DataFrame, ref: str, least: int = 10) -> DataFrame:
+    """anchor, window and value: the change of the exponent of a power law fitted to the share of cited refs that have k citations or more.
+
+    pairs: anchor, window, side and ref for each edge. Degrees are counted by aggregates; only how many refs have each degree reaches a task. Null with fewer than
+    least cited refs or two degrees on a side.
+    """
+    d = pairs.groupBy(*PAIR, "side", ref).agg(F.count("*").alias("d")).groupBy(*PAIR, "side", "d").agg(F.count("*").alias("n"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for side in ("before", "after"):
+            r = rows[rows["side"] == side].sort_values("d")
+            k, n = r["d"].to_numpy(float), r["n"].to_numpy(float)
+            found.append(power_law(k, n[::-1].cumsum()[::-1] / n.sum()) if n.sum() >= least and len(k) > 1 else None)
+        value = None if None in found else abs(found[1] - found[0])
+        return pd.DataFrame({"anchor": [key[0]], "window": [key[1]], "value": [value]}).astype({"value": "float64"})
+
+    return d.groupBy(*PAIR).applyInPandas(run, "anchor long, window int, value double")
+
+
+def power_law(x: np.ndarray, y: np.ndarray, steps: int = 500) -> float | None:
+    """The exponent a of c * x^-a by least squares on y, from a = 1.5 and c = 1 on; c follows from a, and a is sought by damped Newton steps. Null where none is found."""
+
+    def parts(a: float) -> tuple[float, np.ndarray, np.ndarray]:
+        p = x**-a
+        c = (p @ y) / (p @ p)
+        slope = -np.log(x) * p
+        turn = (slope @ y - 2 * c * (slope @ p)) / (p @ p)  # how c moves with a
+        return float(((y - c * p) ** 2).sum()), y - c * p, turn * p + c * slope
+
+    a, damp = 1.5, 1e-3
+    cost, rest, slope = parts(a)
+    for _ in range(steps):
+        step = (slope @ rest) / (slope @ slope * (1 + damp) + 1e-300)
+        better, r, s = parts(a + step)
+        if not np.isfinite(better):
+            return None
+        if better <= cost:
+            done = abs(step) < 1e-12 * max(1.0, abs(a))
+            a, cost, rest, slope, damp = a + step, better, r, s, damp / 3
+            if done:
+                break
+        else:
+            damp = max(damp, 1e-9) * 4
+            if damp > 1e12:
+                break
+    return float(a)
+
+
+def disruption(edges: DataFrame, alone: bool = False) -> DataFrame:
     """node and cd: (i - j) / (i + j + k) of nodes that cite and are cited; i citers cite it alone, j also cite what it cites, k cite only that.
 
-    Citers and refs meet by joins on the edges; nothing is gathered by node.
+    alone: nodes that only cite or only are cited count as well, where anything is left to divide by. Citers and refs meet by joins on the edges; nothing is gathered by node.
     """
     e = edges.select("src", "ref").distinct()
     cites = e.toDF("node", "r")
     by_ref = cites.join(e.toDF("citer", "r"), "r").where("citer <> node").select("node", "citer").distinct().withColumn("of_ref", F.lit(True))
-    direct = e.select(F.col("ref").alias("node"), F.col("src").alias("citer")).withColumn("of_node", F.lit(True)).join(cites.select("node").distinct(), "node", "left_semi")
+    direct = e.select(F.col("ref").alias("node"), F.col("src").alias("citer")).withColumn("of_node", F.lit(True))
+    if not alone:
+        direct = direct.join(cites.select("node").distinct(), "node", "left_semi")
     both = direct.join(by_ref, ["node", "citer"], "full")
     n = both.groupBy("node").agg(F.count_if(F.col("of_node") & F.col("of_ref").isNull()).alias("i"), F.count_if(F.col("of_node") & F.col("of_ref")).alias("j"), F.count_if(F.col("of_node").isNull()).alias("k"))
-    return n.where("i + j > 0").select("node", ((F.col("i") - F.col("j")) / (F.col("i") + F.col("j") + F.col("k"))).alias("cd"))
+    return n.where("i + j + k > 0" if alone else "i + j > 0").select("node", ((F.col("i") - F.col("j")) / (F.col("i") + F.col("j") + F.col("k"))).alias("cd"))
+
+
+def yearly_disruption(edges: DataFrame, years: DataFrame) -> DataFrame:
+    """year and value: the mean disruption of the nodes of a year (node, year); null in a year without any that has one."""
+    each = years.select("node", "year").distinct().join(disruption(edges, alone=True), "node", "left")
+    return each.groupBy("year").agg(F.avg("cd").alias("value"))
 
 
 def crossing_share(edges: DataFrame, labels: DataFrame, by: str) -> DataFrame:

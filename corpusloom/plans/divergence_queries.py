@@ -346,6 +346,15 @@ def div_g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.disruption(edges(spark, sf_dir).where("src > ref")).withColumn("cd", F.round("cd", 6))
 
 
+@query("div_g7_year", f"""WITH {EDGES}, e AS (SELECT DISTINCT src, ref FROM edges WHERE src > ref), x AS (SELECT DISTINCT a.src AS node, b.src AS citer FROM e a JOIN e b ON a.ref = b.ref AND b.src <> a.src),
+    j AS (SELECT coalesce(x.node, y.ref) AS node, x.node IS NOT NULL AS r, y.ref IS NOT NULL AS d FROM x FULL JOIN e y ON x.node = y.ref AND x.citer = y.src), n AS (SELECT node, count(*) FILTER (WHERE d AND NOT r) AS i, count(*) FILTER (WHERE d AND r) AS j, count(*) FILTER (WHERE NOT d) AS k FROM j GROUP BY node),
+    o AS (SELECT DISTINCT src AS node, year FROM edges) SELECT year, round(avg((i - j) / (i + j + k)), 6) AS value FROM o LEFT JOIN n USING (node) GROUP BY year""")
+def div_g7_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean disruption of each year's works."""
+    e = edges(spark, sf_dir)
+    return D.yearly_disruption(e.where("src > ref"), e.select(C("src").alias("node"), "year")).withColumn("value", F.round("value", 6))
+
+
 @query("div_g4")
 def div_g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By year, the share of edges between the two communities of the whole graph."""

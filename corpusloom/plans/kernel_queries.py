@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import clusters, graph, kernels, modes
+from corpusloom.operators import divergence as D
 from corpusloom.operators import windows as W
 from corpusloom.plans.divergence_queries import MOST_TERMS, WHOLE, brands, drawn, lexical_sample, whole
 from corpusloom.plans.registry import query
@@ -51,7 +52,8 @@ def div_g2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("div_g5")
 def div_g5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.graph_shift(edge_pairs(spark, sf_dir), kernels.power_law)
+    """The change of the exponent of in-degrees, from counts of degrees alone."""
+    return D.exponent_shift(edge_pairs(spark, sf_dir), "ref")
 
 
 @query("div_g8")

@@ -177,7 +177,11 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
     e = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"daily_{uuid.uuid4().hex}"

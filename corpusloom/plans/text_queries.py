@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vector as V
+from corpusloom.operators import language
 from corpusloom.plans.registry import query
 from corpusloom.plans.session import table
 from corpusloom.plans.standins import VECTORS, WORKS, vectors, works
@@ -62,15 +63,33 @@ _VOTE = ", ".join(f"len(list_filter(t, lambda x: x IN ({', '.join(repr(x) for x
 
 
 @query(
-    "fn_detect_lang",
+    "fn_vote_lang",
     rf"""WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS t FROM documents), n AS (SELECT doc_id, {_VOTE} FROM t)
         SELECT doc_id, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN en = greatest(en, fr, de, es) THEN 'en' WHEN fr = greatest(en, fr, de, es) THEN 'fr'
                WHEN de = greatest(en, fr, de, es) THEN 'de' ELSE 'es' END AS lang FROM n""",
 )
-def fn_detect_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn_vote_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.vote_language(C("text")).alias("lang"))
 
 
+@query(
+    "fn_detect_lang",
+    r"""WITH d AS (SELECT doc_id, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS held_out, text FROM documents),
+    n AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM d) GROUP BY ALL),
+    k AS (SELECT lang, word, sum(n) AS n FROM n JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+    g AS (SELECT lang, gram, sum(n) AS c FROM (SELECT lang, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(concat('_', word, '_'), i, 3))) AS gram FROM k) GROUP BY ALL),
+    t AS (SELECT lang, sum(c) AS t FROM g GROUP BY 1), v AS (SELECT DISTINCT gram FROM g), p AS (SELECT gram, lang, ln((coalesce(c, 0) + 0.5) / (t + 0.5 * ((SELECT count(*) FROM v) + 1))) AS lp FROM (SELECT * FROM v, t) LEFT JOIN g USING (lang, gram)),
+    w AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(concat('_', word, '_'), i, 3))) AS gram FROM (SELECT DISTINCT word FROM n)), s AS (SELECT word, lang, sum(lp) AS s FROM w JOIN p USING (gram) GROUP BY ALL),
+    b AS (SELECT doc_id, min((-x, lang))[2] AS detected FROM (SELECT doc_id, lang, round(sum(n * s), 4) AS x FROM n JOIN s USING (word) GROUP BY ALL) GROUP BY 1)
+    SELECT doc_id, held_out, lang, detected FROM d LEFT JOIN b USING (doc_id)""",
+)
+def fn_detect_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by its trigrams, learned from the labelled ones that aren't held out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.substring(F.md5(C("doc_id").cast("string")), 1, 1).isin("0", "1", "2", "3").alias("held_out"))
+    found = language.detect(d, "doc_id", "text", d.where("NOT held_out").select("doc_id", "lang"))
+    return d.select("doc_id", "held_out", "lang").join(found, "doc_id")
+
+
 @query("fn_inv_index", f"WITH {WORKS} SELECT doc_id, title FROM works WHERE title <> ''")
 def fn_inv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles turned into maps of word to places, and back."""
