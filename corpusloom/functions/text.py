@@ -5,8 +5,11 @@ Word characters are said as Unicode classes, since Java's \\w is ASCII unless to
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +52,47 @@ def norm_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(c, F.lit("\\n"), F.lit(" ")), r"\s+", " "))
 
 
+#: A character of two bytes or more that was read byte by byte in Windows-1252: a lead byte's letter and what its following bytes look like there.
+_GARBLED = "[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}"
+
+
+def _bytes_of(garbled: str) -> bytes:
+    """The bytes that a garbled character was read from; those that Windows-1252 leaves open stand for themselves."""
+    return b"".join(c.encode("cp1252") if ord(c) > 0xFF or not 0x80 <= ord(c) < 0xA0 else bytes([ord(c)]) for c in garbled)
+
+
+def repair(text: str) -> str:
+    """Characters that were decoded by the wrong table, put right as far as their bytes are UTF-8, twice for what was garbled twice; then entities of HTML, twice."""
+
+    def right(m: re.Match) -> str:
+        for end in range(len(m[0]), 1, -1):
+            try:
+                return _bytes_of(m[0][:end]).decode() + m[0][end:]
+            except UnicodeError:
+                continue
+        return m[0]
+
+    for _ in range(2):
+        text = re.sub(_GARBLED, right, text)
+    return html.unescape(html.unescape(text))
+
+
+def repaired(c: Column) -> Column:
+    """repair of a column. Only texts with an ampersand or a garbled character travel to Python."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else repair(t))
+
+    return F.coalesce(run(F.when(c.rlike("&|" + _GARBLED), c)), c)
+
+
+def norm_text_whole(c: Column) -> Column:
+    """As norm_text, with every entity, entities of entities and garbled characters; empty for null."""
+    c = F.regexp_replace(repaired(c), "[\u200b\u200c\u200d\u2060\ufeff\u00ad]", "")
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(c, r"\\[ntr]", " "), r"[\s\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")), F.lit(""))
+
+
 def norm_language(c: Column) -> Column:
     """The two-letter code of a code or name; regional parts go; null if unknown."""
     head = F.lower(F.trim(F.split_part(F.translate(c, "_", "-"), F.lit("-"), F.lit(1))))

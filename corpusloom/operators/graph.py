@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vector as V
@@ -76,8 +76,10 @@ def degrees(edges: DataFrame, a: str = "src", b: str = "ref") -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
-def pagerank(edges: DataFrame, steps: int, alpha: float = 0.85) -> DataFrame:
-    """node and rank after so many steps over distinct edges (src, ref); the rank of nodes without refs is spread over all."""
+def pagerank(edges: DataFrame, steps: int, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """node and rank after so many steps over distinct edges (src, ref); the rank of nodes without refs is spread over all.
+
+    tolerance: fewer steps once the ranks of all nodes together move by less than it times their number; looked at every fourth step, when the ranks are written."""
     e = edges.select("src", "ref").where("src <> ref").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("d"))
     e = settle(e.join(out, "src"))
@@ -88,9 +90,12 @@ def pagerank(edges: DataFrame, steps: int, alpha: float = 0.85) -> DataFrame:
         lost = rank.where("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = e.join(rank.select("node", "rank"), F.col("src") == F.col("node")).groupBy(F.col("ref").alias("to")).agg(F.sum(F.col("rank") / F.col("d")).alias("got"))
         new = nodes.join(got, F.col("node") == F.col("to"), "left").crossJoin(F.broadcast(lost))  # lost is one row
+        rank_before = rank
         rank = new.select("node", "ends", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if i % 4 == 3:
-            rank = settle(rank)
+            rank, before = settle(rank), rank_before
+            if tolerance is not None and rank.select("node", "rank").join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+                break
     return rank.select("node", "rank")
 
 
@@ -135,6 +140,21 @@ def meta_graph(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return e.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.count("*").alias("n"))
 
 
+def meta_members(edges: DataFrame, labels: DataFrame, least: float = 0.02, top: int = 8) -> DataFrame:
+    """community, n (its nodes), share, coverage (the share of all nodes that the communities listed hold) and members (the top nodes of most edges, joined by ;) of
+    every community with at least so great a share of the nodes that have edges (a, b) and a label."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
+    each = ends.join(labels.toDF("node", "community"), "node")
+    size = each.groupBy("community").agg(F.count("*").alias("n"))
+    total = size.agg(F.sum("n").alias("t"))
+    kept = size.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("t")).where(F.col("share") >= least)
+    held = kept.agg((F.sum("n") / F.max("t")).alias("coverage"))
+    order = Window.partitionBy("community").orderBy(F.desc("d"), "node")  # each task keeps its top before the shuffle
+    best = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    members = best.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"].cast("string")), ";").alias("members"))
+    return kept.join(members, "community").crossJoin(F.broadcast(held)).select("community", "n", "share", "coverage", "members")
+
+
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
     """The Jaccard index of every two communities (node, label) of two partitions that share a node."""
     a, b = left.toDF("node", "a"), right.toDF("node", "b")

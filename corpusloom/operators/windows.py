@@ -45,15 +45,19 @@ def uneven_pairs(works: DataFrame, year: str, windows: Sequence[int], cut: int)
 PARTS = 256
 
 
-def equal_n(pairs: DataFrame, key: str, seed: int, most: int) -> DataFrame:
+def equal_n(pairs: DataFrame, key: str, seed: int, most: int, replicates: int | None = None) -> DataFrame:
     """The same number of works on both sides, at most `most`, chosen by a hash of seed, anchor, window and key: a sample that any engine can draw.
 
-    Each part of a side keeps its own `most` first, and only those are ranked together."""
-    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), "anchor", "window", F.col(key).cast("string")))
+    Each part of a side keeps its own `most` first, and only those are ranked together. replicates: so many samples, by replicate, of seeds one after the other."""
+    of = ["anchor", "window"] if replicates is None else ["anchor", "window", "replicate"]
     n = pairs.groupBy("anchor", "window").agg(F.least(F.count_if(F.col("side") == "before"), F.count_if(F.col("side") == "after"), F.lit(most)).alias("m"))
+    own = F.lit(seed)
+    if replicates is not None:
+        pairs, own = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), F.lit(seed) + F.col("replicate")
+    drawn = F.md5(F.concat_ws("|", own.cast("string"), "anchor", "window", F.col(key).cast("string")))
     part = pairs.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
-    part = top_per_group(part, most, [drawn, F.col(key)], "anchor", "window", "side", "part").drop("place", "part")
-    return top_per_group(part, most, [drawn, F.col(key)], "anchor", "window", "side").join(F.broadcast(n), ["anchor", "window"]).where("place <= m").drop("place", "m")
+    part = top_per_group(part, most, [drawn, F.col(key)], *of, "side", "part").drop("place", "part")
+    return top_per_group(part, most, [drawn, F.col(key)], *of, "side").join(F.broadcast(n), ["anchor", "window"]).where("place <= m").drop("place", "m")
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

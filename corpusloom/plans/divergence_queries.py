@@ -79,6 +79,12 @@ def gr_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(edges(spark, sf_dir), 5).select("node", F.round(C("rank") * 1000, 7).alias("rank"))
 
 
+@query("gr_pagerank_full")
+def gr_pagerank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks that have come to rest."""
+    return G.pagerank(edges(spark, sf_dir), 100, tolerance=1e-9)
+
+
 _LABELLED = f"{WHOLE}, l AS (SELECT a, b, x.label AS la, y.label AS lb FROM whole JOIN labels x ON a = x.node JOIN labels y ON b = y.node)"
 
 
@@ -108,6 +114,17 @@ def gr_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.meta_graph(whole(spark, sf_dir), brands(spark, sf_dir))
 
 
+@query(
+    "gr_meta_members",
+    f"""WITH {WHOLE}, d AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM whole UNION ALL SELECT b FROM whole) GROUP BY 1), l AS (SELECT node, label, d FROM d JOIN labels USING (node)), s AS (SELECT label, count(*) AS n, count(*) / (SELECT count(*) FROM l) AS share FROM l GROUP BY 1),
+    k AS (SELECT * FROM s WHERE share >= 0.04), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, node) AS r FROM l), m AS (SELECT label, string_agg(CAST(node AS VARCHAR), ';' ORDER BY r) AS members FROM r WHERE r <= 8 GROUP BY 1)
+    SELECT label AS community, n, round(share, 6) AS share, round((SELECT sum(n) FROM k) / (SELECT count(*) FROM l), 6) AS coverage, members FROM k JOIN m USING (label)""",
+)
+def gr_meta_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of some size: their share, how much they cover together, and their members of most edges."""
+    return G.meta_members(whole(spark, sf_dir), brands(spark, sf_dir), 0.04).withColumns({c: F.round(c, 6) for c in ("share", "coverage")})
+
+
 @query("gr_align", "WITH x AS (SELECT p_partkey AS node, p_brand AS a, p_type AS b FROM part), s AS (SELECT a, b, count(*) AS n FROM x GROUP BY 1, 2), p AS (SELECT a, count(*) AS p FROM x GROUP BY 1), q AS (SELECT b, count(*) AS q FROM x GROUP BY 1) SELECT a, b, round(n / (p + q - n), 6) AS jaccard FROM s JOIN p USING (a) JOIN q USING (b)")
 def gr_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

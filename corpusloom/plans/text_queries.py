@@ -48,6 +48,14 @@ def fn_norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.norm_text(C("text"))).alias("key"))
 
 
+@query("fn_norm_text_whole")
+def fn_norm_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fn_norm_text, with every entity and garbled characters repaired, over the pages' html and the documents' texts."""
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), C("doc_id").alias("id"), "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), C("page_id").alias("id"), C("html").alias("text"))
+    return d.unionByName(p).select("kind", "id", F.md5(T.norm_text_whole(C("text"))).alias("key"))
+
+
 @query(
     "fn_norm_lang",
     """WITH x AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN upper(lang) WHEN 1 THEN concat(lang, '-XX') WHEN 2 THEN 'eng' WHEN 3 THEN ' German ' WHEN 4 THEN 'xx' ELSE concat(lang, '_CA') END AS l FROM documents),
@@ -132,12 +140,12 @@ def fn_length_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(T.length_class(C("text")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-_PAIRS = "pairs AS (SELECT a.doc_id, substr(a.title, 1, 80) AS x, substr(b.title, 1, 80) AS y, a.author AS p, b.author AS q FROM works a JOIN works b ON b.doc_id = a.doc_id + 1)"
+_PAIRS = "pairs AS (SELECT a.doc_id, a.title AS x, b.title AS y, a.author AS p, b.author AS q FROM works a JOIN works b ON b.doc_id = a.doc_id + 1)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = works(spark, sf_dir)
-    return w.select("doc_id", F.substring("title", 1, 80).alias("x"), C("author").alias("p")).join(w.select((C("doc_id") - 1).alias("doc_id"), F.substring("title", 1, 80).alias("y"), C("author").alias("q")), "doc_id")
+    return w.select("doc_id", C("title").alias("x"), C("author").alias("p")).join(w.select((C("doc_id") - 1).alias("doc_id"), C("title").alias("y"), C("author").alias("q")), "doc_id")
 
 
 @query("fn_sim_seq", f"WITH {WORKS}, {_PAIRS} SELECT doc_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 6) AS similarity FROM pairs WHERE x = regexp_replace(x, '[^\\x00-\\x7f]', '', 'g') AND y = regexp_replace(y, '[^\\x00-\\x7f]', '', 'g')")

@@ -150,8 +150,12 @@ def win_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).groupBy("status").agg(F.max_by("year", "value").alias("peak"), F.round(F.max("value") - F.min("value"), 4).alias("spread"))
 
 
-@query("rs_sub", f"""WITH {PAIRS}, n AS (SELECT anchor, "window", least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after'), 2000) AS m FROM pairs GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY anchor, "window", side ORDER BY md5(concat('42|', anchor, '|', "window", '|', vec_id)), vec_id) AS r FROM pairs)
-  SELECT anchor, "window", side, vec_id FROM r JOIN n USING (anchor, "window") WHERE r <= m""")
+@query(
+    "rs_sub",
+    f"""WITH {PAIRS}, n AS (SELECT anchor, "window", least(count(*) FILTER (WHERE side = 'before'), count(*) FILTER (WHERE side = 'after'), 2000) AS m FROM pairs GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY replicate, anchor, "window", side ORDER BY md5(concat(42 + replicate, '|', anchor, '|', "window", '|', vec_id)), vec_id) AS r FROM pairs, (SELECT CAST(unnest(range(20)) AS INTEGER) AS replicate))
+  SELECT replicate, anchor, "window", side, vec_id FROM r JOIN n USING (anchor, "window") WHERE r <= m""",
+)
 def rs_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, 2000).select("anchor", "window", "side", "vec_id")
+    """Twenty samples of equal number on both sides of each pair."""
+    return W.equal_n(pairs(spark, sf_dir), "vec_id", 42, 2000, 20).select("replicate", "anchor", "window", "side", "vec_id")

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import divergence as D
 from corpusloom.operators import kernels, language
@@ -152,3 +153,34 @@ def test_language_by_grams(spark):
 def test_language_of_held_out_documents(spark):
     rows = [r for r in catalog.QUERIES["fn_detect_lang"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert len(rows) > 200 and np.mean([r.lang == r.detected for r in rows]) >= 0.95
+
+
+def test_pagerank_comes_to_rest(spark):
+    from corpusloom.operators import graph
+
+    rng = np.random.default_rng(5)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 20, (60, 2)) if a != b})
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame(edges, "src long, ref long"), 200, tolerance=1e-12).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    m = np.zeros((len(nodes), len(nodes)))
+    for a, b in edges:
+        m[nodes.index(b), nodes.index(a)] = 1
+    m[:, m.sum(axis=0) == 0] = 1
+    m /= m.sum(axis=0)
+    r = np.linalg.solve(np.eye(len(nodes)) - 0.85 * m, np.full(len(nodes), 0.15 / len(nodes)))
+    assert [got[v] for v in nodes] == pytest.approx(r, abs=1e-9)
+
+
+def test_texts_are_repaired(spark):
+    from corpusloom.functions import text as T
+
+    plain = ["é à ç", "it’s — “so”", "Zürich €5 ß", "naïve œuvre", "日本 и русский", "a & b < c", "Âme Ã", "plain"]
+    garbled = [t.encode().decode("latin-1") for t in plain]
+    for want, bad in zip(plain[:-2], garbled[:-2], strict=True):
+        assert T.repair(bad) == want
+    assert T.repair("it’s é".encode().decode("cp1252")) == "it’s é" and T.repair("é".encode().decode("latin-1").encode().decode("latin-1")) == "é"
+    assert T.repair("Âme Ã plain café") == "Âme Ã plain café"
+    assert T.repair("&amp;#43; &amp;eacute; &nbsp;&hellip; &Aacute;") == "+ é  … Á"
+    rows = [(1, "a\\nb &amp;lt; ​c   d"), (2, None), (3, ""), (4, "cafÃ©  x\ty"), (5, "  ")]
+    got = {r.id: r.t for r in spark.createDataFrame(rows, "id long, t string").select("id", T.norm_text_whole(F.col("t")).alias("t")).collect()}
+    assert got == {1: "a b < c d", 2: "", 3: "", 4: "café x y", 5: ""}
