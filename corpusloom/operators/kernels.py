@@ -511,23 +511,28 @@ def rewire(pairs: np.ndarray, swaps: int, rng: np.random.Generator) -> np.ndarra
     return np.stack([left, right], axis=1)
 
 
+#: Rewired graphs that one task draws, so that the edges travel once for so many.
+GRAPHS = 25
+
+
 def rewiring_null(edges: DataFrame, labels: DataFrame, replicates: int = 100, seed: int = 42, factor: int = 10) -> DataFrame:
-    """One row: the share of edges within a label, its mean and sample deviation over rewired graphs, z and p. Each replicate is a group of its own,
-    holding the graph of labelled nodes, which is chosen beforehand."""
+    """One row: the share of edges within a label, its mean and sample deviation over rewired graphs, z and p. A task holds the graph of labelled nodes, which is chosen
+    beforehand, once for GRAPHS replicates; each replicate has a random stream of its own."""
     from pyspark.sql import functions as F
 
     e = edges.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-    each = e.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    each = e.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(replicates // GRAPHS))))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["a", "b"])
-        named, e = pd.concat([rows[["a", "la"]].set_axis(["node", "label"], axis=1), rows[["b", "lb"]].set_axis(["node", "label"], axis=1)]).drop_duplicates("node").set_index("node")["label"], rows[["a", "b"]].to_numpy()
-        label = pd.Series(pd.factorize(named)[0], index=named.index)
-        if key[0]:
-            e = rewire(e, factor * len(e), _rng(seed, *key))
-        return pd.DataFrame({"replicate": [key[0]], "share": [float((label.loc[e[:, 0]].to_numpy() == label.loc[e[:, 1]].to_numpy()).mean())]})
-
-    s = each.groupBy("replicate").applyInPandas(run, "replicate int, share double")
+        named, whole = pd.concat([rows[["a", "la"]].set_axis(["node", "label"], axis=1), rows[["b", "lb"]].set_axis(["node", "label"], axis=1)]).drop_duplicates("node").set_index("node")["label"], rows[["a", "b"]].to_numpy()
+        label, out = pd.Series(pd.factorize(named)[0], index=named.index), []
+        for r in range(GRAPHS * key[0], min(GRAPHS * (key[0] + 1), replicates + 1)):
+            e = rewire(whole, factor * len(whole), _rng(seed, r)) if r else whole
+            out.append((r, float((label.loc[e[:, 0]].to_numpy() == label.loc[e[:, 1]].to_numpy()).mean())))
+        return pd.DataFrame(out, columns=["replicate", "share"])
+
+    s = each.groupBy("chunk").applyInPandas(run, "replicate int, share double")
     observed, null = F.max(F.when(F.col("replicate") == 0, F.col("share"))), F.when(F.col("replicate") > 0, F.col("share"))
     r = s.agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_std"), F.collect_list(null).alias("n"))
     p = (F.size(F.filter("n", lambda x: x >= F.col("observed"))) + 1) / (F.size("n") + 1)

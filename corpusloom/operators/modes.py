@@ -73,16 +73,10 @@ def null_dips(sizes: DataFrame, replicates: int, seed: int = 42, chunk: int = 25
 def told(rows: DataFrame, value: str, by: Sequence[str], parts: int = PARTS) -> DataFrame:
     """by, n and the parts of each group's values: part, x (its greatest value) and c (its rows). Null values are left out."""
     by = list(by)
-    r = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("x"), F.monotonically_increasing_id().alias("tie"))
-    placed = windows.numbered(graph.settle(r), [*(F.col(c) for c in by), F.col("x"), F.col("tie")], "place")
-    placed = graph.settle(placed)
-    ends = placed.groupBy(*by).agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    part = F.when(F.col("n") <= parts, F.col("place") - F.col("first")).otherwise(F.floor((F.col("place") - F.col("first")) / F.col("n") * parts)).cast("long")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}"))
-    met = placed.alias("p").join(ends.alias("e"), same).select(*(F.col(f"p.{c}") for c in by), "e.n", part.alias("part"), "p.x")
-    return met.groupBy(*by, "n", "part").agg(F.max("x").alias("x"), F.count("*").alias("c"))
+    x = F.col(value).cast("double")
+    placed = windows.ranked(rows.where(~F.isnan(x)).select(*by, x.alias("x")), "x", *by)
+    part = F.when(F.col("n") <= parts, F.col("place") - 1).otherwise(F.floor((F.col("place") - 1) / F.col("n") * parts)).cast("long")
+    return placed.groupBy(*by, "n", part.alias("part")).agg(F.max("x").alias("x"), F.count("*").alias("c"))
 
 
 def dips(rows: DataFrame, value: str, by: Sequence[str], replicates: int = 400, least: int = 20, seed: int = 42, parts: int = PARTS) -> DataFrame:

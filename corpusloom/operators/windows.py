@@ -102,13 +102,26 @@ def interpolate(series: DataFrame, year: str, value: str, *by: str) -> DataFrame
     return out.withColumn(value, F.coalesce(F.col(value), line, F.col("p.v"), F.col("q.v"))).drop("p", "q")
 
 
+def ranked(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, the value, place (from 1 within the group, ties in any order) and n (the group's rows) of every row whose value is known. Places are told by ranges of the whole
+    order, so no task sorts a whole group."""
+    r = df.where(F.col(value).isNotNull()).select(*by, value, F.monotonically_increasing_id().alias("tie"))
+    placed = settle(numbered(settle(r), [*(F.col(c) for c in by), F.col(value), F.col("tie")], "place"))
+    ends = placed.groupBy(*by).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}"))
+    met = placed.alias("p").join(ends.alias("e"), same)
+    return met.select(*(F.col(f"p.{c}") for c in by), F.col(f"p.{value}"), (F.col("p.place") - F.col("e.first") + 1).alias("place"), "e.n")
+
+
 def trimmed(df: DataFrame, value: str, trim: int, *by: str) -> DataFrame:
     """lo, hi and median of each group's values without so many at either end; of groups of no more than twice that, of all."""
-    s = df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("s"))
-    s = s.withColumn("s", F.when(F.size("s") > 2 * trim, F.slice("s", F.lit(trim + 1), F.size("s") - 2 * trim)).otherwise(F.col("s")))
-    n = F.size("s")
-    middle = (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", F.floor(n / 2).cast("int") + 1)) / 2
-    return s.select(*by, F.element_at("s", 1).alias("lo"), F.element_at("s", -1).alias("hi"), middle.alias("median"))
+    cut = F.when(F.col("n") > 2 * trim, trim).otherwise(0)
+    m = F.col("n") - 2 * cut
+    at = lambda place: F.max(F.when(F.col("place") == cut + place, F.col(value)))
+    middle = (at(F.floor((m + 1) / 2)) + at(F.floor(m / 2) + 1)) / 2
+    return ranked(df, value, *by).groupBy(*by).agg(at(F.lit(1)).alias("lo"), at(m).alias("hi"), middle.alias("median"))
 
 
 def islands(df: DataFrame, year: str) -> DataFrame:
