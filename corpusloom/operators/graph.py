@@ -21,6 +21,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session's shuffles have: for groups of few bytes and much work, which adaptive execution would put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def symmetric(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distinct (a, b) in both directions, without loops."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")

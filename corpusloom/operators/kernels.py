@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from corpusloom.functions import special
+from corpusloom.operators import graph
 
 PAIR = ["anchor", "window"]
 
@@ -512,7 +513,7 @@ def rewire(pairs: np.ndarray, swaps: int, rng: np.random.Generator) -> np.ndarra
 
 
 #: Rewired graphs that one task draws, so that the edges travel once for so many.
-GRAPHS = 25
+GRAPHS = 8
 
 
 def rewiring_null(edges: DataFrame, labels: DataFrame, replicates: int = 100, seed: int = 42, factor: int = 10) -> DataFrame:
@@ -532,7 +533,7 @@ def rewiring_null(edges: DataFrame, labels: DataFrame, replicates: int = 100, se
             out.append((r, float((label.loc[e[:, 0]].to_numpy() == label.loc[e[:, 1]].to_numpy()).mean())))
         return pd.DataFrame(out, columns=["replicate", "share"])
 
-    s = each.groupBy("chunk").applyInPandas(run, "replicate int, share double")
+    s = graph.spread(each, "chunk").groupBy("chunk").applyInPandas(run, "replicate int, share double")
     observed, null = F.max(F.when(F.col("replicate") == 0, F.col("share"))), F.when(F.col("replicate") > 0, F.col("share"))
     r = s.agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_std"), F.collect_list(null).alias("n"))
     p = (F.size(F.filter("n", lambda x: x >= F.col("observed"))) + 1) / (F.size("n") + 1)
@@ -771,7 +772,7 @@ def sparse_permutation(pairs: DataFrame, key: str, width: int, rounds: int = 500
         values = _js_rows((whole - after) / (len(label) - late), after / late)
         return pd.DataFrame({"anchor": pair[0], "window": pair[1], "observed": values[0], "value": values[1:]})
 
-    each = _rounds(pairs, rounds).groupBy(*PAIR, "chunk").applyInPandas(run, "anchor long, window int, observed double, value double")
+    each = graph.spread(_rounds(pairs, rounds), *PAIR, "chunk").groupBy(*PAIR, "chunk").applyInPandas(run, "anchor long, window int, observed double, value double")
     sd = F.stddev_pop("value")
     out = each.groupBy(*PAIR).agg(F.max("observed").alias("observed"), F.avg("value").alias("null_mean"), sd.alias("null_std"), (F.count_if(F.col("value") >= F.col("observed")) / F.count("*")).alias("p_value"))
     z = F.when(F.col("null_std") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).otherwise(0.0)
@@ -790,5 +791,5 @@ def shift_limits(works: DataFrame, key: str, width: int, rounds: int = 1000, see
         after = drawn @ dense
         return pd.DataFrame({"top": np.abs(after / late - (dense.sum(axis=0) - after) / (len(label) - late)).max(axis=1)})
 
-    tops = _rounds(works, rounds).groupBy("chunk").applyInPandas(run, "top double")
+    tops = graph.spread(_rounds(works, rounds), "chunk").groupBy("chunk").applyInPandas(run, "top double")
     return tops.agg(F.percentile("top", F.lit(0.95)).alias("p95"), F.percentile("top", F.lit(0.99)).alias("p99"))

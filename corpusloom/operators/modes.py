@@ -67,7 +67,7 @@ def null_dips(sizes: DataFrame, replicates: int, seed: int = 42, chunk: int = 25
         n = min(chunk, replicates - chunk * int(key[1]))
         return pd.DataFrame({"size": key[0], "dip": [dip(rng.random(int(key[0]))) for _ in range(n)]})
 
-    return parts.groupBy("size", "chunk").applyInPandas(sample, "size long, dip double")
+    return graph.spread(parts, "size", "chunk").groupBy("size", "chunk").applyInPandas(sample, "size long, dip double")
 
 
 def told(rows: DataFrame, value: str, by: Sequence[str], parts: int = PARTS) -> DataFrame:

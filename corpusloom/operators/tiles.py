@@ -46,7 +46,7 @@ def per_tile(rows: DataFrame, group: str, f: Callable[[pd.DataFrame, pd.DataFram
 
     dealt, keys = _pairs_of_blocks(rows, group, n_rows)
     kind = dict(rows.dtypes)[group]
-    return dealt.groupBy(*keys).applyInPandas(run, f"ga {kind}, gb {kind}, {schema}")
+    return graph.spread(dealt, *keys).groupBy(*keys).applyInPandas(run, f"ga {kind}, gb {kind}, {schema}")
 
 
 def drawn(rows: DataFrame, group: str, replicates: int, most: int | None, seed: int = 42) -> DataFrame:
