@@ -533,7 +533,7 @@ def rewiring_null(edges: DataFrame, labels: DataFrame, replicates: int = 100, se
             out.append((r, float((label.loc[e[:, 0]].to_numpy() == label.loc[e[:, 1]].to_numpy()).mean())))
         return pd.DataFrame(out, columns=["replicate", "share"])
 
-    s = graph.spread(each, "chunk").groupBy("chunk").applyInPandas(run, "replicate int, share double")
+    s = each.repartition(replicates // GRAPHS + 1, "chunk").groupBy("chunk").applyInPandas(run, "replicate int, share double")
     observed, null = F.max(F.when(F.col("replicate") == 0, F.col("share"))), F.when(F.col("replicate") > 0, F.col("share"))
     r = s.agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_std"), F.collect_list(null).alias("n"))
     p = (F.size(F.filter("n", lambda x: x >= F.col("observed"))) + 1) / (F.size("n") + 1)
