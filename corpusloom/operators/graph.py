@@ -4,23 +4,36 @@ undoes more than one step."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vector as V
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir; where that is unset in one process, to a temporary one, and on a cluster that is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset in one process, a temporary one, and on a cluster that is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder as a table and read again: for loops of many rounds, in which checkpoints hand on ever more constraints of columns to the optimizer."""
+    path = f"{shared_folder(df.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys to as many tasks as the session's shuffles have: for groups of few bytes and much work, which adaptive execution would put into one task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
