@@ -46,3 +46,20 @@ def test_power_iteration_holds_no_graph_in_memory(spark, monkeypatch):
 
     monkeypatch.setattr(PowerIterationClustering, "assignClusters", lambda *a: pytest.fail("a graph of objects"))
     assert clusters.spectral(spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (4, 3, 1.0)], "a long, b long, n double"), 2).count() == 4
+
+
+def test_shuffles_grow_with_the_table(spark, monkeypatch):
+    from corpusloom.plans import session, standins
+
+    sf, keys = "/root/testdata/sf0.001", ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        small = {tuple(r) for r in graph.degrees(standins.edges(spark, sf)).collect()}
+        assert spark.conf.get(keys[0]) == before[0]
+        monkeypatch.setattr(session, "ROWS", 500)
+        df = graph.degrees(standins.edges(spark, sf))
+        assert int(spark.conf.get(keys[0])) >= spark.read.parquet(f"{sf}/lineitem.parquet").count() / 500 > int(before[0])
+        assert {tuple(r) for r in df.collect()} == small
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
