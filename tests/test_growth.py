@@ -63,3 +63,21 @@ def test_shuffles_grow_with_the_table(spark, monkeypatch):
     finally:
         for k, v in zip(keys, before, strict=True):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_shuffled_is_a_permutation():
+    for n in (1, 2, 3, 17, 1000):
+        one, two = (kernels.shuffled(np.arange(n), n, np.random.default_rng(s).integers(0, 2**62, 6)) for s in (1, 2))
+        assert sorted(one) == list(range(n)) and (n < 17 or (one != two).any())
+
+
+def test_entropy_permutation(spark):
+    rng = np.random.default_rng(4)
+    rows = [(2000, 1, "before", s, 100 + int(r)) for s in range(60) for r in rng.integers(0, 4, 5)] + [(2000, 1, "after", 50 + s, 100 + int(r)) for s in range(60) for r in rng.integers(0, 60, 5)]
+    rows += [(2001, 1, side, (0 if side == "before" else 500) + s, 900 + int(r)) for side in ("before", "after") for s in range(60) for r in rng.integers(0, 30, 5)]
+    df = spark.createDataFrame(rows, SIDED)
+    assert "FlatMapGroupsInPandas" not in plan(kernels.entropy_permutation(df, 3))
+    got, old = ({r.anchor: r for r in f(df).orderBy("anchor").collect()} for f in (lambda d: kernels.entropy_permutation(d, 70), lambda d: kernels.graph_permutation(d, kernels.degree_entropy, 70)))
+    for anchor in (2000, 2001):
+        assert got[anchor].observed == pytest.approx(old[anchor].observed, abs=1e-12)
+        assert abs(got[anchor].null_mean - old[anchor].null_mean) < (got[anchor].null_std + old[anchor].null_std) / 2 and 0.5 < got[anchor].null_std / old[anchor].null_std < 2
