@@ -81,3 +81,18 @@ def test_entropy_permutation(spark):
     for anchor in (2000, 2001):
         assert got[anchor].observed == pytest.approx(old[anchor].observed, abs=1e-12)
         assert abs(got[anchor].null_mean - old[anchor].null_mean) < (got[anchor].null_std + old[anchor].null_std) / 2 and 0.5 < got[anchor].null_std / old[anchor].null_std < 2
+
+
+def test_the_sweep_meets_in_tiles(spark, monkeypatch):
+    from corpusloom.operators import windows
+    from corpusloom.plans import catalog, kernel_queries
+
+    sf = "/root/testdata/sf0.001"
+    v = clusters.project(kernel_queries.vectors(spark, sf).select("vec_id", "year", "v"), "v", 32)
+    p = windows.sliding_pairs(v, "year", (2,)).select("anchor", "side", "vec_id", "projected").toPandas()
+    monkeypatch.setattr(kernels, "by_pair", lambda *a: pytest.fail("a window pair's rows in one task"))
+    got = {(r.anchor, r.dims): r.value for r in catalog.QUERIES["ml_pca_sweep"](spark, sf).collect()}
+    assert set(got) == {(a, d) for a in set(p["anchor"]) for d in (8, 32)}
+    for (anchor, dims), value in got.items():
+        x, y = (np.array(p.loc[(p["anchor"] == anchor) & (p["side"] == s), "projected"].tolist())[:, :dims] for s in ("before", "after"))
+        assert value == pytest.approx(kernels.energy(x, y), abs=1e-7)
