@@ -96,3 +96,29 @@ def test_the_sweep_meets_in_tiles(spark, monkeypatch):
     for (anchor, dims), value in got.items():
         x, y = (np.array(p.loc[(p["anchor"] == anchor) & (p["side"] == s), "projected"].tolist())[:, :dims] for s in ("before", "after"))
         assert value == pytest.approx(kernels.energy(x, y), abs=1e-7)
+
+
+def test_disruption_lists_no_pair_of_a_refs_citers(spark, monkeypatch):
+    from corpusloom.operators import divergence as D
+
+    rng = np.random.default_rng(6)
+    loose = sorted({(int(a), int(b)) for a, b in rng.integers(0, 25, (160, 2))})  # with loops, both directions and many shared refs
+    refs = {v: {b for a, b in loose if a == v} for v in range(25)}
+    citers = {v: {a for a, b in loose if b == v} for v in range(25)}
+    want = {}
+    for v in range(25):
+        far = set().union(*(citers[r] for r in refs[v])) - {v} if refs[v] else set()
+        j, n = len(citers[v] & far), len(citers[v] | far)
+        if n:
+            want[v] = (len(citers[v]) - 2 * j) / n
+    df = spark.createDataFrame(loose, "src long, ref long")
+    ways = D._citers_by_source, D._citers_by_ref
+    for way in ways:
+        monkeypatch.setattr(D, "_citers_by_source", way)
+        monkeypatch.setattr(D, "_citers_by_ref", way)
+        assert {r.node: r.cd for r in D.disruption(df, alone=True).collect()} == pytest.approx(want)
+        assert {r.node: r.cd for r in D.disruption(df).collect()} == pytest.approx({v: x for v, x in want.items() if refs[v] and citers[v]})
+    monkeypatch.setattr(D, "_citers_by_source", ways[0])
+    monkeypatch.setattr(D, "_citers_by_ref", lambda e: pytest.fail("every two of 300 citers listed"))
+    star = spark.createDataFrame([(i, 0) for i in range(1, 301)] + [(i, -1) for i in range(1, 9)], "src long, ref long")
+    assert D.disruption(star, alone=True).count() == 302
