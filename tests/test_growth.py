@@ -122,3 +122,28 @@ def test_disruption_lists_no_pair_of_a_refs_citers(spark, monkeypatch):
     monkeypatch.setattr(D, "_citers_by_ref", lambda e: pytest.fail("every two of 300 citers listed"))
     star = spark.createDataFrame([(i, 0) for i in range(1, 301)] + [(i, -1) for i in range(1, 9)], "src long, ref long")
     assert D.disruption(star, alone=True).count() == 302
+
+
+def test_swaps_at_once_reach_every_graph_alike():
+    rng = np.random.default_rng(0)
+    ring = np.array([(i, (i + 1) % 6) for i in range(6)])  # 60 rings and 10 pairs of triangles have its degrees
+    seen = pd.Series([tuple(sorted(tuple(sorted(x)) for x in kernels.rewire(ring, 90, rng).tolist())) for _ in range(3500)]).value_counts()
+    assert len(seen) == 70 and ((seen - 50) ** 2 / 50).sum() < 69 + 4 * (2 * 69) ** 0.5
+    sided = kernels.rewire(np.array([(i, 100 + j) for i in range(9) for j in range(9) if (i + j) % 3]), 500, rng, True)
+    assert (sided[:, 0] < 100).all() and (sided[:, 1] >= 100).all()
+
+
+def test_rewiring_in_cells(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    e = np.unique(np.sort(rng.integers(0, 150, (1500, 2)), axis=1), axis=0)
+    e = e[e[:, 0] != e[:, 1]]
+    df = spark.createDataFrame(e.tolist(), "a long, b long")
+    monkeypatch.setattr(kernels, "CELL", 200)
+    rewired = kernels.rewired(df)
+    assert plan(rewired).count("FlatMapGroupsInPandas") >= kernels.DEALS
+    r = np.array([(x.a, x.b) for x in rewired.collect()])
+    assert (np.bincount(r.ravel(), minlength=150) == np.bincount(e.ravel(), minlength=150)).all()
+    got = np.unique(np.sort(r, axis=1), axis=0)
+    assert len(got) == len(e) and (r[:, 0] != r[:, 1]).all()
+    common = lambda x: len({tuple(p) for p in x.tolist()} & {tuple(p) for p in e.tolist()}) / len(e)
+    assert common(got) < 1.5 * common(np.sort(kernels.rewire(e, 10 * len(e), rng), axis=1))
