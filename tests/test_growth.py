@@ -147,3 +147,21 @@ def test_rewiring_in_cells(spark, monkeypatch):
     assert len(got) == len(e) and (r[:, 0] != r[:, 1]).all()
     common = lambda x: len({tuple(p) for p in x.tolist()} & {tuple(p) for p in e.tolist()}) / len(e)
     assert common(got) < 1.5 * common(np.sort(kernels.rewire(e, 10 * len(e), rng), axis=1))
+
+
+def test_rewiring_takes_steps_not_single_swaps():
+    class Counted:
+        def __init__(self):
+            self.rng, self.steps = np.random.default_rng(2), 0
+
+        def permutation(self, n):
+            self.steps += 1
+            return self.rng.permutation(n)
+
+        def random(self, n):
+            return self.rng.random(n)
+
+    rng = Counted()
+    e = np.array([(i, i + d) for i in range(5000) for d in (1, 3)])
+    r = kernels.rewire(e, 10 * len(e), rng)
+    assert rng.steps == 20 and (np.bincount(r.ravel()) == np.bincount(e.ravel())).all()
