@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import quality_flags as Q
+from corpusloom.operators.graph import spread
 from corpusloom.plans.flag_queries import FLAGGED, flagged
 from corpusloom.plans.registry import query
 from corpusloom.plans.session import table
@@ -127,7 +128,8 @@ def src_wb_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src_tei", "SELECT p_partkey, CASE WHEN p_size > 20 THEN p_name ELSE p_brand END AS title, 'Sur' AS author, CAST(1990 + p_size AS VARCHAR) AS year, CASE WHEN p_size > 20 THEN p_brand END AS journal, concat('10.1/t', p_partkey) AS doi FROM part")
 def src_tei(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = "concat('<biblStruct>', CASE WHEN p_size > 20 THEN concat('<analytic><title>', p_name, '</title></analytic>') ELSE '' END, '<monogr><author><surname>Sur</surname></author><title>', p_brand, '</title><imprint><date when=\"', 1990 + p_size, '-01\"/></imprint></monogr><idno type=\"DOI\">10.1/T', p_partkey, '</idno></biblStruct>')"
-    return table(spark, sf_dir, "part").select("p_partkey", R.parse_tei(F.expr(xml)).alias("r")).select("p_partkey", "r.*")
+    part = spread(table(spark, sf_dir, "part"), "p_partkey")  # a file of few bytes is one task, and a record costs a millisecond
+    return part.select("p_partkey", R.parse_tei(F.expr(xml)).alias("r")).select("p_partkey", "r.*")
 
 
 @query("src_teaching", "WITH r AS (SELECT c_nationkey, concat('10.4/', c_custkey % 200) AS k, min(c_name) OVER (PARTITION BY c_custkey % 200) AS x FROM customer) SELECT k AS key, string_agg(DISTINCT concat('U', c_nationkey), ' ; ' ORDER BY concat('U', c_nationkey)) AS institutions, count(DISTINCT c_nationkey) AS n FROM r GROUP BY k")

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import clusters, graph, kernels
 
@@ -165,3 +166,10 @@ def test_rewiring_takes_steps_not_single_swaps():
     e = np.array([(i, i + d) for i in range(5000) for d in (1, 3)])
     r = kernels.rewire(e, 10 * len(e), rng)
     assert rng.steps == 20 and (np.bincount(r.ravel()) == np.bincount(e.ravel())).all()
+
+
+def test_records_are_parsed_in_many_tasks(spark):
+    from corpusloom.plans import catalog
+
+    df = catalog.QUERIES["src_tei"](spark, "/root/testdata/sf0.001")
+    assert len({r[0] for r in df.groupBy(F.spark_partition_id()).count().collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
