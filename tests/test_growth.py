@@ -173,3 +173,9 @@ def test_records_are_parsed_in_many_tasks(spark):
 
     df = catalog.QUERIES["src_tei"](spark, "/root/testdata/sf0.001")
     assert len({r[0] for r in df.groupBy(F.spark_partition_id()).count().collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_components_compute_each_round_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "settle", lambda df: pytest.fail("a checkpoint, whose last stage is computed twice"))
+    got = graph.components(spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 9), (7, 7)], "a long, b long"))
+    assert {(r.node, r.component) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 4)}
