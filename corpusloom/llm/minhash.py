@@ -154,7 +154,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s[a:e].tobytes() for a, e in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
 
     docs, schema = docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, shingles binary"
-    if not fits(n):
+    if not n or not fits(n):
         return docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: map(sets, batches(it)), schema).dropDuplicates(["doc_id"])
     n_bits = bits_for(n)
     bits = docs.sparkSession.sparkContext.broadcast(build(wanted, lambda b: _hash_ids(b.column("doc_id").to_pylist()), n_bits)[0])
