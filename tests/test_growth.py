@@ -179,3 +179,22 @@ def test_components_compute_each_round_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "settle", lambda df: pytest.fail("a checkpoint, whose last stage is computed twice"))
     got = graph.components(spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 9), (7, 7)], "a long, b long"))
     assert {(r.node, r.component) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 4)}
+
+
+def test_repeated_codes():
+    rng = np.random.default_rng(3)
+    codes = np.concatenate([rng.integers(0, 2**62, 200_000), np.arange(500), np.arange(100)])
+    inverse = pow(0x9E3779B97F4A7C15, -1, 2**64)
+    same = np.array([(h * inverse) % 2**64 for h in (1, 2, 3)], np.uint64).view(np.int64)  # other codes of one hash in 32 bits
+    codes = np.concatenate([codes, same])
+    n = pd.Series(codes).map(pd.Series(codes).value_counts()).to_numpy()
+    assert (kernels._repeated(codes) == (n > 1)).all() and not kernels._repeated(np.array([], np.int64)).any()
+
+
+def test_the_rewiring_null_numbers_its_nodes_once(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "rewire", lambda *a: pytest.fail("nodes numbered anew for each graph"))
+    rng = np.random.default_rng(5)
+    e = np.unique(np.sort(rng.integers(0, 60, (300, 2)), axis=1), axis=0)
+    e = e[e[:, 0] != e[:, 1]]
+    r = kernels.rewiring_null(spark.createDataFrame(e.tolist(), "a long, b long"), spark.createDataFrame([(i, f"l{i % 4}") for i in range(60)], "node long, label string"), 30).first()
+    assert r.observed == pytest.approx((e[:, 0] % 4 == e[:, 1] % 4).mean()) and abs(r.null_mean - 0.25) < 0.05
