@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import counting, graph
 from corpusloom.operators import divergence as D
 
 #: Candidates of a cluster, and words of its label.
 PAIRS, WORDS, MOST = 20, 30, 10
 
 
-def terms(docs: DataFrame, key: str, text: Column, stops: list[str], word: str = r"[\p{L}\p{N}_]{2,}") -> DataFrame:
-    """key and term: a text's words without stop words, and each two that then stand side by side; one row an occurrence."""
-    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)), lambda w: ~w.isin(list(stops)))
-    each = docs.where(text.isNotNull()).select(key, kept.alias("w"))
-    pairs = F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', try_element_at(w, i), try_element_at(w, i + 1)))")
-    both = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    return each.select(key, F.explode(both).alias("term"))
+def terms(docs: DataFrame, key: str, text: Column, stops: list[str], word: str = r"\w{2,}") -> DataFrame:
+    """key, term and n: how often a key's texts have each word, without stop words, and each two that then stand side by side."""
+    away = frozenset(stops)
+
+    def found() -> Callable[[str], Counter]:
+        find = re.compile(word).findall
+
+        def tell(t: str) -> Counter:
+            w = [x for x in find(t) if x not in away]
+            return Counter(w + list(map(" ".join, itertools.pairwise(w))))
+
+        return tell
+
+    return counting.counts(docs, key, text, found, counting.once(docs.where(text.isNotNull()), key))
 
 
 def known(each: DataFrame, key: str, n_docs: int, least: int, share: float = 0.8, most: int = 8000) -> DataFrame:
-    """The terms that stand in least documents at least and in no more than a share of them: the most frequent, of equal ones the first."""
-    n = each.groupBy(key, "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
-    return n.where((F.col("df") >= least) & (F.col("df") <= share * n_docs)).orderBy(F.desc("n"), "term").limit(most).select("term")
+    """The terms, with df, that stand in least documents at least and in no more than a share of them: the most frequent, of equal ones the first."""
+    n = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    return graph.settle(n.where((F.col("df") >= least) & (F.col("df") <= share * n_docs)).orderBy(F.desc("n"), "term").limit(most).select("term", "df"))
 
 
 def fold(candidates: list[tuple[str, float]], most: int = MOST) -> list[str]:
@@ -64,13 +77,13 @@ def fold(candidates: list[tuple[str, float]], most: int = MOST) -> list[str]:
 
 
 def labels(works: DataFrame, each: DataFrame, names: DataFrame, key: str, cluster: str) -> DataFrame:
-    """cluster and label (parts joined by ' / ', empty if no term tells it apart) of works (key, cluster), from occurrences each (key, term) of the terms names.
+    """cluster and label (parts joined by ' / ', empty if no term tells it apart) of works (key, cluster), from the counts each (key, term, n) of the terms names.
 
     A term's score is its mean weight in a cluster beyond that in all works. To a cluster's task come its candidates and the pairs of them, some 1,000 rows at most.
     Works without a cluster count in the corpus alone.
     """
-    weights = D.tfidf(each.join(F.broadcast(names), "term", "left_semi"), key, "term", works.select(key))
     n = works.count()
+    weights = D.unit_weights(each.join(F.broadcast(names), "term").select(key, "term", ((1 + F.ln("n")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w")), key, "term")
     size = works.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"))
     sums = works.join(weights, key).groupBy(cluster, "term").agg(F.sum("w").alias("s"))
     whole = sums.groupBy("term").agg(F.sum("s").alias("t"))
