@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vocabulary import STOPS
-from corpusloom.operators import counting, labels
+from corpusloom.operators import counting, labels, language
 from corpusloom.operators import divergence as D
 from corpusloom.plans import divergence_queries as Q
 
@@ -71,3 +71,7 @@ def test_terms_of_labels_are_counted(spark):
     df = spark.createDataFrame([(1, "b a b a b"), (2, "a")], "id long, t string")
     each = labels.terms(df, "id", F.col("t"), [], r"\w+")
     assert "Generate" not in plan(each) and {tuple(r) for r in each.collect()} == {(1, "b", 3), (1, "a", 2), (1, "b a", 2), (1, "a b", 2), (2, "a", 1)}
+
+
+def test_words_of_languages_are_counted_where_texts_are_read(spark):
+    assert "Exchange" not in plan(language.words(spark.createDataFrame([(1, "b a b")], "id long, t string"), "id", "t"))
