@@ -198,3 +198,16 @@ def test_the_rewiring_null_numbers_its_nodes_once(spark, monkeypatch):
     e = e[e[:, 0] != e[:, 1]]
     r = kernels.rewiring_null(spark.createDataFrame(e.tolist(), "a long, b long"), spark.createDataFrame([(i, f"l{i % 4}") for i in range(60)], "node long, label string"), 30).first()
     assert r.observed == pytest.approx((e[:, 0] % 4 == e[:, 1] % 4).mean()) and abs(r.null_mean - 0.25) < 0.05
+
+
+def test_equal_sets_meet_once(spark, monkeypatch):
+    from corpusloom.operators import resolve
+
+    written, settle = [], graph.settle
+    monkeypatch.setattr(resolve.graph, "settle", lambda df: written.append(settle(df)) or written[-1])
+    rows = [(i, ("a b c d", "d c b a", "a b c d e", "x y")[i % 4]) for i in range(40)] + [(40, "a b c"), (41, ""), (42, None)]
+    got = {(r.a, r.b): r.jaccard for r in resolve.similar_pairs(spark.createDataFrame(rows, "id long, t string"), "id", F.split("t", " "), 0.7).collect()}
+    sets = {i: set(t.split()) for i, t in rows if t}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert got == pytest.approx({p: j for p, j in want.items() if j >= 0.7})
+    assert min(df.count() for df in written) == 4  # of 41 rows with words, the sets that are compared
