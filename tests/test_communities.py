@@ -45,3 +45,17 @@ def test_loops_count_twice_in_one_task():
     for n, together in ((2.5, True), (1.5, False)):
         got = kernels.louvain(pd.DataFrame([(0, 0, 1), (1, 1, 1), (0, 1, n)], columns=["a", "b", "n"]))
         assert (got[0] == got[1]) == together
+
+
+def test_graphs_of_some_size_take_no_rounds(spark, monkeypatch):
+    """120,000 edges, which took rounds of joins: four planted groups are found in one task, which looks again only at nodes beside those that moved."""
+    rng = np.random.default_rng(7)
+    group = rng.integers(0, 4, 120_000)
+    e = 2500 * np.where(rng.random((120_000, 2)) < 0.95, group[:, None], rng.integers(0, 4, (120_000, 2))) + rng.integers(0, 2500, (120_000, 2))
+    e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
+    monkeypatch.setattr(kernels, "_moved", lambda *a: 1 / 0)
+    rows = kernels.communities(spark.createDataFrame(pd.DataFrame(e, columns=["a", "b"])).selectExpr("'x' AS g", "a", "b", "1 AS n"), ["g"]).toPandas()
+    found = dict(zip(rows["node"], rows["community"], strict=True))
+    assert len(e) > 100_000 and len(rows) == len(np.unique(e)) and set(found.values()) <= set(found)
+    truth = {v: v // 2500 for v in found}
+    assert modularity(e, found) > modularity(e, truth) - 0.005
