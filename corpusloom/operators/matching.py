@@ -75,3 +75,14 @@ def anchored(nodes: DataFrame, anchors: dict[str, Sequence[str]], label: str, te
     counts = [F.count_if(F.greatest(*(F.contains(text, F.lit(t)) for t in ts), F.lit(False))).alias(k) for k, ts in anchors.items()]
     each = nodes.groupBy(F.col(label).alias("a")).agg(*counts)
     return each.select("a", F.explode(F.array(*(F.struct(F.lit(k).alias("b"), F.col(k).alias("score")) for k in anchors))).alias("x")).select("a", "x.b", "x.score")
+
+
+def anchor_labels(nodes: DataFrame, given: dict[str, Sequence], anchors: dict[str, Sequence[str]]) -> DataFrame:
+    """node and label of nodes (node, text): the group that is given the node itself, the last of several; else the one group whose anchors stand in the lower-cased text. Nodes of no group or of two go."""
+    own = {v: k for k, vs in given.items() for v in vs}
+    kind = dict(nodes.dtypes)["node"]
+    told = nodes.sparkSession.createDataFrame([(k, v) for k, v in own.items()], f"node {kind}, own string")
+    text = F.lower("text")
+    hit = F.array_compact(F.array(*(F.when(F.greatest(*(F.contains(text, F.lit(t)) for t in ts), F.lit(False)), F.lit(k)) for k, ts in anchors.items())))
+    label = F.coalesce("own", F.when(F.size(hit) == 1, F.get(hit, F.lit(0))))
+    return nodes.select("node", "text").join(F.broadcast(told), "node", "left").select("node", label.alias("label")).where("label IS NOT NULL")
